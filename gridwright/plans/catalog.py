@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from gridwright.plans import change_queries, graph_queries, layer_queries
+
+MODULES = [layer_queries, graph_queries, change_queries]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict = {k: v for m in MODULES for k, v in m.SQL.items()}
