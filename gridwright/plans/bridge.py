@@ -88,7 +88,7 @@ SQL = {
                CASE WHEN p_partkey % 3 = 0 THEN 'fuse' END AS device_type,
                CASE WHEN p_partkey % 10 = 0 THEN 'zz' WHEN p_partkey % 9 <> 0 THEN CAST(p_size * 10 - 20 AS STRING) END AS diameter,
                {pick('p_size', ['pvc', 'unknown', '', 'N/A', 'clay'])} AS material,
-               CASE WHEN p_partkey % 8 <> 0 THEN concat('R', CAST(CAST(floor(p_partkey / 24.0) AS BIGINT) % 20 AS STRING)) END AS route_id,
+               CASE WHEN p_partkey % 8 <> 0 THEN concat('R', CAST(CAST(floor(p_partkey / 24.0) AS BIGINT) % 3 AS STRING)) END AS route_id,
                CASE WHEN p_partkey % 4 = 1 THEN 'M1' END AS from_structure, CASE WHEN p_size % 4 <> 1 THEN concat('M', CAST(p_size % 3 AS STRING)) END AS to_structure,
                p_partkey % 50 AS strand_start, p_partkey % 50 + p_size % 12 - 2 AS strand_end, CASE WHEN p_size % 2 = 0 THEN CAST(48 AS BIGINT) END AS fiber_count,
                CASE WHEN p_size % 5 <> 0 THEN CAST(36 AS BIGINT) END AS total, CAST(p_size % 30 AS BIGINT) AS used, p_partkey % 13 AS reserved, p_partkey % 25 AS available,
@@ -105,6 +105,26 @@ SQL = {
                CASE WHEN l_linestatus = 'F' THEN 'forward' WHEN l_linenumber % 3 = 0 THEN 'unknown' ELSE 'bidirectional' END AS direction,
                l_linenumber % 7 = 0 AS provisional
         FROM lineitem WHERE l_linenumber <= 3""",
+    "trace_edges": f"""
+        SELECT concat('T', CAST(p_partkey AS STRING), '-', CAST(n AS STRING)) AS relationship_id,
+               CASE WHEN (p_partkey + n) % 7 < 5 THEN concat('P', CAST(p_partkey AS STRING)) ELSE concat('P', CAST(p_partkey + 4 * n AS STRING)) END AS from_asset_id,
+               CASE WHEN (p_partkey + n) % 7 < 5 THEN concat('P', CAST(p_partkey + 4 * n AS STRING)) ELSE concat('P', CAST(p_partkey AS STRING)) END AS to_asset_id,
+               {pick('p_size', ['connects_to', 'feeds', 'flows_to', 'connects_to', 'mounted_on', 'feeds'])} AS relationship_type,
+               CASE WHEN (p_partkey + n) % 7 < 5 THEN CASE WHEN p_size % 4 = 0 THEN 'bidirectional' ELSE 'forward' END ELSE 'reverse' END AS direction,
+               (p_partkey + n) % 9 = 0 AS provisional
+        FROM part CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) t WHERE p_partkey % 28 < 24 - 4 * n AND (n = 1 OR p_partkey % 3 = 0) AND p_partkey + 4 * n IN (SELECT p_partkey FROM part)""",
+    "trace_requests": f"""
+        SELECT p_partkey AS request_id, concat('P', CAST(p_partkey AS STRING)) AS start_asset_id, {pick('p_partkey', ['electric_distribution', 'telecom_fiber', 'water', 'wastewater'])} AS vertical,
+               {pick('floor(p_partkey / 28.0)', ['downstream', 'bidirectional', 'downstream', 'upstream'])} AS direction,
+               {pick('p_size', ['historical', 'include_inactive', 'historical'])} AS lifecycle_mode, {pick('p_size', ['diagnostic', 'respect_state'])} AS operational_mode,
+               {pick('floor(p_size / 2.0)', ['include_with_warning', 'exclude', 'require_when_only_path'])} AS provisional_policy,
+               {pick('floor(p_size / 3.0)', ['standard', 'strict', 'diagnostic'])} AS qa_policy, CAST(2 + p_size % 5 AS INT) AS max_depth, 250 AS max_assets
+        FROM part WHERE p_partkey % 28 < 8""",
+    "trace_groups": f"""
+        SELECT concat('G', CAST(p_partkey AS STRING)) AS issue_group_id, concat('P', CAST(p_partkey AS STRING)) AS asset_id,
+               {pick('p_size', ['stops_trace', 'limits_trace', 'advisory', 'introduces_ambiguity', 'no_trace_effect'])} AS impact,
+               {pick('floor(p_size / 5.0)', ['open', 'false_positive', 'accepted_risk'])} AS review_status
+        FROM part WHERE p_partkey % 13 = 0""",
     "reviews": f"""
         SELECT concat('fp-', CAST(user_id AS STRING), '-', event_type) AS fingerprint,
                CAST(CAST(ts AS DATE) AS STRING) AS run_id, event_id AS event_id, user_id,
