@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.operators.grouping import latest
+from gridwright.operators.connectivity import asset_rules
+from gridwright.operators.grouping import latest, severity_sql
 
 #: What the operations set, and the fields that may be set.
 FIELDS = ["diameter", "material", "owner_candidate", "lifecycle_status", "operational_status", "feeder_id", "circuit_id"]
@@ -34,6 +35,28 @@ def overlay(assets: DataFrame, ops: DataFrame, fields: list[str]) -> DataFrame:
     return d.select("proposal_id", "asset_id", *[F.coalesce("_" + f, f).alias(f) for f in fields], F.when(changed, "modified").otherwise("unchanged").alias("change_state"))
 
 
+def overlay_assets(assets: DataFrame, ops: DataFrame, fields: list[str]) -> DataFrame:
+    """All columns of the assets that each proposal touches, with the proposed values, and
+    ``proposal_id``. The work grows with the changes, not with proposals times the network."""
+    changed = overlay(assets, ops, fields).drop("change_state")
+    rest = [c for c in assets.columns if c not in fields]
+    return changed.join(assets.select(*rest), "asset_id").select("proposal_id", *assets.columns)
+
+
+def proposed_qa(assets: DataFrame, ops: DataFrame, fields: list[str]) -> DataFrame:
+    """Rule findings of the touched assets before and after each proposal, compared per proposal.
+
+    ``proposal_id`` with the counts and status of ``qa_difference``; a finding's severity is its
+    rule's rank, and errors block.
+    """
+    touched = field_changes(ops).select("proposal_id", "asset_id").distinct()
+    before = asset_rules(touched.join(assets, "asset_id"), ["proposal_id"])
+    after = asset_rules(overlay_assets(assets, ops, fields), ["proposal_id"])
+    rank = F.expr(severity_sql("rule_code"))
+    sides = [d.select("proposal_id", "asset_id", "rule_code", rank.alias("severity"), (rank >= 2).alias("blocking")) for d in (before, after)]
+    return qa_difference(*sides, ["proposal_id", "asset_id", "rule_code"], ["proposal_id"])
+
+
 def operation_errors(ops: DataFrame, assets: DataFrame, allowed: list[str]) -> DataFrame:
     """``proposal_id, sequence, tie, error`` for missing targets, fields outside the allow-list,
     repeated field updates, and updates of an asset that the same proposal retires."""

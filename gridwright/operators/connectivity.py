@@ -147,11 +147,11 @@ def _codes(rules: list[tuple[str, str | None, str]], vertical: str = "vertical")
     return F.array_compact(F.array(*marks))
 
 
-def asset_rules(assets: DataFrame) -> DataFrame:
-    """All rules that look at one asset: one scan, no shuffle."""
-    d = assets.select("vertical", "asset_id", F.explode(_codes(ASSET_RULES)).alias("rule_code"))
+def asset_rules(assets: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """All rules that look at one asset: one scan, no shuffle. ``keys`` are carried along."""
+    d = assets.select(*keys, "vertical", "asset_id", F.explode(_codes(ASSET_RULES)).alias("rule_code"))
     none = F.lit(None).cast("string")
-    return d.select("vertical", "rule_code", "asset_id", none.alias("related_asset_id"), none.alias("relationship_id"))
+    return d.select(*keys, "vertical", "rule_code", "asset_id", none.alias("related_asset_id"), none.alias("relationship_id"))
 
 
 def graph_frame(assets: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from gridwright.functions import values as V
 from gridwright.operators import changes as E
 from gridwright.operators import review as R
+from gridwright.operators.connectivity import ASSET_RULES
+from gridwright.operators.grouping import severity_sql
 from gridwright.plans.bridge import derive, sql_of
 
 QUERIES: dict = {}
@@ -162,6 +164,23 @@ def overlay(s, sf):
     return E.overlay(derive(s, sf, "assets"), ops(s, sf), _OF)
 
 
+_TOUCHED = f"""{_CH}, w AS (SELECT proposal_id, asset_id, {", ".join(f"max(value) FILTER (field = '{f}') AS n_{f}" for f in _OF)} FROM ch GROUP BY 1, 2),
+  ov AS MATERIALIZED (SELECT w.proposal_id, a.* REPLACE ({", ".join(f"coalesce(n_{f}, {f}) AS {f}" for f in _OF)}) FROM w JOIN assets a USING (asset_id)),
+  bs AS MATERIALIZED (SELECT w.proposal_id, a.* FROM w JOIN assets a USING (asset_id))"""
+_RULE_ROWS = lambda t: " UNION ALL ".join(f"SELECT proposal_id, asset_id, '{c}' AS rule_code FROM {t} WHERE ({w})" + (f" AND vertical = '{v}'" if v else "") for c, v, w in ASSET_RULES)
+
+
+@query(
+    "proposed_qa",
+    f"""WITH {_TOUCHED}, b AS (SELECT * FROM ({_RULE_ROWS('bs')})), a AS (SELECT * FROM ({_RULE_ROWS('ov')})),
+          j AS (SELECT coalesce(b.proposal_id, a.proposal_id) AS proposal_id, b.rule_code AS br, a.rule_code AS ar, {severity_sql('coalesce(b.rule_code, a.rule_code)')} AS sv FROM b FULL JOIN a ON b.proposal_id = a.proposal_id AND b.asset_id = a.asset_id AND b.rule_code = a.rule_code),
+          d AS (SELECT proposal_id, count(*) FILTER (ar IS NULL) AS resolved, count(*) FILTER (br IS NULL) AS new, 0::BIGINT AS worsened, 0::BIGINT AS improved, count(*) FILTER (ar = br) AS unchanged, count(*) FILTER (br IS NOT NULL AND sv >= 2) AS blockers_before, count(*) FILTER (ar IS NOT NULL AND sv >= 2) AS blockers_after FROM j GROUP BY 1)
+        SELECT *, CASE WHEN new > 0 AND blockers_after > blockers_before THEN 'worsened' WHEN resolved > 0 AND blockers_after <= blockers_before THEN 'improved' WHEN resolved = 0 AND new = 0 THEN 'unchanged' ELSE 'mixed' END AS status FROM d""",
+)
+def proposed_qa(s, sf):
+    return E.proposed_qa(derive(s, sf, "assets"), ops(s, sf), _OF)
+
+
 _ERR = """er AS (SELECT o.proposal_id, o.sequence, o.tie, unnest(list_filter([
       CASE WHEN a.asset_id IS NULL THEN 'missing_target' END, CASE WHEN operation_type = 'update_asset_field' AND field_name NOT IN ('diameter', 'owner_candidate', 'lifecycle_status') THEN 'field_not_allowed' END,
       CASE WHEN operation_type = 'update_asset_field' AND t > 1 THEN 'duplicate_operation' END, CASE WHEN operation_type = 'update_asset_field' AND r THEN 'contradiction' END,
