@@ -56,3 +56,76 @@ def primary_value(rows: DataFrame, key: str, value: str, weight: str) -> DataFra
     """The value with the largest total weight of each key; equal weights go to the later text."""
     sums = rows.groupBy(key, value).agg(F.sum(weight).alias("_w"))
     return sums.groupBy(key).agg(F.max_by(value, F.struct("_w", value)).alias(value))
+
+
+#: Taxonomy subcategories that are canonical classes of their domain.
+CLASSES = {
+    "water": ["water_main", "transmission_main", "distribution_main", "service_line", "hydrant_lateral", "valve", "isolation_valve", "hydrant", "meter", "meter_vault", "pump", "pump_station", "storage_tank", "reservoir", "treatment_facility", "well", "pressure_zone", "water_system_boundary"],
+    "wastewater": ["gravity_main", "force_main", "pressure_sewer", "service_lateral", "manhole", "cleanout", "lift_station", "wet_well", "treatment_facility", "sewer_basin"],
+}
+
+
+def recommend_layers(layers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``layer_id, domain, asset_class, contradictions, confidence, status`` of each layer.
+
+    ``candidates``: ``layer_id, rank, target, confidence`` with targets ``system/group/class``.
+    A domain other than water or wastewater is replaced by what the candidates agree on; a
+    sewer line of unknown kind and any contradiction ask for review.
+    """
+    part = lambda k: F.split_part("target", F.lit("/"), F.lit(k))
+    c = candidates.withColumn("system", part(1)).withColumn("kind", part(3))
+    both = ["water", "wastewater"]
+    d = c.groupBy("layer_id").agg(
+        F.min_by(F.struct("system", "kind", "confidence"), "rank").alias("top"),
+        F.array_sort(F.collect_set(F.when(F.col("system").isin(both), F.col("system")))).alias("seen"),
+    ).join(layers, "layer_id")
+    top = F.col("top.system")
+    domain = F.when(top.isin(both), top).when(F.size("seen") == 2, "water_wastewater").when(F.size("seen") == 1, F.get("seen", F.lit(0))).otherwise("unknown")
+    d = d.withColumn("domain", domain)
+    kind = F.col("top.kind")
+    known = ((F.col("domain") == "water") & kind.isin(CLASSES["water"])) | ((F.col("domain") != "water") & kind.isin(CLASSES["wastewater"]))
+    text = name_key(F.concat_ws(" ", "layer_name", kind))
+    vague = (F.col("domain") == "wastewater") & ~known & text.rlike("sewer|main|pipe")
+    target = F.when(vague, "unknown_wastewater_line").when(known, kind)
+    notes = F.array_compact(F.array(
+        F.when(vague, "behavior_unknown"), F.when(target.isNull(), "class_unsupported"), F.when(~F.col("domain").isin(both), "domain_unconfirmed"),
+    ))
+    return d.select(
+        "layer_id", "domain", F.coalesce(target, F.lit("")).alias("asset_class"), F.array_join(notes, ";").alias("contradictions"),
+        F.when(F.size(notes) > 0, "low").otherwise(F.col("top.confidence")).alias("confidence"), F.when(F.size(notes) > 0, "review_required").otherwise("candidate").alias("status"),
+    )
+
+
+def mapping_summary(recommended: DataFrame) -> DataFrame:
+    """Counts of layers by domain, status and confidence, and in total, in one pass."""
+    c = [F.col(n) for n in ("domain", "status", "confidence")]
+    return recommended.groupingSets([[c[0]], [c[1]], [c[2]], []], *c).agg(F.count("*").alias("layers"))
+
+
+def export_gate(datasets: DataFrame) -> DataFrame:
+    """``dataset_id, decision``: a restricted dataset leaves only sanitized and approved."""
+    blocked = F.col("restricted") & ~(F.coalesce("sanitized", F.lit(False)) & F.coalesce("approved", F.lit(False)))
+    return datasets.select("dataset_id", F.when(blocked, "refused").otherwise("allowed").alias("decision"))
+
+
+def cad_layers(layers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``layer_id, target``: case-insensitive names against a mapping; others stay unmapped."""
+    m = mapping.select(F.upper("cad_name").alias("_k"), "target").dropDuplicates(["_k"])
+    d = layers.withColumn("_k", F.upper("layer_name")).join(F.broadcast(m), "_k", "left")
+    return d.select("layer_id", F.coalesce("target", F.lit("unmapped")).alias("target"))
+
+
+def package_rollup(layers: DataFrame, domains: DataFrame) -> DataFrame:
+    """Per submission: layers, records, spatial layers, domains, lowest confidence, next action.
+
+    ``domains``: ``layer_id, domain, confidence, status``.
+    """
+    rank = F.element_at(F.create_map(*[F.lit(x) for k, v in {"unavailable": 0, "low": 1, "medium": 2, "high": 3}.items() for x in (k, v)]), F.col("confidence"))
+    d = layers.join(domains, "layer_id", "left")
+    g = d.groupBy("submission_id").agg(
+        F.count("*").alias("layers"), F.sum(F.col("record_count").cast("long")).alias("records"), F.count_if(F.col("geometry_type") != "").alias("spatial_layers"),
+        F.array_join(F.array_sort(F.collect_set("domain")), ";").alias("domains"), F.min_by("confidence", rank).alias("lowest_confidence"),
+        F.count_if(F.col("status") == "review_required").alias("reviews"), F.count_if(F.col("srs") == "").alias("coordinate_reviews"),
+    )
+    action = F.when(F.col("coordinate_reviews") > 0, "review_coordinates").when(F.col("reviews") > 0, "review_classification").otherwise("plan_staging")
+    return g.withColumn("next_action", action)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwright.operators import layers as L
+from gridwright.operators import plans as M
 from gridwright.plans.bridge import derive, sql_of
 from gridwright.session import table
 
@@ -224,3 +225,41 @@ def stage_manifest(s, sf):
 def missing_approved(s, sf):
     d = layers(s, sf)
     return L.approved_copies(d.select("layer_id", (F.col("layer_id") % 5 == 0).alias("approved")), d.where("layer_id % 2 = 1").select("layer_id", "layer_name"), "layer_id")[1]
+
+
+_REC = f"""{CAND}, rt AS (SELECT layer_id, arg_min(split_part(target, '/', 1), rank) AS sys, arg_min(split_part(target, '/', 3), rank) AS kind, arg_min(confidence, rank) AS conf, list_sort(list(DISTINCT split_part(target, '/', 1)) FILTER (split_part(target, '/', 1) IN ('water', 'wastewater'))) AS seen FROM cd GROUP BY 1),
+  r1 AS (SELECT rt.*, layer_name, CASE WHEN sys IN ('water', 'wastewater') THEN sys WHEN len(seen) = 2 THEN 'water_wastewater' WHEN len(seen) = 1 THEN seen[1] ELSE 'unknown' END AS domain FROM rt JOIN layers USING (layer_id)),
+  r2 AS (SELECT *, (domain = 'water' AND list_contains({M.CLASSES['water']}, kind)) OR (domain <> 'water' AND list_contains({M.CLASSES['wastewater']}, kind)) AS known FROM r1),
+  r3 AS (SELECT *, domain = 'wastewater' AND NOT known AND regexp_matches(regexp_replace(lower(concat(regexp_replace(layer_name, '(?i)[_-]?wgs84$', ''), kind)), '[^a-z0-9]+', '', 'g'), 'sewer|main|pipe') AS vague FROM r2),
+  r4 AS (SELECT *, list_filter([CASE WHEN vague THEN 'behavior_unknown' END, CASE WHEN NOT vague AND NOT known THEN 'class_unsupported' END, CASE WHEN domain NOT IN ('water', 'wastewater') THEN 'domain_unconfirmed' END], lambda x: x IS NOT NULL) AS notes FROM r3),
+  rc AS (SELECT layer_id, domain, CASE WHEN vague THEN 'unknown_wastewater_line' WHEN known THEN kind ELSE '' END AS asset_class, coalesce(array_to_string(notes, ';'), '') AS contradictions, CASE WHEN len(notes) > 0 THEN 'low' ELSE conf END AS confidence, CASE WHEN len(notes) > 0 THEN 'review_required' ELSE 'candidate' END AS status FROM r4)"""
+
+
+def recommended(s, sf):
+    return M.recommend_layers(layers(s, sf).select("layer_id", "layer_name"), candidates(s, sf))
+
+
+query("recommended_layers", f"WITH {_REC} SELECT * FROM rc")(recommended)
+query("mapping_summary", f"WITH {_REC} SELECT domain, status, confidence, count(*) AS layers FROM rc GROUP BY GROUPING SETS ((domain), (status), (confidence), ())")(lambda s, sf: M.mapping_summary(recommended(s, sf)))
+
+
+@query("export_gate", "SELECT layer_id AS dataset_id, CASE WHEN layer_id % 2 = 0 AND NOT (layer_id % 3 = 0 AND layer_id % 5 = 0) THEN 'refused' ELSE 'allowed' END AS decision FROM layers")
+def export_gate(s, sf):
+    k = F.col("layer_id")
+    return M.export_gate(layers(s, sf).select(k.alias("dataset_id"), (k % 2 == 0).alias("restricted"), (k % 3 == 0).alias("sanitized"), F.when(k % 5 == 0, True).alias("approved")))
+
+
+@query("cad_layers", "SELECT layer_id, CASE upper(layer_name) WHEN 'WATERLINE' THEN 'water_main' WHEN 'MANHOLES_FINAL' THEN 'manhole' ELSE 'unmapped' END AS target FROM layers")
+def cad_layers(s, sf):
+    return M.cad_layers(layers(s, sf), s.createDataFrame([("waterline", "water_main"), ("Manholes_Final", "manhole")], "cad_name string, target string"))
+
+
+@query(
+    "package_rollup",
+    f"""WITH {_REC}, j AS (SELECT layers.*, domain, confidence, status, list_position(['unavailable', 'low', 'medium', 'high'], confidence) AS r FROM layers LEFT JOIN rc USING (layer_id))
+        SELECT *, CASE WHEN coordinate_reviews > 0 THEN 'review_coordinates' WHEN reviews > 0 THEN 'review_classification' ELSE 'plan_staging' END AS next_action FROM (
+          SELECT submission_id, count(*) AS layers, CAST(sum(record_count) AS BIGINT) AS records, count(*) FILTER (geometry_type <> '') AS spatial_layers, array_to_string(list_sort(list(DISTINCT domain)), ';') AS domains, arg_min(confidence, r) AS lowest_confidence,
+            count(*) FILTER (status = 'review_required') AS reviews, count(*) FILTER (srs = '') AS coordinate_reviews FROM j GROUP BY 1)""",
+)
+def package_rollup(s, sf):
+    return M.package_rollup(layers(s, sf), recommended(s, sf).select("layer_id", "domain", "confidence", "status"))
