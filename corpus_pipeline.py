@@ -56,7 +56,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: one row per piece with its ids and its place."""
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=1024, groups=groups)
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=1024, groups=groups, cache_pieces=300_000)
 
 
 STAGES = [

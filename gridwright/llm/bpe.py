@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from gridwright.llm.words import claim, pieces
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Letters, and all characters, whose classes are the same in every Unicode version.
@@ -40,9 +42,11 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
+        self.most = most
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
@@ -80,7 +84,7 @@ class WordEncoder:
             found = self.old.get(piece)
             if found is None:
                 found = self._cut(piece)
-            if len(self.young) >= CACHE_PIECES:
+            if len(self.young) >= self.most:
                 self.old, self.young = self.young, {}
             self.young[piece] = found
         return found
@@ -140,18 +144,18 @@ def assemble(texts: pa.Array, of: Callable, odd: Callable, whole: Callable) -> t
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder of a vocabulary file, made once."""
+def encoder(path: str, most: int = CACHE_PIECES) -> WordEncoder:
+    """The worker's encoder of a vocabulary file, made once; it keeps up to twice ``most`` pieces."""
+    claim("bpe", _encoders)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].most = most
     return _encoders[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str, size: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, text: str, size: int = 8 << 20, most: int = CACHE_PIECES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids, offsets) for ranges of about ``size`` bytes of text."""
-    from gridwright.llm.words import pieces
-
-    words = encoder(path)
+    words = encoder(path, most)
     for batch in batches:
         for part in pieces(batch, text, size):
             yield part, *words.encode(part.column(part.schema.get_field_index(text)))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.words import pieces
+from gridwright.llm.words import claim, pieces
 
 ORDERS = (1, 2, 3)
 PROFILE = 300
@@ -40,6 +40,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         words: dict[str, Counter] = defaultdict(Counter)
         totals: Counter = Counter()
 
@@ -148,6 +149,7 @@ def identify(docs: DataFrame, profile_rows: DataFrame, size: int = PROFILE, text
     sent = docs.sparkSession.sparkContext.broadcast(dict(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         ranker = _Ranker(sent.value, size)
         for batch in batches:
             for rows in pieces(batch, "text"):

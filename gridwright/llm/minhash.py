@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.words import mix, ngram_hashes, pieces, word_hashes
+from gridwright.llm.words import claim, mix, ngram_hashes, pieces, word_hashes
 from gridwright.operators.components import connected_components
 from gridwright.session import cut
 
@@ -78,6 +78,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, n_shingles, digest, halves``: set size, hash of the whole set, half-keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         for batch in batches:
             for rows in pieces(batch, "text", 2 << 20):
                 sets = shingle_sets(rows.column(1), words)
@@ -100,6 +101,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, shingles`` (sorted, distinct) of the given documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         for batch in batches:
             for rows in pieces(batch, "text", 2 << 20):
                 sets = shingle_sets(rows.column(1), words)
@@ -180,6 +182,7 @@ def _missing_links(members: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         rows: list[tuple] = []
 
         def links() -> pa.RecordBatch | None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.bpe import encoded
+from gridwright.llm.bpe import CACHE_PIECES, encoded
 
 CAPACITY = 1024
 
@@ -30,7 +30,7 @@ def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out
 
 
-def piece_rows(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def piece_rows(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``) for each piece of each text.
 
     A null text is empty and has ``end_id`` alone. Only figures leave the worker unless
@@ -42,7 +42,7 @@ def piece_rows(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CA
     schema = ", ".join(f"{n} long" for n in names[:5]) + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids, offs in encoded(batches, vocabulary, "text"):
+        for rows, ids, offs in encoded(batches, vocabulary, "text", most=cache_pieces):
             cols: list[list] = [[] for _ in names]
             for k, key in enumerate(rows.column(0).to_pylist()):
                 own = np.append(ids[offs[k] : offs[k + 1]], np.uint32(end_id)).astype("<u4")
@@ -98,6 +98,9 @@ def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 64)
     )
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, groups: int = 64, with_ids: bool = False) -> DataFrame:
-    """Encodes, cuts and packs every row of ``docs``; one row per piece (see ``harmonic_pack``)."""
-    return harmonic_pack(piece_rows(docs, vocabulary, end_id, capacity, with_ids), capacity, groups)
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, groups: int = 64, with_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    """Encodes, cuts and packs every row of ``docs``; one row per piece (see ``harmonic_pack``).
+
+    ``cache_pieces`` bounds a worker's table of encoded words: more memory, less CPU time.
+    """
+    return harmonic_pack(piece_rows(docs, vocabulary, end_id, capacity, with_ids, cache_pieces), capacity, groups)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.llm.bpe import assemble
+from gridwright.llm.words import claim
 from gridwright.llm.words import pieces as row_ranges
 
 MARK = "▁"
@@ -156,6 +157,7 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
+    claim("pieces", _encoders)
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]

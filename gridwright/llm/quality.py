@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.words import buffers, pieces, word_hashes
+from gridwright.llm.words import buffers, claim, pieces, word_hashes
 
 #: Labelled rows that the classifiers are fitted and calibrated on, and unlabelled rows that
 #: they label for each other. Scores are computed for every document.
@@ -166,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     sample = spark.createDataFrame([(k, -1 if v is None else v) for k, v in chosen.items()], "doc_id long, y int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             for rows in pieces(batch, "text", 2 << 20):
                 t = text_features(rows.column(1)).astype(np.float32)
@@ -201,6 +202,7 @@ def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> D
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
                 t = text_features(part.column(1))

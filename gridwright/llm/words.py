@@ -22,6 +22,18 @@ _SEGMENT = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
+_tables: dict[str, dict] = {}
+
+
+def claim(owner: str, table: dict | None = None) -> None:
+    """Called by an operator when its work begins in a worker process, which may have served
+    another before: the lookup tables of the others are dropped, and ``table`` is noted."""
+    for other in [o for o in _tables if o != owner]:
+        _tables.pop(other).clear()
+    if table is not None:
+        _tables[owner] = table
+
+
 def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < size:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
