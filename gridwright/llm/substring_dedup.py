@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.words import ngram_hashes, pieces, split_words, word_hashes
+from gridwright.llm.words import claim, ngram_hashes, pieces, split_words, word_hashes
 from gridwright.session import cut
 
 WINDOW = 20
@@ -53,6 +53,7 @@ def _prefixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """``prefix, doc_id, n``: anchors of each document and how often each occurs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring")
         for batch in batches:
             for rows in pieces(batch, "text", 2 << 20):
                 hashes, ends = word_hashes(rows.column(1))
@@ -73,52 +74,63 @@ def _prefixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "prefix long, doc_id long, n long")
 
 
-def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``prefix, heavy, doc_id, at, hashes`` for each anchor of a document that is in its list
-    ``shared``: the hashes of all windows with that anchor, the first one starting at ``at``."""
+def _suffixes(docs: DataFrame, window: int, gram: int, long: bool) -> DataFrame:
+    """``prefix, doc_id, at, hashes`` for each anchor of a document that is in its list
+    ``shared``: the hashes of all windows with that anchor, the first one starting at ``at``.
+
+    ``long`` makes the prefix as long as the window: one row per distinct window of a document,
+    with its first place ``at`` and all its places in ``hashes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring")
         for batch in batches:
             batch = batch.filter(batch.column(2).is_valid())
             for rows in pieces(batch, "text", 2 << 20):
                 hashes, ends = word_hashes(rows.column(1))
                 lists = rows.column(2)
-                prefixes, heavies, docs_, ats, sizes, flats = [], [], [], [], [], []
+                prefixes, docs_, ats, sizes, flats = [], [], [], [], []
                 for k, key in enumerate(rows.column(0).to_pylist()):
                     a, b = ends[k], ends[k + 1]
                     w, place, value = windows_of(hashes[a:b], window, gram)
                     if not len(w):
                         continue
-                    prefix = lists[k].values.field(0).to_numpy().view(np.uint64)
-                    heavy = lists[k].values.field(1).to_numpy(zero_copy_only=False)
-                    order = np.argsort(prefix)
-                    prefix, heavy = prefix[order], heavy[order]
+                    prefix = np.sort(lists[k].values.to_numpy().view(np.uint64))
                     begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                     stop = np.concatenate([begin[1:], [len(w)]])
                     spot = np.searchsorted(prefix, value[begin])
                     spot[spot == len(prefix)] = 0
                     hit = prefix[spot] == value[begin]
+                    if long:
+                        # one row per distinct window of the document, with all its places
+                        at = np.concatenate([np.arange(s, e) for s, e in zip(begin[hit], stop[hit], strict=True)] or [np.zeros(0, np.int64)])
+                        order = at[np.argsort(w[at], kind="stable")]
+                        edge = np.flatnonzero(np.concatenate([[True], w[order][1:] != w[order][:-1]])[: len(order)])
+                        for s, e in zip(edge, np.concatenate([edge[1:], [len(order)]]), strict=True):
+                            prefixes.append(w[order[s]])
+                            docs_.append(key)
+                            ats.append(order[s])
+                            sizes.append(e - s)
+                            flats.append(order[s:e])
+                        continue
                     for s, e, p in zip(begin[hit], stop[hit], spot[hit], strict=True):
                         prefixes.append(prefix[p])
-                        heavies.append(bool(heavy[p]))
                         docs_.append(key)
                         ats.append(s)
                         sizes.append(e - s)
-                        flats.append(w[s:e])
+                        flats.append(w[s:e].view(np.int64))
                 if prefixes:
                     offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     yield pa.record_batch(
                         [
                             pa.array(np.array(prefixes, dtype=np.uint64).view(np.int64)),
-                            pa.array(heavies),
                             pa.array(docs_, pa.int64()),
                             pa.array(np.array(ats, dtype=np.int32)),
-                            pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(flats).view(np.int64))),
+                            pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(flats))),
                         ],
-                        names=["prefix", "heavy", "doc_id", "at", "hashes"],
+                        names=["prefix", "doc_id", "at", "hashes"],
                     )
 
-    return docs.mapInArrow(run, "prefix long, heavy boolean, doc_id long, at int, hashes array<long>")
+    return docs.mapInArrow(run, "prefix long, doc_id long, at int, hashes array<long>")
 
 
 def repeats_in_group(doc: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -137,6 +149,7 @@ def _group_repeats(suffixes: DataFrame) -> DataFrame:
     treated as soon as the next one begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring")
         held: list[pa.RecordBatch] = []
 
         def treat(rows: pa.Table) -> pa.RecordBatch:
@@ -174,17 +187,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
     shared = cut(prefixes.join(counts, "prefix").groupBy("doc_id").agg(F.collect_list(entry).alias("shared")))
 
     def of(heavy: bool) -> DataFrame:
-        own = F.filter("shared", lambda x: x["heavy"] == heavy)
+        own = F.transform(F.filter("shared", lambda x: x["heavy"] == heavy), lambda x: x["prefix"])
         lists = shared.select("doc_id", F.when(F.size(own) > 0, own).alias("shared"))
         # outer joins throughout, so that every use of the texts has the same exchange
-        return _suffixes(lean.join(lists.hint("shuffle_hash"), "doc_id", "left"), window, gram)
+        return _suffixes(lean.join(lists.hint("shuffle_hash"), "doc_id", "left"), window, gram, heavy)
 
     light = _group_repeats(of(False))
     if shared.where(F.exists("shared", lambda x: x["heavy"])).isEmpty():
         return light
-    long = of(True).select("doc_id", F.posexplode("hashes").alias("k", "h"), "at").select("h", "doc_id", (F.col("at") + F.col("k")).alias("at"))
-    first = long.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    heavy = long.join(first, "h").where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at")
+    long = of(True)
+    first = long.groupBy("prefix").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    later = F.filter("hashes", lambda x: (F.col("doc_id") != F.col("first.doc_id")) | (x != F.col("first.at")))
+    heavy = long.join(first, "prefix").select("doc_id", F.explode(F.transform(later, lambda x: x.cast("int"))).alias("at"))
     return light.unionByName(heavy)
 
 
@@ -217,6 +231,7 @@ def _cut_out(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", spans array<struct<start:int,length:int>>, text string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring")
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             lists = batch.column(2)
