@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -16,19 +15,38 @@ from gridwright.llm.words import claim, pieces
 
 ORDERS = (1, 2, 3)
 PROFILE = 300
-_RUNS = re.compile(r"[^\W\d_]+")
+_NONE = -1
 _FLUSH = 300_000
 _MOST_WORDS = 300_000
 
 
-def grams(word: str) -> list[str]:
-    """1- to 3-grams of the letter runs in a lower-case word, runs between spaces."""
-    out = []
-    for run in _RUNS.findall(word):
-        out.extend(run)
-        padded = f" {run} "
-        for n in ORDERS[1:]:
-            out.extend(padded[k : k + n] for k in range(len(padded) - n + 1))
+def letters(word: str) -> str:
+    """The letter runs of a word with one space between them."""
+    return word if word.isalpha() else " ".join("".join(c if c.isalpha() else " " for c in word).split())
+
+
+def gram_codes(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, offsets): the 1- to 3-grams of each word, runs of letters between spaces.
+
+    All words are laid out in one row of code points with a space around each; a gram is the
+    number that its code points form in steps of 21 bits. Three codes stand for each place (the
+    letter, the pair that ends there, the triple around it); ``_NONE`` where there is no gram.
+    """
+    cp = np.frombuffer((" " + " ".join(runs) + " ").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    space = cp == 32
+    out = np.full((len(cp), 3), _NONE, dtype=np.int64)
+    out[:, 0] = np.where(space, _NONE, cp)
+    out[1:, 1] = cp[:-1] << 21 | cp[1:]
+    out[1:-1, 2] = np.where(space[1:-1], _NONE, cp[:-2] << 42 | cp[1:-1] << 21 | cp[2:])
+    sizes = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) + 1
+    return out[1:].ravel(), 3 * np.concatenate([[0], np.cumsum(sizes)])
+
+
+def gram_text(code: int) -> str:
+    out = ""
+    while code:
+        out = chr(code & 0x1FFFFF) + out
+        code >>= 21
     return out
 
 
@@ -46,14 +64,19 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
         def fold() -> None:
             for key, own in words.items():
-                for word, n in own.items():
-                    for g in grams(word):
-                        totals[key, g] += n
+                pairs = [(r, n) for w, n in own.items() if (r := letters(w))]
+                if pairs:
+                    codes, ends = gram_codes([r for r, _ in pairs])
+                    weights = np.repeat(np.array([n for _, n in pairs], dtype=np.float64), np.diff(ends))
+                    found, at = np.unique(codes, return_inverse=True)
+                    for code, n in zip(found.tolist(), np.bincount(at, weights).tolist(), strict=True):
+                        if code != _NONE:
+                            totals[key, code] += int(n)
             words.clear()
 
         def flush() -> pa.RecordBatch:
             keys, found = zip(*totals, strict=True)
-            batch = pa.record_batch([pa.array(keys), pa.array(found), pa.array(list(totals.values()), pa.int64())], names=["lang", "gram", "n"])
+            batch = pa.record_batch([pa.array(keys), pa.array(map(gram_text, found)), pa.array(list(totals.values()), pa.int64())], names=["lang", "gram", "n"])
             totals.clear()
             return batch
 
@@ -81,47 +104,59 @@ def profiles(counts: DataFrame, size: int = PROFILE) -> DataFrame:
 
 
 class _Ranker:
-    """Counts n-grams by number and measures distances to the profiles."""
+    """Counts n-grams by number and measures distances to the profiles. Number 0 is no gram."""
 
     def __init__(self, table: dict[str, dict[str, int]], size: int):
-        self.langs, self.size = sorted(table), size
-        self.number: dict[str, int] = {}
-        self.names: list[str] = []
+        self.langs, self.size, self.table = sorted(table), size, table
+        self.number: dict[int, int] = {_NONE: 0}
         self.order = np.zeros(1 << 12, dtype=np.uint32)
         self.rank = np.full((len(self.langs), 1 << 12), -1, dtype=np.int32)
-        self.table = table
         self.words: dict[str, np.ndarray] = {}
 
-    def _gram(self, g: str) -> int:
-        k = self.number.get(g)
+    def _gram(self, code: int) -> int:
+        k = self.number.get(code)
         if k is None:
-            k = self.number[g] = len(self.names)
-            self.names.append(g)
+            k = self.number[code] = len(self.number)
             if k >= len(self.order):
                 self.order = np.concatenate([self.order, np.zeros_like(self.order)])
                 self.rank = np.concatenate([self.rank, np.full_like(self.rank, -1)], axis=1)
-            self.order[k] = zlib.crc32(g.encode())
+            gram = gram_text(code)
+            self.order[k] = zlib.crc32(gram.encode())
             for i, lang in enumerate(self.langs):
-                self.rank[i, k] = self.table[lang].get(g, -1)
+                self.rank[i, k] = self.table[lang].get(gram, -1)
         return k
 
-    def word(self, w: str) -> np.ndarray:
-        found = self.words.get(w)
-        if found is None:
-            if len(self.words) >= _MOST_WORDS:
-                self.words = {}
-            found = self.words[w] = np.array([self._gram(g) for g in grams(w)], dtype=np.int32)
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        bag = Counter(text.lower().split()) if text else {}
-        lists = [self.word(w) for w in bag]
+    def learn(self, words: set[str]) -> None:
+        """Takes up the n-grams of words that are not known yet, all at once."""
+        if len(self.words) >= _MOST_WORDS:
+            self.words = {}
+        new = [w for w in words if w not in self.words]
+        runs = [letters(w) for w in new]
+        codes, ends = gram_codes([r for r in runs if r])
+        found, at = np.unique(codes, return_inverse=True)
+        numbers = np.array([self._gram(c) for c in found.tolist()], dtype=np.int32)[at] if len(found) else np.zeros(0, np.int32)
+        k, empty, ends = 0, np.zeros(0, np.int32), ends.tolist()
+        for word, r in zip(new, runs, strict=True):
+            if r:
+                self.words[word] = numbers[ends[k] : ends[k + 1]]
+                k += 1
+            else:
+                self.words[word] = empty
+
+    def bags(self, texts: list) -> list[Counter]:
+        bags = [Counter(t.lower().split()) if t else Counter() for t in texts]
+        self.learn(set().union(*bags))
+        return bags
+
+    def predict(self, bag: Counter) -> tuple[str, float]:
+        lists = [self.words[w] for w in bag]
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         if not sizes.sum() or not self.langs:
             return "und", 0.0
         ids = np.concatenate(lists)
         weights = np.repeat(np.fromiter(bag.values(), dtype=np.float64, count=len(bag)), sizes)
         counts = np.bincount(ids, weights)
+        counts[0] = 0  # no gram
         there = np.flatnonzero(counts)
         if len(there) > self.size:
             edge = np.partition(counts[there], len(there) - self.size)[len(there) - self.size]
@@ -153,7 +188,7 @@ def identify(docs: DataFrame, profile_rows: DataFrame, size: int = PROFILE, text
         ranker = _Ranker(sent.value, size)
         for batch in batches:
             for rows in pieces(batch, "text"):
-                found = [ranker.predict(t) for t in rows.column(1).to_pylist()]
+                found = [ranker.predict(bag) for bag in ranker.bags(rows.column(1).to_pylist())]
                 yield pa.record_batch([rows.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
