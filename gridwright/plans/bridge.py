@@ -104,7 +104,7 @@ SQL = {
                {pick('l_orderkey', ['connects_to', 'feeds', 'flows_to', 'belongs_to_feeder', 'terminates_at', 'routed_through'])} AS relationship_type,
                CASE WHEN l_linestatus = 'F' THEN 'forward' WHEN l_linenumber % 3 = 0 THEN 'unknown' ELSE 'bidirectional' END AS direction,
                l_linenumber % 7 = 0 AS provisional
-        FROM lineitem WHERE l_linenumber <= 3""",
+        FROM lineitem""",
     "trace_edges": f"""
         SELECT concat('T', CAST(p_partkey AS STRING), '-', CAST(n AS STRING)) AS relationship_id,
                CASE WHEN (p_partkey + n) % 7 < 5 THEN concat('P', CAST(p_partkey AS STRING)) ELSE concat('P', CAST(p_partkey + 4 * n AS STRING)) END AS from_asset_id,
