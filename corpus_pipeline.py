@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,42 +17,65 @@ from gridwright.session import fresh_path, table
 
 
 
+def _with_key(docs: DataFrame, nulls_last: bool = True) -> tuple[DataFrame, str]:
+    """``docs`` with a column that no two rows share and that sorts as ``doc_id`` does, and its name.
+
+    Where no id is null or repeated it is the id. Else the rows are sorted by id and a hash of the
+    text, numbered and written to the shared folder once, so that every use sees the same numbers.
+    """
+    key, own = f"_row_{uuid.uuid4().hex}", F.col("doc_id").cast("long")
+    if docs.groupBy(own.alias("id")).count().where("id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn(key, own), key
+    path = fresh_path(docs.sparkSession, "keyed")
+    rows = docs.sort(own.asc_nulls_last() if nulls_last else own.asc_nulls_first(), F.xxhash64("text"))
+    rows.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path), key
+
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``; other ids have gone for good."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+def _keep(rows: DataFrame, key: str, verdict: DataFrame) -> DataFrame:
+    """The ``rows`` that ``verdict`` (its ``doc_id`` is their ``key``) keeps, without the key."""
+    kept = verdict.where("kept").select(F.col("doc_id").alias(key))
+    return rows.join(kept, key, "left_semi").drop(key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    verdict = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return _keep(docs, verdict.where("kept"))
+    """Documents that the quality classifier rejects go, each row by its own score."""
+    rows, key = _with_key(docs)
+    return _keep(rows, key, score(rows.withColumn("doc_id", F.col(key)), train(docs, table(spark, sf_dir, "labels"))))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest id stays."""
-    return _keep(docs, exact_dedup(docs).where("kept"))
+    """Of rows with equal texts one with the largest id stays; a null id is below every other."""
+    rows, key = _with_key(docs, nulls_last=False)
+    return _keep(rows, key, exact_dedup(rows, doc_id=key))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more."""
-    return _keep(docs, near_duplicates(docs, words=5, percent=80).where("kept"))
+    """One row of each near-duplicate group stays: five-word shingles, similarity 0.8 or more.
+
+    The smallest id stays; rows with a null id are compared like others and come after all ids.
+    """
+    rows, key = _with_key(docs)
+    return _keep(rows, key, near_duplicates(rows, words=5, percent=80, doc_id=key))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated 20-word windows go; documents with nothing left go.
 
     A text without a repeat stays as it is; else its kept words are joined by one space, and
-    ``n_chars`` follows. Texts without words had nothing to lose and stay.
+    ``n_chars`` follows. Texts without words had nothing to lose and stay. Rows are taken in the
+    order of their ids, rows with a null id after all others.
     """
-    cut = substring_dedup(docs, window=20, with_text=True).select("doc_id", "n_words", "n_removed", F.col("text").alias("_cut"))
-    rows = docs.join(cut, "doc_id").where("n_removed = 0 OR n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("_cut")).otherwise(F.col("text"))
-    changed = rows.withColumn("text", text)
+    keyed, key = _with_key(docs)
+    words, removed, left = (f"{key}_{c}" for c in ("words", "removed", "text"))
+    cut = substring_dedup(keyed, window=20, doc_id=key, with_text=True)
+    cut = cut.select(F.col("doc_id").alias(key), F.col("n_words").alias(words), F.col("n_removed").alias(removed), F.col("text").alias(left))
+    rows = keyed.join(cut, key).where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
+    changed = rows.withColumn("text", F.when(F.col(removed) > 0, F.col(left)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        size = F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         changed = changed.withColumn("n_chars", size)
-    return changed.select(*docs.columns)
+    return changed.drop(key, words, removed, left)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
