@@ -190,9 +190,9 @@ def calibrated_summary(s, sf):
     return G.calibrated_summary(G.member_roles(G.with_root_keys(found, assets)))
 
 
-@query("review_rollup", """SELECT rule_code, CASE WHEN count(DISTINCT disposition) = 1 THEN min(disposition) ELSE 'mixed' END AS review_status FROM reviews WHERE user_id % 50 = 1 OR event_id < 200 GROUP BY 1""")
+@query("review_rollup", """SELECT rule_code, CASE WHEN count(DISTINCT disposition) = 1 THEN min(disposition) ELSE 'mixed' END AS review_status FROM reviews GROUP BY 1""")
 def review_rollup(s, sf):
-    return G.review_rollup(derive(s, sf, "reviews").where("user_id % 50 = 1 OR event_id < 200"), ["rule_code"], "disposition")
+    return G.review_rollup(derive(s, sf, "reviews"), ["rule_code"], "disposition")
 
 
 @query("prior_reviews", """SELECT fingerprint AS issue_group_id, arg_max(disposition, {'r': run_id, 'e': event_id}) AS review_status FROM reviews WHERE disposition <> 'unreviewed' GROUP BY 1""")
