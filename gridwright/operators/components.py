@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
             .distinct()
         )
         e = cut(e2)
-        row = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum("v").alias("s")).first()
+        row = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("s")).first()
         if state == tuple(row):
             break
         state = tuple(row)
