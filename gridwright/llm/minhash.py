@@ -9,19 +9,21 @@ p = s**4: 0.99994 at 0.8.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.words import claim, mix, ngram_hashes, pieces, word_hashes
+from gridwright.llm.words import claim, mix, ngram_hashes, pieces, split_words, word_hashes
 from gridwright.operators.components import connected_components
 from gridwright.session import cut
 
 M, H = 24, 4
-#: Table keys verified against their smallest member before the remaining buckets are compared.
+#: Smallest members of its buckets that a document is tried against first. What they leave apart is
+#: compared inside the buckets, so this number changes the work and not the result.
 HUBS = 3
 #: Shingles of a bucket that one task holds at a time; larger buckets are compared block by block.
 BLOCK_SHINGLES = 2_000_000
@@ -75,7 +77,7 @@ def half_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, halves``: set size, hash of the whole set, half-keys."""
+    """``doc_id, n_shingles, digest, halves``: set size, SHA-256 of the lower-cased words, half-keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("minhash")
@@ -83,18 +85,17 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             for rows in pieces(batch, "text", 2 << 20):
                 sets = shingle_sets(rows.column(1), words)
                 keys = half_keys(sets).view(np.int64)
-                digest = [int(np.bitwise_xor.reduce(mix(s)) ^ np.add.reduce(s)) if len(s) else 0 for s in sets]
                 yield pa.record_batch(
                     [
                         rows.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(np.array(digest, dtype=np.uint64).view(np.int64)),
+                        pa.array([hashlib.sha256(b" ".join(split_words(t)).lower()).digest() for t in rows.column(1).to_pylist()], pa.binary()),
                         pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), M).cast(pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n_shingles", "digest", "halves"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest long, halves array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, halves array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -118,59 +119,75 @@ def _linked(a: str, b: str, percent: int):
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
-class _Groups:
-    """Union by smallest number over a few thousand members."""
-
-    def __init__(self, start: list[int]):
-        self.up = start
-
-    def find(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
+class _Sketches:
+    """Parity sketches of sets in order of size: a bit per hash class, set if an odd number of
+    shingles fall in it. Two sketches differ in at most as many bits as the sets in shingles.
 
+    A sketch has about four bits a shingle; a larger one is folded to the width of a smaller one.
+    """
 
-def bucket_links(ids: list[int], components: list[int], blocks: list[int], sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
+    def __init__(self, sets: list[np.ndarray]):
+        self.level = np.array([max(9, len(s).bit_length() + 2) for s in sets])
+        self.begin, self.rows = {}, {}
+        for level in np.unique(self.level).tolist():
+            members = np.flatnonzero(self.level == level)
+            sketch = np.zeros((len(members), (1 << level) // 64), dtype=np.uint64)
+            for row, k in zip(sketch, members.tolist(), strict=True):
+                where = (sets[k] >> np.uint64(20)) & np.uint64((1 << level) - 1)
+                np.bitwise_xor.at(row, (where >> np.uint64(6)).astype(np.int64), np.uint64(1) << (where & np.uint64(63)))
+            self.begin[level], self.rows[level, level] = members[0], sketch
+
+    def _folded(self, level: int, to: int) -> np.ndarray:
+        if (level, to) not in self.rows:
+            wide = self._folded(level, to + 1)
+            half = wide.shape[1] // 2
+            self.rows[level, to] = wide[:, :half] ^ wide[:, half:]
+        return self.rows[level, to]
+
+    def apart(self, k: int, others: np.ndarray) -> np.ndarray:
+        """At most the size of the symmetric difference of set ``k`` and each of the larger ``others``."""
+        to = int(self.level[k])
+        own, out = self.rows[to, to][k - self.begin[to]], np.empty(len(others), dtype=np.int64)
+        for level in np.unique(self.level[others]).tolist():
+            at = np.flatnonzero(self.level[others] == level)
+            out[at] = np.bitwise_count(self._folded(level, to)[others[at] - self.begin[level]] ^ own).sum(axis=1)
+        return out
+
+
+def bucket_links(ids: list[int], components: list[int], parts: list[int], sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
     """Links that join different components among the members of one bucket, each verified.
 
-    Every pair of different components is considered; a parity sketch of each set bounds the
-    size of the symmetric difference from below, so only pairs that cannot reach the threshold
-    are passed over. ``cross``: only pairs of different blocks.
+    Every pair of different components is considered; set sizes and parity sketches pass over
+    only pairs that cannot reach the threshold. ``cross``: only pairs of different parts. The
+    sketches take about half a byte a shingle, whatever the sizes are.
     """
-    n = len(ids)
-    size = np.array([len(s) for s in sets], dtype=np.float64)
-    bits = 1 << max(9, int(size.max()).bit_length() + 1)
-    sketch = np.zeros((n, bits // 64), dtype=np.uint64)
-    for k, s in enumerate(sets):
-        where = (s >> np.uint64(20)) & np.uint64(bits - 1)
-        np.bitwise_xor.at(sketch[k], (where >> np.uint64(6)).astype(np.int64), np.uint64(1) << (where & np.uint64(63)))
-    first: dict[int, int] = {}
-    groups = _Groups([first.setdefault(c, k) for k, c in enumerate(components)])
-    block = np.array(blocks)
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets = [sets[k] for k in order]
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    label = np.unique(np.array(components, dtype=np.int64), return_inverse=True)[1][order]
+    part = np.array(parts)[order]
+    sketches = _Sketches(sets)
+    top = np.searchsorted(size, size * 100 // percent, side="right")
     t = percent / 100
     # |A ^ B| = |A| + |B| - 2 I and I >= t / (1 + t) (|A| + |B|)
     most = 1 - 2 * t / (1 + t) + 1e-9
     out = []
-    for k in range(n - 1):
-        total = size[k] + size[k + 1 :]
-        roots = np.array([groups.find(x) for x in range(k + 1, n)])
-        open_ = (roots != groups.find(k)) & (np.abs(size[k] - size[k + 1 :]) <= most * total)
+    for k in range(len(sets) - 1):
+        open_ = label[k + 1 : top[k]] != label[k]
         if cross:
-            open_ &= block[k + 1 :] != block[k]
-        rest = np.flatnonzero(open_)
+            open_ &= part[k + 1 : top[k]] != part[k]
+        rest = k + 1 + np.flatnonzero(open_)
         if not len(rest):
             continue
-        apart = np.bitwise_count(sketch[k + 1 + rest] ^ sketch[k]).sum(axis=1)
-        near = apart <= most * total[rest]
-        for j in (k + 1 + rest[near])[np.argsort(apart[near], kind="stable")]:
-            a, b = groups.find(k), groups.find(int(j))
-            if a == b:
+        apart = sketches.apart(k, rest)
+        near = apart <= most * (size[k] + size[rest])
+        for j in rest[near][np.argsort(apart[near], kind="stable")].tolist():
+            if label[j] == label[k]:
                 continue
             both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
-            if 100 * both >= percent * (len(sets[k]) + len(sets[j]) - both):
-                groups.up[max(a, b)] = min(a, b)
-                out.append((ids[k], ids[int(j)]))
+            if 100 * both >= percent * (size[k] + size[j] - both):
+                label[label == label[j]] = label[k]
+                out.append((ids[order[k]], ids[order[j]]))
     return out
 
 
@@ -208,7 +225,7 @@ def _missing_links(members: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", hubs_tried: int = HUBS, block: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Two documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of distinct
@@ -219,38 +236,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     with a null component and ``kept`` true. An empty table gives no rows; other columns are
     ignored.
 
-    Steps: (1) signatures, cut in the shared folder; (2) documents with equal sets become one
-    representative; (3) half-keys that two representatives share; (4) table keys from pairs of
-    those; each member of a bucket against the bucket's smallest id, verified on full sets for
-    the ``HUBS`` most frequent; (5) components; (6) buckets that still hold several components
-    are compared inside, all pairs of different components, exactly; (7) components again.
-    Verification and comparison read only candidates' sets; no step collects rows to the driver
-    and none emits all pairs of a bucket.
+    Steps: (1) signatures, cut in the shared folder; (2) documents with the same lower-cased words
+    (by SHA-256) become one representative; (3) half-keys that two representatives share; (4) table
+    keys from pairs of those; each member of a bucket is verified on full sets against the smallest
+    ids of its ``hubs_tried`` best buckets; (5) components; (6) buckets that still hold several components
+    are compared inside, all pairs of different components, on full sets (see ``_apart``); (7)
+    components again. So every pair that shares a table key is either verified or already in one
+    component. Only candidates' sets are read; no step collects rows to the driver and none emits
+    all pairs of a bucket.
     """
     lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sig = cut(signatures(lean, words))
     ids = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    exact = ids.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = ids.join(exact.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    same = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = ids.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    half = reps.select("doc_id", "n_shingles", F.posexplode("halves").alias("j", "half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    open_halves = cut(half.join(shared, "half", "left_semi"))
+    # counts are cut before rows are joined with them: a join of two exchanges can be split where
+    # one key is hot, a join with an aggregate of the same exchange cannot
+    half = reps.select("doc_id", "n_shingles", F.explode("halves").alias("half"))
+    shared = cut(half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
+    lists = cut(half.join(shared, "half", "left_semi").groupBy("doc_id", "n_shingles").agg(F.array_sort(F.collect_list("half")).alias("h")).where(F.size("h") > 1))
 
     # table keys: pairs of the half-keys that a document shares with another one
-    lists = open_halves.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", "half"))).alias("h")).where(F.size("h") > 1)
-    pairs = F.flatten(
-        F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: F.xxhash64(x["j"], y["j"], x["half"], y["half"])))
-    )
-    keyed = lists.select("doc_id", F.explode(pairs).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    keyed = lists.select("doc_id", F.explode(_pairs("h")).alias("key"))
+    hubs = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
     stars = keyed.join(hubs, "key").where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
     rank = F.struct(-F.col("n"), F.col("hub"))
-    best = stars.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(rank)), 1, HUBS).alias("best"))
-    tries = best.select("doc_id", F.explode(F.transform("best", lambda x: x["hub"])).alias("hub"))
-    tries = cut(tries)
+    best = stars.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(rank)), 1, hubs_tried).alias("best"))
+    tries = cut(best.select("doc_id", F.explode(F.transform("best", lambda x: x["hub"])).alias("hub")))
 
-    wanted = tries.select("doc_id").unionByName(tries.select(F.col("hub").alias("doc_id"))).distinct()
+    wanted = cut(tries.select("doc_id").unionByName(hubs.select(F.col("hub").alias("doc_id"))).distinct())
     sets = cut(full_sets(lean.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words))
     links = (
         tries.join(sets, "doc_id")
@@ -259,26 +274,63 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         .select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     )
     links = cut(links)
-    first = connected_components(links)
-
-    # buckets of a half-key that still hold several components
-    placed = (
-        open_halves.join(wanted, "doc_id", "left_semi")
-        .join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("half", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    )
-    mixed = placed.groupBy("half").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n_shingles").alias("w")).where("lo <> hi")
-    parts = F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)).cast("int")
-    members = placed.join(mixed.select("half", parts.alias("parts")), "half").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    block = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: F.least(c, F.col("part")) * F.col("parts") + F.greatest(c, F.col("part"))))
-    members = members.select(F.col("half").alias("key"), "doc_id", "component", "part", "parts", block.alias("block"))
-    members = members.withColumn("crossed", F.floor(F.col("block") / F.col("parts")) != F.col("block") % F.col("parts"))
+    members = _apart(lists.join(wanted, "doc_id", "left_semi"), connected_components(links), block)
     more = _missing_links(members.join(sets, "doc_id"), percent)
 
-    every = links.unionByName(more).unionByName(
-        ids.join(exact, ["digest", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    )
-    final = connected_components(every)
+    copies = ids.join(same, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = connected_components(links.unionByName(more).unionByName(copies))
     out = sig.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _pairs(halves: str) -> Column:
+    """The table keys of a sorted list of half-keys: one for each pair of them."""
+    return F.flatten(F.transform(halves, lambda x, i: F.transform(F.slice(halves, i + 2, F.size(halves)), lambda y: F.xxhash64(x, y))))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """``key, w`` of the buckets that hold several components, with their shingles; of buckets with
+    the same members one stands for all."""
+    content = [F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), F.sum("n_shingles").alias("w")]
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *content).where("lo <> hi")
+    return mixed.groupBy("x", "y", "w").agg(F.min("key").alias("key")).select("key", "w")
+
+
+def _apart(lists: DataFrame, first: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """``key, block, crossed, doc_id, component, part`` of the buckets to be compared inside.
+
+    Two documents that share a table key share two half-keys. If one of these has at most ``block``
+    shingles in its bucket, they meet there. If both have more, they meet in the bucket of the table
+    key, which is compared part by part where it is large as well; members of its largest component
+    are in parts of their own, which are not compared with each other, so one huge group beside a
+    few strays costs no more than its size times the strays' parts.
+    """
+    component = F.coalesce("component", "doc_id").alias("component")
+    known = cut(lists.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "h", component))
+    halves = known.select("doc_id", "n_shingles", "component", F.explode("h").alias("key"))
+    mixed = cut(_mixed(halves))
+    light = halves.join(mixed.where(F.col("w") <= block).select("key"), "key")
+    light = light.select("key", "doc_id", "component", F.lit(0).alias("part"), F.lit(0).cast("long").alias("block"), F.lit(False).alias("crossed"))
+
+    # content is not compared here: each heavy half-key must keep its own table keys
+    heavy = cut(halves.groupBy("key").agg(F.sum("n_shingles").alias("w"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("w") > block) & (F.col("lo") != F.col("hi"))).select("key"))
+    if heavy.isEmpty():
+        return light
+    own = halves.join(heavy, "key").groupBy("doc_id", "n_shingles", "component").agg(F.array_sort(F.collect_list("key")).alias("h")).where(F.size("h") > 1)
+    rows = cut(own.select("doc_id", "n_shingles", "component", F.explode(_pairs("h")).alias("key")))
+    mixed = cut(_mixed(rows))
+    of_component = rows.join(mixed.where(F.col("w") > block).select("key"), "key").groupBy("key", "component").agg(F.sum("n_shingles").alias("own"))
+    bulk = of_component.groupBy("key").agg(F.max_by(F.struct("component", "own"), F.struct("own", "component")).alias("bulk"))
+    rest, most = F.col("w") - F.coalesce("bulk.own", F.lit(0)), F.coalesce("bulk.own", F.lit(0))
+    plan = mixed.join(bulk, "key", "left").select(
+        "key", F.col("bulk.component").alias("largest"), F.ceil(rest / block).cast("int").alias("few"), F.ceil(most / block).cast("int").alias("many")
+    )
+    in_bulk = F.coalesce(F.col("component") == F.col("largest"), F.lit(False))
+    width = F.col("few") + F.col("many")
+    part = F.when(in_bulk, F.col("few") + F.pmod(F.xxhash64("doc_id"), "many")).otherwise(F.pmod(F.xxhash64("doc_id"), "few")).cast("int")
+    against = F.sequence(F.lit(0), F.when(in_bulk, F.col("few")).otherwise(width) - 1)
+    blocks = F.transform(against, lambda c: F.least(c, F.col("part")).cast("long") * width + F.greatest(c, F.col("part")))
+    members = rows.join(cut(plan), "key").withColumn("part", part).withColumn("width", width).withColumn("block", F.explode(blocks))
+    crossed = F.floor(F.col("block") / F.col("width")) != F.col("block") % F.col("width")
+    return light.unionByName(members.select("key", "doc_id", "component", "part", "block", crossed.alias("crossed")))

@@ -1,11 +1,13 @@
 """Word and shingle hashing over whole Arrow text columns, without a Python object per word.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Word hashes are polynomials
-modulo 2**64 over random byte weights, mixed at the end; equal words always get equal hashes.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Its hash takes eight bytes at a
+time through a mixing bijection, so words of one length up to eight bytes never collide and longer
+ones do so by chance alone (2**-64); very long words go through BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +15,13 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_WEIGHTS = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_LOWER_WEIGHTS = _WEIGHTS.copy()
-_LOWER_WEIGHTS[65:91] = _WEIGHTS[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_SEGMENT = 1 << 20
-_powers: dict[str, np.ndarray] = {}
-
+_SEED = np.uint64(0x5851F42D4C957F2D)
+#: Bytes of a word that are hashed by columns; longer words are hashed one by one.
+_COLUMNS = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 _tables: dict[str, dict] = {}
 
@@ -34,15 +35,6 @@ def claim(owner: str, table: dict | None = None) -> None:
         _tables[owner] = table
 
 
-def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < size:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -80,23 +72,23 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word in order, word offsets of n + 1 rows).
 
-    ``lower`` makes A-Z equal to a-z. Words are hashed in segments of about 1 MB, so memory
-    does not grow with the length of a text.
+    ``lower`` makes A-Z equal to a-z.
     """
     data, starts, ends, rows = word_table(texts)
-    weights = _LOWER_WEIGHTS if lower else _WEIGHTS
-    out = np.empty(len(starts), dtype=np.uint64)
+    data = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * np.uint64(_BASE) + _SEED)
+    left = np.flatnonzero(sizes <= _COLUMNS)
     at = 0
-    while at < len(starts):
-        base = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + _SEGMENT, side="right")))
-        part = weights[data[base : ends[to - 1]]]
-        up, down = _power_table(max(_SEGMENT, len(part)))
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part * up[: len(part)], out=total[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-        at = to
+    while len(left):
+        rest = sizes[left] - at
+        chunk = eight[starts[left] + at] & _MASKS[np.minimum(rest, 8)]
+        out[left] = mix((out[left] ^ chunk) * np.uint64(_BASE))
+        at += 8
+        left = left[rest > 8]
+    for k in np.flatnonzero(sizes > _COLUMNS).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
     return out, rows
 
 
