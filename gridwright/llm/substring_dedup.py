@@ -1,13 +1,17 @@
 """Repeated word windows by prefix-partitioned suffix trees.
 
-Suffixes of the word sequences of all documents are cut at window depth (20 words) and sampled
-at anchors: in each window, the place of the smallest hash among its ``GRAM``-word runs. Equal
-windows have equal anchors at equal places, so a tree over anchored suffixes with their left
-context finds every repeated window. The first ``GRAM`` words of an anchored suffix are the
-prefix that splits suffixes into groups. A prefix with more than ``GROUP`` suffixes is made as
-long as the whole window, where a group needs only its smallest member. Inside a group, windows
-with equal words meet at one node of window depth: a deep internal node, whose leaves after the
-first are repeats; runs of such windows are the maximal repeats.
+Suffixes of the word sequences of all documents begin at anchors: in each window of 20 words, the
+place of the smallest hash among its ``GRAM``-word runs. Equal windows have equal anchors at equal
+places. The first ``GRAM`` words of an anchored suffix are the prefix that splits suffixes into
+groups. A prefix with more than ``GROUP`` suffixes is split window by window and made longer, the
+more suffixes it has the longer (``LENGTHS``): to the right up to the window's end, then to the left
+of the anchor, up to the whole window, where a group needs only its smallest member.
+
+A group is small enough for a worker's memory. There the suffixes, as words, are sorted to a tree
+to the right of the anchors, and the words before the anchors, read backwards, to a second tree.
+Suffixes below one node of depth d on the right and one node of depth 20 - d on the left share a
+window of 20 words; all but the smallest are repeats. Words are compared as words; hashes only
+choose anchors and groups.
 """
 
 from __future__ import annotations
@@ -17,16 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.words import claim, ngram_hashes, pieces, split_words, word_hashes
+from gridwright.llm.words import claim, mix, ngram_hashes, pieces, split_words, word_hashes, word_table
 from gridwright.session import cut
 
 WINDOW = 20
 GRAM = 6
-#: Anchored suffixes that one prefix group may hold in a worker's memory (about 100 bytes each).
-GROUP = 100_000
+#: Suffixes of one prefix above which it is made longer.
+GROUP = 4_000
+#: Words of a prefix by its number of suffixes: up to GROUP times 1, 2, 4; the whole window above.
+LENGTHS = ((1, GRAM), (2, 9), (4, 13))
 
 
 def windows_of(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,12 +81,40 @@ def _prefixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "prefix long, doc_id long, n long")
 
 
-def _suffixes(docs: DataFrame, window: int, gram: int, long: bool) -> DataFrame:
-    """``prefix, doc_id, at, hashes`` for each anchor of a document that is in its list
-    ``shared``: the hashes of all windows with that anchor, the first one starting at ``at``.
+def _letters(start: np.ndarray, anchor: np.ndarray, window: int) -> np.ndarray:
+    """(windows, window) places of the words of each window in the order in which its prefix grows:
+    from the anchor to the end of the window, then from before the anchor back to its start."""
+    k, right = np.arange(window), (start + window - anchor)[:, None]
+    return np.where(k < right, anchor[:, None] + k, anchor[:, None] - 1 - (k - right))
 
-    ``long`` makes the prefix as long as the window: one row per distinct window of a document,
-    with its first place ``at`` and all its places in ``hashes``."""
+
+def _own_entries(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted prefixes, their levels) of row ``k`` of a column of ``array<struct<prefix, level>>``."""
+    entry = lists[k].values
+    prefix, level = entry.field(0).to_numpy().view(np.uint64), entry.field(1).to_numpy()
+    order = np.argsort(prefix)
+    return prefix[order], level[order]
+
+
+def _hits(words: np.ndarray, entries: tuple[np.ndarray, np.ndarray], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, end, prefix, level) of the runs of windows with one anchor whose prefix is
+    among ``entries``."""
+    w, place, value = windows_of(words, window, gram)
+    begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(w)])
+    stop = np.concatenate([begin[1:], [len(w)]])[: len(begin)]
+    prefix, level = entries
+    if not len(begin) or not len(prefix):
+        return begin[:0], begin[:0], value[:0], np.zeros(0, np.int32)
+    spot = np.searchsorted(prefix, value[begin])
+    spot[spot == len(prefix)] = 0
+    hit = prefix[spot] == value[begin]
+    return begin[hit], stop[hit], prefix[spot[hit]], level[spot[hit]]
+
+
+def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """``prefix, doc_id, at, n, before, words`` of the suffixes whose prefix is in a document's list
+    ``shared`` at one of ``LENGTHS``: the ``n`` windows from word ``at`` on, their words, and the
+    number of words before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substring")
@@ -87,124 +122,232 @@ def _suffixes(docs: DataFrame, window: int, gram: int, long: bool) -> DataFrame:
             batch = batch.filter(batch.column(2).is_valid())
             for rows in pieces(batch, "text", 2 << 20):
                 hashes, ends = word_hashes(rows.column(1))
-                lists = rows.column(2)
-                prefixes, docs_, ats, sizes, flats = [], [], [], [], []
+                data, first, last, _ = word_table(rows.column(1))
+                raw = data.tobytes()
+                out: list[list[np.ndarray]] = [[] for _ in range(6)]
                 for k, key in enumerate(rows.column(0).to_pylist()):
-                    a, b = ends[k], ends[k + 1]
-                    w, place, value = windows_of(hashes[a:b], window, gram)
-                    if not len(w):
-                        continue
-                    prefix = np.sort(lists[k].values.to_numpy().view(np.uint64))
-                    begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                    stop = np.concatenate([begin[1:], [len(w)]])
-                    spot = np.searchsorted(prefix, value[begin])
-                    spot[spot == len(prefix)] = 0
-                    hit = prefix[spot] == value[begin]
-                    if long:
-                        # one row per distinct window of the document, with all its places
-                        at = np.concatenate([np.arange(s, e) for s, e in zip(begin[hit], stop[hit], strict=True)] or [np.zeros(0, np.int64)])
-                        order = at[np.argsort(w[at], kind="stable")]
-                        edge = np.flatnonzero(np.concatenate([[True], w[order][1:] != w[order][:-1]])[: len(order)])
-                        for s, e in zip(edge, np.concatenate([edge[1:], [len(order)]]), strict=True):
-                            prefixes.append(w[order[s]])
-                            docs_.append(key)
-                            ats.append(order[s])
-                            sizes.append(e - s)
-                            flats.append(order[s:e])
+                    own = hashes[ends[k] : ends[k + 1]]
+                    entries = _own_entries(rows.column(2), k)
+                    begin, stop, prefix, level = _hits(own, entries, window, gram)
+                    whole = level == 0
+                    parts = [(begin[whole], (stop - begin)[whole], None, prefix[whole])]
+                    place = windows_of(own, window, gram)[1] if len(begin) else begin
+                    for lengthened in range(1, len(LENGTHS)):
+                        runs = np.flatnonzero(level == lengthened)
+                        if len(runs):
+                            at = np.concatenate([np.arange(begin[r], stop[r]) for r in runs])
+                            parts.append((at, np.ones(len(at), np.int64), LENGTHS[lengthened][1], None))
+                    for at, n, length, prefix_ in parts:
+                        if not len(at):
+                            continue
+                        before = place[at] - at
+                        if length is not None:
+                            longer = own[_letters(at, place[at], window)[:, :length]]
+                            prefix_ = np.full(len(at), length, dtype=np.uint64)
+                            for column in (before.astype(np.uint64), *longer.T):
+                                prefix_ = mix(prefix_ * np.uint64(0x9E3779B97F4A7C15) + column)
+                        for col, v in zip(out, (prefix_, np.full(len(at), key, np.int64), at, n, before, ends[k] + at), strict=True):
+                            col.append(v)
+                if out[0]:
+                    prefix, doc, at, n, before, place = (np.concatenate(c) for c in out)
+                    words = [raw[a:b] for a, b in zip(first[place].tolist(), last[place + n + window - 2].tolist(), strict=True)]
+                    for a in range(0, len(doc), 8192):  # small batches: a reader holds one at a time
+                        b = a + 8192
+                        yield pa.record_batch(
+                            [
+                                pa.array(prefix[a:b].view(np.int64)),
+                                pa.array(doc[a:b]),
+                                *(pa.array(c[a:b].astype(np.int32)) for c in (at, n, before)),
+                                pa.array(words[a:b], pa.binary()),
+                            ],
+                            names=["prefix", "doc_id", "at", "n", "before", "words"],
+                        )
+
+    return docs.mapInArrow(run, "prefix long, doc_id long, at int, n int, before int, words binary")
+
+
+def _whole_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """``low, high, doc_id, places`` of the windows whose prefix is in a document's list ``shared``
+    beyond ``LENGTHS``: 128 bits of a cryptographic hash of the window's words stand for a prefix as
+    long as the window; a row for each distinct window of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring")
+        for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
+            for rows in pieces(batch, "text", 2 << 20):
+                hashes, ends = word_hashes(rows.column(1))
+                for k, (key, text) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
+                    begin, stop, _, level = _hits(hashes[ends[k] : ends[k + 1]], _own_entries(rows.column(2), k), window, gram)
+                    runs = np.flatnonzero(level == len(LENGTHS))
+                    if not len(runs):
                         continue
-                    for s, e, p in zip(begin[hit], stop[hit], spot[hit], strict=True):
-                        prefixes.append(prefix[p])
-                        docs_.append(key)
-                        ats.append(s)
-                        sizes.append(e - s)
-                        flats.append(w[s:e].view(np.int64))
-                if prefixes:
-                    offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    words, found = split_words(text), {}
+                    for r in runs.tolist():
+                        for at in range(begin[r], stop[r]):
+                            digest = hashlib.blake2b(b" ".join(words[at : at + window]), digest_size=16).digest()
+                            found.setdefault(digest, []).append(at)
+                    pair = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
                     yield pa.record_batch(
-                        [
-                            pa.array(np.array(prefixes, dtype=np.uint64).view(np.int64)),
-                            pa.array(docs_, pa.int64()),
-                            pa.array(np.array(ats, dtype=np.int32)),
-                            pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(flats))),
-                        ],
-                        names=["prefix", "doc_id", "at", "hashes"],
+                        [pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.full(len(found), key, np.int64)), pa.array(list(found.values()), pa.list_(pa.int32()))],
+                        names=["low", "high", "doc_id", "places"],
                     )
 
-    return docs.mapInArrow(run, "prefix long, doc_id long, at int, hashes array<long>")
+    return docs.mapInArrow(run, "low long, high long, doc_id long, places array<int>")
 
 
-def repeats_in_group(doc: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Marks the windows whose words also start earlier (smaller document, or earlier there)."""
-    order = np.lexsort((at, doc, hashes))
-    key = hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-    leaf = order[np.repeat(first, np.diff(np.concatenate([first, [len(key)]])))]
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = (doc[order] != doc[leaf]) | (at[order] != at[leaf])
-    return out
+def tree_nodes(letters: np.ndarray) -> np.ndarray:
+    """(depth + 1, rows): number of the node at each depth above each leaf, in the tree of the rows
+    of ``letters`` (32-bit, none negative).
 
+    Rows are sorted; neighbours share the nodes up to the length of their common prefix.
+    """
+    n, depth = letters.shape
+    order = np.argsort(np.ascontiguousarray(letters.astype(">u4")).view(f"S{4 * depth}").ravel(), kind="stable") if depth else np.arange(n)
+    line = letters[order]
+    common = np.logical_and.accumulate(line[1:] == line[:-1], axis=1).sum(axis=1)
+    nodes = np.zeros((depth + 1, n), dtype=np.int64)
+    for d in range(1, depth + 1):
+        nodes[d, order[1:]] = np.cumsum(common < d)
+    return nodes
+
+
+def group_repeats(doc: np.ndarray, at: np.ndarray, n: np.ndarray, before: np.ndarray, words: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, window) marks and sources for one or more prefix groups, sorted by document and place.
 
-def _group_repeats(suffixes: DataFrame) -> DataFrame:
-    """``doc_id, at`` of repeated windows; rows come sorted by prefix and whole groups are
-    treated as soon as the next one begins."""
+    In the first, element (r, o) is true if the window that begins ``o`` words before the anchor of
+    row r also begins earlier; in the second it is the row of its first place (-1: no such window).
+    """
+    lists = pc.ascii_split_whitespace(words.cast(pa.string()))
+    code = lists.values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    edge = lists.offsets.to_numpy().astype(np.int64)
+    code = np.append(code, 0)
+    k, left = np.arange(window), int(before.max()) if len(before) else 0
+    place = (edge[:-1] + before)[:, None] + k
+    right = code[np.where(place < edge[1:, None], place, len(code) - 1)]
+    place = (edge[:-1] + before)[:, None] - 1 - np.arange(left)
+    nodes, back = tree_nodes(right), tree_nodes(code[np.where(place >= edge[:-1, None], place, len(code) - 1)])
+    again, source = np.zeros((len(doc), left + 1), dtype=bool), np.full((len(doc), left + 1), -1, dtype=np.int64)
+    anchor = at + before
+    for o in range(left + 1):
+        own = np.flatnonzero((o <= before) & (o > before - n))
+        if len(own):
+            node = nodes[window - o, own] * (len(doc) + 1) + back[o, own]
+            _, first, which = np.unique(node, return_index=True, return_inverse=True)
+            first = own[first][which]
+            source[own, o] = first
+            again[own, o] = (doc[own] != doc[first]) | (anchor[own] != anchor[first])
+    return again, source
+
+
+def _group_repeats(suffixes: DataFrame, window: int, sources: bool, most: int) -> DataFrame:
+    """``doc_id, at, n`` of runs of repeated windows (``at`` is the first), or ``doc_id, at,
+    first_doc_id, first_at`` of each.
+
+    Rows come sorted by prefix; whole groups are treated as soon as the next one begins. Of a group
+    of more than ``most`` rows, rows that hold no first place are dropped on the way: rows come in
+    the order of document and place, so first places stay first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substring")
         held: list[pa.RecordBatch] = []
-
-        def treat(rows: pa.Table) -> pa.RecordBatch:
-            lists = rows.column(3).combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            sizes = np.diff(lists.offsets.to_numpy())
-            doc, at = np.repeat(rows.column(1).to_numpy(), sizes), np.repeat(rows.column(2).to_numpy(), sizes)
-            at = at + np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            again = repeats_in_group(doc, at, lists.flatten().to_numpy())
-            return pa.record_batch([pa.array(doc[again]), pa.array(at[again].astype(np.int32))], names=["doc_id", "at"])
+        seen = 0  # rows of the held group that are reported already
+
+        def treat(rows: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+            """The repeats among ``rows`` after the first ``seen``, and the rows of first places."""
+            by = rows.combine_chunks()
+            order = pc.sort_indices(by, sort_keys=[("doc_id", "ascending"), ("at", "ascending")]).to_numpy()
+            doc, at, n, before = (by.column(c).to_numpy()[order].astype(np.int64) for c in ("doc_id", "at", "n", "before"))
+            words = by.column("words").take(pa.array(order))
+            words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
+            again, source = group_repeats(doc, at, n, before, words, window)
+            firsts = np.unique(source[(source >= 0) & ~again])
+            again[order < seen] = False
+            anchor = at + before
+            if sources:
+                row, o = np.nonzero(again)
+                leaf = source[row, o]
+                cols = [doc[row], (anchor[row] - o).astype(np.int32), doc[leaf], (anchor[leaf] - o).astype(np.int32)]
+                return pa.record_batch([pa.array(c) for c in cols], names=["doc_id", "at", "first_doc_id", "first_at"]), np.sort(order[firsts])
+            # runs of marks along the offsets; the largest offset of a run is its first window
+            wide = np.pad(again, ((0, 0), (1, 1)))
+            row, low = np.nonzero(wide[:, 1:] & ~wide[:, :-1])
+            _, high = np.nonzero(wide[:, :-1] & ~wide[:, 1:])
+            cols = [doc[row], (anchor[row] - (high - 1)).astype(np.int32), (high - low).astype(np.int32)]
+            return pa.record_batch([pa.array(c) for c in cols], names=["doc_id", "at", "n"]), np.sort(order[firsts])
 
         for batch in batches:
             prefix = batch.column(0).to_numpy()
-            if held and prefix[-1] == held[-1].column(0)[-1].as_py() and prefix[0] == prefix[-1]:
+            if held and prefix[0] == prefix[-1] == held[-1].column(0)[-1].as_py():
                 held.append(batch)
+                if sum(b.num_rows for b in held) > most + seen:
+                    rows = pa.Table.from_batches(held)
+                    found, firsts = treat(rows)
+                    yield found
+                    held = rows.take(pa.array(firsts)).combine_chunks().to_batches()
+                    seen = len(firsts)
                 continue
             edge = int(np.searchsorted(prefix, prefix[-1]))
             done = pa.Table.from_batches([*held, batch.slice(0, edge)])
             if done.num_rows:
-                yield treat(done)
+                yield treat(done)[0]
+                seen = 0
             held = [batch.slice(edge)]
         if held:
-            yield treat(pa.Table.from_batches(held))
+            yield treat(pa.Table.from_batches(held))[0]
 
-    ordered = suffixes.repartition("prefix").sortWithinPartitions("prefix")
-    return ordered.select("prefix", "doc_id", "at", "hashes").mapInArrow(run, "doc_id long, at int")
+    ordered = suffixes.repartition("prefix").sortWithinPartitions("prefix", "doc_id", "at")
+    schema = "doc_id long, at int, first_doc_id long, first_at int" if sources else "doc_id long, at int, n int"
+    return ordered.select("prefix", "doc_id", "at", "n", "before", "words").mapInArrow(run, schema)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """``doc_id, at``: start (in words) of every window that also starts earlier."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, sources: bool = False) -> DataFrame:
+    """``doc_id, at, n``: runs of windows, the first at word ``at``, that also start earlier.
+
+    ``sources``: ``doc_id, at, first_doc_id, first_at``, one row per repeated window with the
+    smallest place of its words.
+    """
     lean = docs.select("doc_id", "text")
     prefixes = _prefixes(lean.where("doc_id IS NOT NULL"), window, gram)
     counts = prefixes.groupBy("prefix").agg(F.sum("n").alias("total")).where("total > 1")
-    entry = F.struct("prefix", (F.col("total") > group).alias("heavy"))
-    shared = cut(prefixes.join(counts, "prefix").groupBy("doc_id").agg(F.collect_list(entry).alias("shared")))
-
-    def of(heavy: bool) -> DataFrame:
-        own = F.transform(F.filter("shared", lambda x: x["heavy"] == heavy), lambda x: x["prefix"])
-        lists = shared.select("doc_id", F.when(F.size(own) > 0, own).alias("shared"))
-        # outer joins throughout, so that every use of the texts has the same exchange
-        return _suffixes(lean.join(lists.hint("shuffle_hash"), "doc_id", "left"), window, gram, heavy)
-
-    light = _group_repeats(of(False))
-    if shared.where(F.exists("shared", lambda x: x["heavy"])).isEmpty():
-        return light
-    long = of(True)
-    first = long.groupBy("prefix").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    later = F.filter("hashes", lambda x: (F.col("doc_id") != F.col("first.doc_id")) | (x != F.col("first.at")))
-    heavy = long.join(first, "prefix").select("doc_id", F.explode(F.transform(later, lambda x: x.cast("int"))).alias("at"))
-    return light.unionByName(heavy)
+    level = F.lit(len(LENGTHS))
+    for k in reversed(range(len(LENGTHS))):
+        level = F.when(F.col("total") <= LENGTHS[k][0] * group, k).otherwise(level)
+    # cut first, so that a hot prefix is split in the join
+    levels = cut(counts.select("prefix", level.cast("int").alias("level")))
+    shared = cut(prefixes.join(levels, "prefix").groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "level")).alias("shared")))
+    # outer joins throughout, so that every use of the texts has the same exchange
+    rows = lean.join(shared.hint("shuffle_hash"), "doc_id", "left")
+    found = _group_repeats(_suffixes(rows, window, gram), window, sources, 4 * group)
+    if levels.where(F.col("level") == len(LENGTHS)).isEmpty():
+        return found
+    long = _whole_windows(rows, window, gram)
+    first = cut(long.groupBy("low", "high").agg(F.min(F.struct("doc_id", F.col("places")[0].alias("at"))).alias("first"), F.count("*").alias("docs"), F.max(F.size("places")).alias("most")).where("docs > 1 OR most > 1").select("low", "high", "first"))
+    later = F.filter("places", lambda x: (F.col("doc_id") != F.col("first.doc_id")) | (x != F.col("first.at")))
+    hot = long.join(first, ["low", "high"]).select("doc_id", F.explode(later).alias("at"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at"))
+    return found.unionByName(hot if sources else hot.select("doc_id", "at", F.lit(1).alias("n")))
+
+
+def maximal_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """``doc_id, start, length, first_doc_id, first_start``: each run of words, ``window`` or more,
+    that stands at an earlier place too and cannot be made longer with that place.
+
+    Places are counted in words; the earlier place is the first one in the order of ids. Windows
+    whose first places follow each other, word by word, are one repeat. Nulls as in
+    ``substring_dedup``.
+    """
+    lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = repeated_windows(lean, window, gram, group, sources=True).withColumn("shift", F.col("first_at") - F.col("at"))
+    line = F.col("at") - F.row_number().over(Window.partitionBy("doc_id", "first_doc_id", "shift").orderBy("at"))
+    runs = rows.withColumn("line", line).groupBy("doc_id", "first_doc_id", "shift", "line")
+    out = runs.agg(F.min("at").alias("start"), (F.count("*") + window - 1).alias("length"), F.min("first_at").alias("first_start"))
+    return out.select("doc_id", "start", "length", "first_doc_id", "first_start")
 
 
 def removal_spans(windows: DataFrame) -> DataFrame:
-    """``doc_id, starts``: sorted starts of the repeated windows of a document."""
-    return windows.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("starts"))
+    """``doc_id, starts``: the runs of repeated windows of a document."""
+    return windows.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", with_text: bool = False, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -219,8 +362,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", d
     starts earlier. An empty table gives no rows; other columns are ignored.
 
     Texts are shuffled once by id (the exchange is reused for the removal); counting of prefixes
-    is pre-aggregated and joined with adaptive skew handling; only windows whose prefix occurs
-    twice are shipped.
+    is pre-aggregated and joined with adaptive skew handling; only suffixes whose prefix occurs
+    twice are shipped. A very long text is one row and is read in one piece.
     """
     lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     starts = removal_spans(repeated_windows(lean, window, gram, group))
@@ -239,11 +382,11 @@ def _cut_out(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
                 words = split_words(text)
                 n, spans = len(words), []
                 if lists[k].is_valid:
-                    at = lists[k].values.to_numpy()
-                    at = at[at + window <= n]
+                    at, runs = (lists[k].values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+                    fits = at + runs + window - 1 <= n
                     cover = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+                    np.add.at(cover, at[fits], 1)
+                    np.add.at(cover, (at + runs + window - 1)[fits], -1)
                     gone = np.cumsum(cover[:n]) > 0
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     if with_text:
