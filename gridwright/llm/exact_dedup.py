@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from gridwright.session import fresh_path
+from gridwright.session import cut, fresh_path
 
 
 class DigestIndex:
     """SHA-256 digests in a Parquet table bucketed and sorted by digest.
 
-    One row per distinct text: ``digest, keep_id, group_size``. The folder outlives sessions;
+    ``digest, keep_id, group_size``: one or a few rows per distinct text, to be added up (``read``).
+    Rows are only ever appended. The folder outlives sessions;
     ``DigestIndex(spark, path)`` on an existing folder reads it under the same bucketing, so a
     sort-merge join with it moves only the new digests.
     """
@@ -34,14 +35,16 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
-    def read(self) -> DataFrame | None:
+    def rows(self) -> DataFrame | None:
+        """The table as it is stored, bucketed and sorted by digest."""
         return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
 
-    def add(self, groups: DataFrame) -> None:
-        """Appends the groups whose digest is not there yet (sort-merge anti-join)."""
-        known = self.read()
-        if known is not None:
-            groups = groups.join(known.select("digest").hint("merge"), "digest", "left_anti")
+    def read(self) -> DataFrame | None:
+        """One row per digest: its largest id and the sum of its sizes, without a shuffle."""
+        rows = self.rows()
+        return rows and rows.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    def append(self, groups: DataFrame) -> None:
         (
             groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"), "group_size")
             .repartition(self.buckets, "digest")
@@ -53,49 +56,72 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
 
+    def add(self, groups: DataFrame) -> DataFrame:
+        """Appends the groups (``digest, keep_id, group_size``) whose digest is not there yet, by a
+        sort-merge anti-join, and returns those whose digest is."""
+        known = self.rows()
+        if known is None:
+            again = groups.limit(0)
+        else:
+            # settled before the index grows, so that it does not see its own append
+            again = cut(groups.join(known.select("digest").hint("merge"), "digest", "left_semi"))
+            groups = groups.join(known.select("digest").hint("merge"), "digest", "left_anti")
+        self.append(groups)
+        return again
+
+    def forget(self) -> None:
+        """Takes the table out of the session's catalog; its folder stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, digest`` of every row; a null text counts as empty."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id", parts: int = 2) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    Rows are equal when their texts are identical byte for byte; of equal rows in this call the
-    one with the largest ``doc_id`` stays. Digests already in ``index`` before the call drop all
-    their new rows and keep the id and size noted there. Without an index a new one is made in
-    the shared folder.
+    Rows are equal when their texts are identical byte for byte; of equal rows the one with the
+    largest ``doc_id`` stays. Digests already in ``index`` before the call drop all their new rows
+    and keep the id and size noted there. Without an index a new one is made in the shared folder.
+
+    The rows come to the index in ``parts``, by a hash of the id: new digests of a part are told by
+    an anti-join with the index and appended; of digests that an earlier part has brought, the
+    larger id and the sum of the sizes count.
 
     Nulls: a null text is the empty text; a null id is below every other, so such a row stays
     only if all of its group have none. Repeated rows of the id that stays are all marked kept
-    (``group_size`` counts each). Empty input gives no rows and adds nothing. Other columns are
-    ignored, whatever their names. Only digests and ids are shuffled, never texts; the largest
-    id is found by partial aggregation, and the join back is split by adaptive skew handling
-    when one text has very many copies.
+    (``group_size`` counts each). Empty input gives no rows and adds nothing. Very long texts are
+    hashed whole. Other columns are ignored, whatever their names. Only digests and ids are
+    shuffled, never texts; the largest id is found by partial aggregation, and the join back is
+    split by adaptive skew handling when one text has very many copies.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or DigestIndex(spark, fresh_path(spark, "digests"))
     rows = digests(docs, text, doc_id)
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    known = index.read()
-    if known is not None:
-        old = groups.join(known.select("digest", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size")), "digest", "left")
-        old = old.select(
-            "digest",
-            F.coalesce("_keep", "keep_id").alias("keep_id"),
-            F.coalesce("_size", "group_size").alias("group_size"),
-            F.col("_size").isNull().alias("fresh"),
-        )
-        # settled before the index grows, so that the result does not see its own append
-        path = fresh_path(spark, "groups")
-        old.write.parquet(path)
-        index.add(groups)
-        resolved = spark.read.parquet(path)
-    else:
-        index.add(groups)
-        # read by path: the join below then has a shuffle on both sides, which Spark can split
-        resolved = spark.read.schema("digest string, keep_id long, group_size long").parquet(index.path).withColumn("fresh", F.lit(True))
+    known = index.rows()
+    old = None if known is None else cut(known.select("digest").distinct())
+    found = None
+    for part in range(parts):
+        batch = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part)
+        groups = cut(batch.groupBy("digest").agg(F.max("doc_id").cast("long").alias("keep_id"), F.count("*").alias("group_size")))
+        again = index.add(groups)
+        found = again if found is None else found.unionByName(again)
+    fresh = F.lit(True)
+    if old is not None:
+        found = found.join(old, "digest", "left_anti")
+    # what an earlier part of this call has brought: a second row of the digest, added up by readers
+    index.append(found)
+    resolved = index.read()
+    if old is not None:
+        resolved = resolved.join(old.withColumn("old", F.lit(True)), "digest", "left")
+        fresh = F.col("old").isNull()
+    # cut: the join below then has a shuffle on both sides, which Spark can split
+    resolved = cut(resolved.select("digest", "keep_id", "group_size", fresh.alias("fresh")))
+    if own:
+        index.forget()
     return rows.join(resolved, "digest").select(
         "doc_id",
         "keep_id",
