@@ -6,27 +6,36 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.llm.bpe import CACHE_PIECES, encoded
+from gridwright.session import cut
 
 CAPACITY = 1024
+#: Tokens of a full bin that may stay empty before a piece is cut to the size of a class.
+SLACK = 16
+#: Independent workers that fill bins.
+GROUPS = 64
 
 
-def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document: full bins first, then halves, quarters, ...
+def cuts(length: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a document: whole bins first, then what remains.
 
-    Every piece has exactly the size of a reciprocal class 1/k of the capacity with k a power of
-    two, so k pieces fill a bin of their class without padding.
+    A piece of l tokens is of the class k of lengths in (capacity / (k + 1), capacity / k], of which
+    k fill a bin. A remainder stays whole if k of its length leave at most ``slack`` tokens of a bin
+    empty; else a piece of the largest class size below it, capacity // k, is cut off first.
     """
-    out, at, size = [], 0, capacity
+    out, at = [(k * capacity, capacity) for k in range(length // capacity)], length // capacity * capacity
     while at < length:
-        while size > length - at:
-            size //= 2
-        out.append((at, size))
-        at += size
+        rest = length - at
+        k = capacity // rest
+        if capacity - k * rest > slack:
+            rest = capacity // (k + 1)
+        out.append((at, rest))
+        at += rest
     return out
 
 
@@ -36,12 +45,10 @@ def piece_rows(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CA
     A null text is empty and has ``end_id`` alone. Only figures leave the worker unless
     ``with_ids`` is set.
     """
-    if capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     schema = ", ".join(f"{n} long" for n in names[:5]) + ", ids array<int>" * with_ids
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, ids, offs in encoded(batches, vocabulary, "text", most=cache_pieces):
             cols: list[list] = [[] for _ in names]
             for k, key in enumerate(rows.column(0).to_pylist()):
@@ -54,53 +61,73 @@ def piece_rows(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CA
             yield pa.record_batch(arrays, names=names)
 
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return lean.mapInArrow(cut, schema)
+    return lean.mapInArrow(cut_up, schema)
 
 
-def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 64) -> DataFrame:
+def _first_fit(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Bins and places of a few pieces of all classes, the longest first."""
+    rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], na_position="first", kind="stable")
+    free: list[int] = []
+    number, offset = [], []
+    for size in rows["length"].tolist():
+        at = next((b for b, f in enumerate(free) if f >= size), len(free))
+        if at == len(free):
+            free.append(capacity)
+        number.append(at)
+        offset.append(capacity - free[at])
+        free[at] -= size
+    return rows.assign(sequence_id=np.array(number, dtype=np.int64) * 4 + 3, offset=np.array(offset, dtype=np.int64))
+
+
+def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """Adds ``sequence_id, offset``: the bin of each piece and its place there.
 
-    Pieces are dealt to ``groups`` independent workers by a hash of document and start (so a hot
-    document or class is spread evenly); each worker numbers the pieces of each class in order
-    of document and start and puts every k of class 1/k into one bin. What is left of a class at
-    a worker is packed into bins of 1/2, 1/4, ... of the count, so every bin holds a power of
-    two of tokens and none is padded. More groups cost up to log2(capacity) short bins per class
-    and group; raise them with the data. Bin numbers are unique over all groups and do not
-    depend on how Spark partitions the rows. Repeated rows are packed like any others; an empty
-    table gives no rows.
+    Pieces are of classes k by their length, in (capacity / (k + 1), capacity / k]. They are dealt to
+    ``groups`` independent workers by a hash of document and start, so that a hot document or class
+    is spread evenly. Each worker numbers the pieces of a class in order of document and start and
+    puts every k of them into one bin. The fewer than k that it is left with come together with
+    those of the other workers and fill bins of their class in the same way; the fewer than k that
+    then remain of each class (together fewer than the sum of all k, whatever the input) go into
+    bins of mixed classes by first fit.
+
+    Bin numbers are unique and depend on ``groups``, not on how Spark partitions the rows; more
+    groups make smaller partitions. Repeated rows are packed like any others, rows with a null id
+    first; an empty table gives no rows; columns of ``pieces`` besides the five of ``piece_rows`` are
+    carried along and must not be named ``sequence_id``, ``offset`` or begin with ``_pack``.
     """
-    group = F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups))
-    w = Window.partitionBy("_group", "length").orderBy(F.col("doc_id"), F.col("start"), F.col("ids_crc32"))
-    d = pieces.withColumn("_group", group)
-    d = d.withColumn("_n", F.row_number().over(w).cast("long") - 1)
-    total = F.count("*").over(Window.partitionBy("_group", "length"))
-    d = d.withColumn("_total", total)
-    per_bin = (F.lit(capacity) / F.col("length")).cast("long")
-    full = (F.col("_total") / per_bin).cast("long")
-    rest = F.col("_total") - full * per_bin
-    at = F.col("_n") - full * per_bin
-    # bins of the rest: the bits of its count from the highest down; a piece is in bit b's bin if
-    # at lies between the higher bits' sum and that sum plus 2**b
-    bits = int(capacity).bit_length()
-    bit, place = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for b in range(bits):
-        above = F.shiftleft(F.shiftright(rest, b + 1), b + 1)
-        hit = (F.shiftright(rest, b).bitwiseAND(F.lit(1)) == 1) & (at >= above) & (at < above + (1 << b))
-        bit, place = F.when(hit, F.lit(b).cast("long")).otherwise(bit), F.when(hit, at - above).otherwise(place)
-    inside = F.col("_n") < full * per_bin
-    number = F.when(inside, (F.col("_n") / per_bin).cast("long")).otherwise(full + bit)
-    offset = F.when(inside, F.col("_n") % per_bin).otherwise(place) * F.col("length")
-    kind = F.log2(F.col("length")).cast("long")
-    return d.select(
-        *pieces.columns,
-        ((number * 64 + kind) * groups + F.col("_group")).cast("long").alias("sequence_id"),
-        offset.cast("long").alias("offset"),
-    )
-
-
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, groups: int = 64, with_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    order = [F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
+    d = pieces.withColumn("_pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    d = d.withColumn("_pack_class", F.floor(F.lit(capacity) / F.col("length")).cast("long"))
+
+    def fill(rows: DataFrame, by: list[str], kind: int) -> DataFrame:
+        """``_pack_bin`` (null for what does not fill a bin) and the offset inside."""
+        w = Window.partitionBy(*by).orderBy(*order)
+        rows = rows.withColumn("_pack_n", F.row_number().over(w).cast("long") - 1).withColumn("_pack_total", F.count("*").over(Window.partitionBy(*by)))
+        rows = rows.withColumn("_pack_before", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length"))
+        k = F.col("_pack_class")
+        number = F.floor(F.col("_pack_n") / k).cast("long")
+        begins = F.max(F.when(F.col("_pack_n") % k == 0, F.col("_pack_before"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = rows.withColumn("offset", (F.col("_pack_before") - begins).cast("long"))
+        full = number < F.floor(F.col("_pack_total") / k)
+        group = F.col("_pack_group") if kind == 1 else F.lit(0)
+        return rows.withColumn("sequence_id", F.when(full, ((number * (capacity + 1) + k) * groups + group) * 4 + kind).cast("long"))
+
+    names = [*pieces.columns, "sequence_id", "offset"]
+    first = cut(fill(d, ["_pack_group", "_pack_class"], 1).select(*names, "_pack_class"))
+    left = first.where("sequence_id IS NULL").select(*pieces.columns, "_pack_class")
+    second = cut(fill(left.withColumn("_pack_group", F.lit(0)), ["_pack_class"], 2).select(*names))
+    third = second.where("sequence_id IS NULL").drop("sequence_id", "offset")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    mixed = third.withColumn("_pack_all", F.lit(0)).groupBy("_pack_all").applyInPandas(lambda p: _first_fit(p.drop(columns="_pack_all"), capacity)[names], schema)
+    return first.where("sequence_id IS NOT NULL").select(*names).unionByName(second.where("sequence_id IS NOT NULL")).unionByName(mixed)
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, groups: int = GROUPS, with_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Encodes, cuts and packs every row of ``docs``; one row per piece (see ``harmonic_pack``).
 
+    A null or empty text is ``end_id`` alone; a row with a null id, or an id that comes more than
+    once, is packed like any other; a very long text is encoded in one piece and leaves in pieces
+    of at most ``capacity`` ids; other columns are ignored, whatever their names.
     ``cache_pieces`` bounds a worker's table of encoded words: more memory, less CPU time.
     """
     return harmonic_pack(piece_rows(docs, vocabulary, end_id, capacity, with_ids, cache_pieces), capacity, groups)

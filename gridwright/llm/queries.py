@@ -64,8 +64,7 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pack_documents(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=1024, groups=groups)
+    return pack_documents(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
