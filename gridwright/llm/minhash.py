@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sig = cut(signatures(lean, words))
     ids = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    same = cut(ids.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     reps = ids.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     # counts are cut before rows are joined with them: a join of two exchanges can be split where
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     members = _apart(lists.join(wanted, "doc_id", "left_semi"), connected_components(links), block)
     more = _missing_links(members.join(sets, "doc_id"), percent)
 
-    copies = ids.join(same, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copies = ids.join(same.where("n > 1").select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = connected_components(links.unionByName(more).unionByName(copies))
     out = sig.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
