@@ -6,6 +6,10 @@ one by one and their sums are exact. A tree keeps characters and tokens of every
 edit re-encodes the blocks it touches; if the changed region no longer begins with such a space,
 the block before it is taken in as boundary context. Only the paths from changed blocks to the
 root are updated.
+
+Trees are kept as a table (``count_trees``): the text with the characters and tokens of each block.
+``apply_edits`` takes such a table up again, without encoding what the edits leave alone, and gives
+the next one.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 from gridwright.llm.bpe import _ODD_SPACE, WordEncoder, encoder
 from gridwright.llm.words import pieces
+from gridwright.session import fresh_path
 
 BLOCK = 32
 _SAFE = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
@@ -124,68 +129,127 @@ def tree_of(text: str, words: WordEncoder, counts: _Counts, block: int = BLOCK)
     return CountTree(blocks, sums, count)
 
 
+def tree_from(text: str, block_chars: list[int], block_tokens: list[int], count) -> CountTree:
+    """The tree of a stored row; nothing is encoded. ``count`` gives the tokens of an edited block."""
+    if sum(block_chars) != len(text):
+        raise ValueError("the blocks of a tree must cover its text")
+    ends = np.cumsum(block_chars).tolist()
+    return CountTree([text[b - n : b] for b, n in zip(ends, block_chars, strict=True)], block_tokens, count)
+
+
 def with_masks(docs: DataFrame, text: Column | str = "text") -> DataFrame:
     """Adds ``masks``: the patterns of ``MASKS`` that occur in the text, so that rows without any stay cheap."""
     return docs.withColumn("masks", F.array_compact(F.array(*[F.when(F.regexp_like(F.coalesce(F.col(text), F.lit("")), F.lit(p)), F.lit(i)) for i, (p, _) in enumerate(MASKS)])))
 
 
-def gather_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Joins a table ``doc_id, start, end, replacement`` to documents as the column ``edits``.
+def gather_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """Joins a table ``doc_id, start, end, replacement`` to trees as the column ``edits``.
 
-    Edits of a document are offsets into its text and must not overlap; they are bounded by its
-    length. Documents without edits get null.
+    Edits of a document are offsets into its text and are bounded by its length. Documents without
+    edits, and rows with a null id, get null.
     """
     lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
-    return docs.join(lists, "doc_id", "left")
+    return trees.join(lists, "doc_id", "left")
 
 
-def edited_counts(docs: DataFrame, vocabulary: str, with_tree: bool = False, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, n_tokens_edited, n_edits, n_blocks, encoded_chars, n_chars_edited`` per row.
+def _told(edits: list) -> list[tuple[int, int, str]]:
+    """Edits in order: without a start they are left out, as is one that begins before the end of
+    another that was taken; an end before the start, or none, makes an insertion."""
+    out, done = [], 0
+    for start, end, new in sorted(((max(0, s), s if e is None else e, r or "") for s, e, r in edits if s is not None)):
+        if start >= done:
+            out.append((start, max(start, end), new))
+            done = max(start, end)
+    return out
 
-    ``docs`` has ``doc_id, text`` and either ``edits`` (see ``gather_edits``) or the patterns of
-    ``MASKS`` as edits. ``with_tree`` adds ``block_chars, block_tokens``, from which the tree can
-    be built again; ``with_text`` adds the edited text. A null text is empty; a repeated row gives
-    a repeated result; an edit past the end appends; an empty table gives no rows; other columns
-    are ignored. One map over the rows; a worker holds about 4 MB of text and one tree at a time.
+
+def count_trees(docs: DataFrame, vocabulary: str, block: int = BLOCK) -> DataFrame:
+    """``doc_id, text, block_chars, block_tokens, n_tokens`` of every row, to be kept as a table.
+
+    A null text is empty and has one block without tokens; repeated rows and rows with a null id
+    have trees of their own; an empty table gives no rows; other columns are ignored, whatever their
+    names. A worker holds about 4 MB of text, or one longer text, at a time.
     """
-    names = ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_blocks", "encoded_chars", "n_chars_edited"]
-    schema = ", ".join(f"{n} long" for n in names)
-    schema += ", block_chars array<long>, block_tokens array<long>" * with_tree + ", text string" * with_text
-    given = "edits" in docs.columns
-    patterns = [(re.compile(p, re.ASCII), r) for p, r in MASKS]
+    schema = "doc_id long, text string, block_chars array<long>, block_tokens array<long>, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
         counts = _Counts(words)
         for batch in batches:
             for rows in pieces(batch, "text"):
-                out: list[list] = [[] for _ in range(len(names) + 2 * with_tree + with_text)]
-                for key, text, third in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
+                chars, tokens, totals = [], [], []
+                for text in rows.column(1).to_pylist():
+                    tree = tree_of(text or "", words, counts, block)
+                    leaves = slice(tree.width, tree.width + len(tree.blocks))
+                    chars.append(tree.chars[leaves])
+                    tokens.append(tree.tokens[leaves])
+                    totals.append(tree.total)
+                lists = pa.list_(pa.int64())
+                yield pa.record_batch([rows.column(0), rows.column(1), pa.array(chars, lists), pa.array(tokens, lists), pa.array(totals, pa.int64())], names=["doc_id", "text", "block_chars", "block_tokens", "n_tokens"])
+
+    return _lean(docs).mapInArrow(run, schema)
+
+
+def _lean(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+COUNTS = ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_blocks", "encoded_chars", "n_chars_edited"]
+
+
+def apply_edits(trees: DataFrame, vocabulary: str, edits: DataFrame | None = None, with_tree: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, n_tokens_edited, n_edits, n_blocks, encoded_chars, n_chars_edited`` per row
+    of a table of ``count_trees``; ``with_tree`` adds ``text, block_chars, block_tokens`` of the edited
+    text, which is such a table again.
+
+    ``edits``: ``doc_id, start, end, replacement``; without them the patterns of ``MASKS`` are the
+    edits. Of overlapping edits the first stays; one without a start is left out; a null replacement
+    is empty; an edit past the end appends. Only the blocks that edits touch are encoded, as
+    ``encoded_chars`` tells. Rows are taken one by one, so a null or repeated id has its own result
+    (and all rows of a repeated id the same edits).
+    """
+    lists = "block_chars array<long>, block_tokens array<long>"
+    schema = ", ".join(f"{n} long" for n in COUNTS) + f", text string, {lists}" * with_tree
+    patterns = [(re.compile(p, re.ASCII), r) for p, r in MASKS]
+    given = edits is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(vocabulary)
+        count = lambda t: len(words.whole(t)) // 4 if t else 0
+        for batch in batches:
+            for rows in pieces(batch, "text"):
+                out: list[list] = [[] for _ in range(len(COUNTS) + 3 * with_tree)]
+                for key, text, chars, tokens, own in zip(*(rows.column(k).to_pylist() for k in range(5)), strict=True):
                     text = text or ""
-                    tree = tree_of(text, words, counts)
                     if given:
-                        edits = [(e["start"], e["end"], e["replacement"] or "") for e in third or []]
+                        todo = _told([(e["start"], e["end"], e["replacement"]) for e in own or []])
                     else:
-                        edits, done = [], 0
-                        for start, end, new in sorted((m.start(), m.end(), patterns[i][1]) for i in third for m in patterns[i][0].finditer(text)):
-                            if start >= done:
-                                edits.append((start, end, new))
-                                done = end
-                    before = tree.total
-                    for start, end, new in sorted(edits, reverse=True):  # from the end, so offsets stay true
-                        tree.edit(start, end, new)
-                    values = [key, before, tree.total, len(edits), len(tree.blocks), tree.encoded_chars, tree.chars[1]]
-                    if with_tree:
-                        n = len(tree.blocks)
-                        values += [tree.chars[tree.width : tree.width + n], tree.tokens[tree.width : tree.width + n]]
-                    for col, v in zip(out, values + [tree.text] * with_text, strict=True):
+                        todo = _told([(m.start(), m.end(), patterns[i][1]) for i in own for m in patterns[i][0].finditer(text)])
+                    if not todo and not with_tree:  # as it was
+                        values = [key, sum(tokens), sum(tokens), 0, len(chars), 0, len(text)]
+                    else:
+                        tree = tree_from(text, chars, tokens, count)
+                        before = tree.total
+                        for start, end, new in reversed(todo):  # from the end, so offsets stay true
+                            tree.edit(start, end, new)
+                        values = [key, before, tree.total, len(todo), len(tree.blocks), tree.encoded_chars, tree.chars[1]]
+                        if with_tree:
+                            leaves = slice(tree.width, tree.width + len(tree.blocks))
+                            values += [tree.text, tree.chars[leaves], tree.tokens[leaves]]
+                    for col, v in zip(out, values, strict=True):
                         col.append(v)
                 arrays = [pa.array(c, pa.int64()) for c in out[:7]]
                 if with_tree:
-                    arrays += [pa.array(c, pa.list_(pa.int64())) for c in out[7:9]]
-                if with_text:
-                    arrays.append(pa.array(out[-1], pa.string()))
-                yield pa.record_batch(arrays, names=[*names, *["block_chars", "block_tokens"] * with_tree, *["text"] * with_text])
+                    arrays += [pa.array(out[7], pa.string()), *(pa.array(c, pa.list_(pa.int64())) for c in out[8:])]
+                yield pa.record_batch(arrays, names=[*COUNTS, *["text", "block_chars", "block_tokens"] * with_tree])
+
+    rows = trees.select("doc_id", "text", "block_chars", "block_tokens")
+    rows = gather_edits(rows, edits) if given else with_masks(rows)
+    return rows.select("doc_id", "text", "block_chars", "block_tokens", "edits" if given else "masks").mapInArrow(run, schema)
+
 
-    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *["edits"] * given)
-    return (lean if given else with_masks(lean)).mapInArrow(run, schema)
+def edited_counts(docs: DataFrame, vocabulary: str, edits: DataFrame | None = None, with_tree: bool = False) -> DataFrame:
+    """Trees of ``docs``, written to the shared folder and taken up again by ``apply_edits``."""
+    path = fresh_path(docs.sparkSession, "trees")
+    count_trees(docs, vocabulary).write.parquet(path)
+    return apply_edits(docs.sparkSession.read.parquet(path), vocabulary, edits, with_tree)
