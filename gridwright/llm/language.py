@@ -18,6 +18,8 @@ PROFILE = 300
 _NONE = -1
 _FLUSH = 300_000
 _MOST_WORDS = 300_000
+#: N-grams that a worker keeps numbered before it forgets all but what its next texts hold.
+_MOST_GRAMS = 1_000_000
 
 
 def letters(word: str) -> str:
@@ -108,6 +110,9 @@ class _Ranker:
 
     def __init__(self, table: dict[str, dict[str, int]], size: int):
         self.langs, self.size, self.table = sorted(table), size, table
+        self._forget()
+
+    def _forget(self) -> None:
         self.number: dict[int, int] = {_NONE: 0}
         self.order = np.zeros(1 << 12, dtype=np.uint32)
         self.rank = np.full((len(self.langs), 1 << 12), -1, dtype=np.int32)
@@ -128,6 +133,8 @@ class _Ranker:
 
     def learn(self, words: set[str]) -> None:
         """Takes up the n-grams of words that are not known yet, all at once."""
+        if len(self.number) >= _MOST_GRAMS:
+            self._forget()
         if len(self.words) >= _MOST_WORDS:
             self.words = {}
         new = [w for w in words if w not in self.words]
@@ -176,7 +183,9 @@ def identify(docs: DataFrame, profile_rows: DataFrame, size: int = PROFILE, text
     is one minus the share of the largest possible distance. A null text, or one without a
     letter, is ``und`` with score 0. Repeated rows give repeated results; an empty table gives no
     rows; if no language was learned all rows are ``und``. Profiles hold at most ``size`` rows
-    per language, so they are collected and sent to the workers; other columns are ignored.
+    per language, so they are collected and sent to the workers. A null id is kept as it is; other
+    columns are ignored, whatever their names. A very long text is read in one piece; words and
+    n-grams that a worker has numbered are forgotten at a bounded size.
     """
     table: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, rank in profile_rows.select("lang", "gram", "rank").collect():
@@ -201,6 +210,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn_and_identify(docs: DataFrame) -> DataFrame:
-    """Learns profiles from the rows that are not held out and predicts all rows."""
+    """Learns profiles from the rows that are not held out and predicts all rows.
+
+    Rows with a null language are not learned from; rows with a null id are not held out. See
+    ``identify`` for null, empty and very long texts, repeated rows, empty tables and other columns.
+    """
     learned = profiles(gram_counts(docs.where(~held_out())))
     return identify(docs, learned).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
