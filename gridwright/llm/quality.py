@@ -1,10 +1,16 @@
-"""Quality classification by co-training a text view and a page-metadata view."""
+"""Quality classification by co-training a text view and a page-metadata view.
+
+Both views are first fitted on a bounded sample of labelled rows. In each round every other row of
+the corpus is scored; what one view is sure of is a pseudo-label for the other, which takes bounded
+Newton steps on the labelled rows and on sums over all pseudo-labelled ones. The sums are added up by Spark,
+so only as many numbers as the Hessians have reach the driver.
+"""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.llm.words import buffers, claim, pieces, word_hashes
-
-#: Labelled rows that the classifiers are fitted and calibrated on, and unlabelled rows that
-#: they label for each other. Scores are computed for every document.
-LABELLED, UNLABELLED = 12_000, 8_000
-ROUNDS = 3
+from gridwright.session import fresh_path
+
+#: Labelled rows that the classifiers are fitted and calibrated on, at most. All other rows of the
+#: corpus take part in the exchange of pseudo-labels, and scores are computed for every document.
+LABELLED = 12_000
+#: Rounds of exchange, bounded Newton steps of a round, and the logit from which a view is sure (odds of 55 to 1).
+ROUNDS, STEPS, SURE = 3, 2, 4.0
+RIDGE = 3.0
 BUCKETS = 128
 _UPPER, _LOWER, _DIGIT, _SPACE, _STOP, _BANG, _SYMBOL, _HIGH = range(8)
 _CLASS = np.full(256, _SYMBOL, dtype=np.int64)
@@ -74,21 +83,31 @@ class Logistic:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    ridge: float = RIDGE
 
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 12) -> Logistic:
-        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-        w = np.zeros(z.shape[1])
-        penalty = np.full(z.shape[1], ridge)
+    def design(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
+
+    def sums(self, z: np.ndarray, y: np.ndarray, bound: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the loss over rows of the design; ``bound`` gives the largest
+        Hessian that there can be, with which a step always lowers the loss."""
+        p = 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        return z.T @ (p - y), z.T @ z / 4 if bound else (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+
+    def stepped(self, gradient: np.ndarray, hessian: np.ndarray) -> Logistic:
+        penalty = np.full(len(self.weights), self.ridge)
         penalty[-1] = 1e-6
+        return replace(self, weights=self.weights - np.linalg.solve(hessian + np.diag(penalty), gradient + penalty * self.weights))
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> Logistic:
+        model = cls(x.mean(axis=0), x.std(axis=0) + 1e-6, np.zeros(x.shape[1] + 1), ridge)
+        z = model.design(x)
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
-            w -= step
-            if np.abs(step).max() < 1e-6:
+            before, model = model.weights, model.stepped(*model.sums(z, y))
+            if np.abs(model.weights - before).max() < 1e-6:
                 break
-        return cls(mean, scale, w)
+        return model
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1], -30, 30)
@@ -109,33 +128,75 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-v)) for v in (a, b, both))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """Fits both views on labelled rows (``y`` 0 or 1) that are not ``held``; -1 marks unlabelled.
+Views = tuple[Logistic, Logistic]
+
+
+def pseudo_sums(teachers: Views, students: Views, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """For each student view and class: rows, gradient and upper half of the Hessian over the rows
+    whose class the other view's teacher is sure of, one after the other."""
+    out, views = [], (text, meta)
+    for side in (0, 1):
+        sure = teachers[1 - side].logit(views[1 - side])
+        for label in (0, 1):
+            z = students[side].design(views[side][sure > SURE if label else sure < -SURE])
+            gradient, hessian = students[side].sums(z, np.full(len(z), float(label)), bound=True)
+            out += [[len(z)], gradient, hessian[np.triu_indices(len(gradient))]]
+    return np.concatenate(out)
+
+
+def _parts(flat: np.ndarray, sizes: list[int]) -> list[list[tuple[float, np.ndarray, np.ndarray]]]:
+    """By view and class what ``pseudo_sums`` put together."""
+    out, at = [], 0
+    for size in sizes:
+        own = []
+        for _ in (0, 1):
+            upper = np.zeros((size, size))
+            upper[np.triu_indices(size)] = flat[at + 1 + size : at + 1 + size + size * (size + 1) // 2]
+            own.append((flat[at], flat[at + 1 : at + 1 + size], upper + np.triu(upper, 1).T))
+            at += 1 + size + size * (size + 1) // 2
+        out.append(own)
+    return out
+
+
+def _reliable(logit: np.ndarray, y: np.ndarray, label: int) -> float:
+    """How much more often than by chance a teacher is right where it is sure of a class: 1 always, 0
+    no more often than the class is there."""
+    prior = np.mean(y == label)
+    sure = y[logit > SURE if label else logit < -SURE]
+    right = (np.count_nonzero(sure == label) + prior) / (len(sure) + 1)
+    return max(0.0, (right - prior) / (1 - prior))
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, others: Callable[[Views, Views], np.ndarray | None], rounds: int = ROUNDS) -> CoTrained:
+    """Fits both views on labelled rows (``y`` 0 or 1) that are not ``held`` and on all other rows.
 
-    In each round a view labels the unlabelled rows it is most sure of (2 % of each class in
-    proportion) for the other view. Held labelled rows calibrate each view and their combination.
+    ``others(teachers, students)`` adds up ``pseudo_sums`` over all rows without a label (None: there
+    are none). A pseudo-labelled row weighs at most r / R of a labelled one in round r of R, all those
+    of a class no more than the labelled rows of that class, so their number does not drown the
+    labels; and as much less as their teacher is wrong on held rows (``_reliable``). Held labelled
+    rows also calibrate each view and their combination.
     """
-    own = [np.flatnonzero((y >= 0) & ~held)] * 2
-    labels = [y.astype(float), y.astype(float)]
-    views = [text, meta]
-    prior = y[own[0]].mean()
-    free = np.flatnonzero(y < 0)
-    share = max(1, int(0.02 * len(free)))
-    models = [Logistic.fit(v[k], z[k]) for v, k, z in zip(views, own, labels, strict=True)]
-    for _ in range(rounds if len(free) else 0):
-        for side in (0, 1):
-            left = np.setdiff1d(free, own[1 - side], assume_unique=True)
-            if not len(left):
-                continue
-            logit = models[side].logit(views[side][left])
-            order = np.argsort(logit, kind="stable")
-            low, high = order[: max(1, int(share * (1 - prior)))], order[::-1][: max(1, int(share * prior))]
-            # only where the view itself is sure (odds of 9 to 1)
-            low, high = low[logit[low] < -2.2], high[logit[high] > 2.2]
-            labels[1 - side][left[low]], labels[1 - side][left[high]] = 0.0, 1.0
-            own[1 - side] = np.union1d(own[1 - side], left[np.union1d(low, high)])
-        models = [Logistic.fit(v[k], z[k]) for v, k, z in zip(views, own, labels, strict=True)]
-    test = np.flatnonzero((y >= 0) & held)
+    views, fitted = (text, meta), np.flatnonzero(~held)
+    test = np.flatnonzero(held)
+    known = [v[fitted] for v in views]
+    own = y[fitted].astype(float)
+    models: Views = tuple(Logistic.fit(v, own) for v in known)
+    for turn in range(1, rounds + 1):
+        teachers = models
+        trust = [[_reliable(t.logit(v[test]), y[test], label) for label in (0, 1)] for t, v in zip(teachers, views, strict=True)]
+        for _ in range(STEPS):
+            flat = others(teachers, models)
+            if flat is None:
+                break
+            stepped = []
+            for side, (model, v, classes) in enumerate(zip(models, known, _parts(flat, [len(m.weights) for m in models]), strict=True)):
+                gradient, hessian = model.sums(model.design(v), own, bound=True)
+                for label, (n, g, h) in enumerate(classes):
+                    if n:
+                        weight = turn / rounds * min(1.0, np.count_nonzero(own == label) / n) * trust[1 - side][label]
+                        gradient, hessian = gradient + weight * g, hessian + weight * h
+                stepped.append(model.stepped(gradient, hessian))
+            models = tuple(stepped)
     raw = [m.logit(v[test]) for m, v in zip(models, views, strict=True)]
     calibrate = [Logistic.fit(r[:, None], y[test].astype(float), ridge=1.0) for r in raw]
     both = np.stack([c.logit(r[:, None]) for c, r in zip(calibrate, raw, strict=True)], axis=1)
@@ -148,22 +209,53 @@ def _view_rows(docs: DataFrame) -> DataFrame:
     return docs.select(column("doc_id", "long"), column("text", "string"), column("lang", "string"), column("source", "string"), column("n_chars", "long"))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> CoTrained | None:
-    """Fits the two views on at most ``labelled`` + ``unlabelled`` rows, picked by a hash of the id.
+def _rows_of(binary: pa.Array) -> np.ndarray:
+    """A column of packed 32-bit numbers as a matrix."""
+    values = binary.to_pylist()
+    return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1).astype(float)
+
+
+def _others(features: DataFrame) -> Callable[[Views, Views], np.ndarray | None]:
+    """``pseudo_sums`` over the rows without a label, added up by Spark cell by cell."""
+    rows = features.where("y < 0").select("t", "m")
+
+    def told(teachers: Views, students: Views) -> np.ndarray | None:
+        sent = features.sparkSession.sparkContext.broadcast((teachers, students))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("quality")
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    flat = pseudo_sums(*sent.value, _rows_of(batch.column(0)), _rows_of(batch.column(1)))
+                    total = flat if total is None else total + flat
+            if total is not None:
+                yield pa.record_batch([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["cell", "value"])
+
+        # as many rows as cells: about 26 000, whatever the corpus
+        cells = rows.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).orderBy("cell").toPandas()
+        return cells["value"].to_numpy() if len(cells) else None
 
-    Only those rows' features (about 200 numbers each) reach the driver. Labels other than 0 and
-    1 and null ids are ignored; of repeated labels the smallest counts. Returns None if either
-    class is missing from the part that is fitted or the part that calibrates.
+    return told
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
+    """Fits the two views on at most ``labelled`` labelled rows, picked by a hash of the id, and on
+    the pseudo-labels of all other rows.
+
+    Only the labelled rows' features (about 200 numbers each) and sums reach the driver; the
+    features of all rows are kept in the shared folder. Labels other than 0 and 1 and null ids are
+    ignored; of repeated labels the smallest counts; labelled rows beyond ``labelled`` count as
+    unlabelled. Returns None if either class is missing from the part that is fitted or the part
+    that calibrates.
     """
     spark = docs.sparkSession
-    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
     present = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    every = present.join(known, "doc_id", "left").withColumn("key", F.xxhash64("doc_id", F.lit(11)))
-    picked = every.where("y IS NOT NULL").orderBy("key", "doc_id").limit(labelled).unionByName(every.where("y IS NULL").orderBy("key", "doc_id").limit(unlabelled))
-    chosen = {r["doc_id"]: r["y"] for r in picked.select("doc_id", "y").collect()}
-    if not chosen:
+    picked = present.join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(labelled).collect()
+    if not picked:
         return None
-    sample = spark.createDataFrame([(k, -1 if v is None else v) for k, v in chosen.items()], "doc_id long, y int")
+    sample = spark.createDataFrame([(r["doc_id"], r["y"]) for r in picked], "doc_id long, y int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
@@ -171,20 +263,20 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
             for rows in pieces(batch, "text", 2 << 20):
                 t = text_features(rows.column(1)).astype(np.float32)
                 m = meta_features(*(rows.column(k).to_pylist() for k in (2, 3, 4)), rows.column(1)).astype(np.float32)
-                yield pa.record_batch([rows.column(0), rows.column(5), pa.array([x.tobytes() for x in t]), pa.array([x.tobytes() for x in m])], names=["doc_id", "y", "t", "m"])
-
-    # at most labelled + unlabelled rows of two numbers: a proven size for the broadcast
-    rows = _view_rows(docs).join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, y int, t binary, m binary").collect()
-    if not rows:
-        return None
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["t"])))
+                yield pa.record_batch([rows.column(0), rows.column(5).fill_null(-1), pa.array([x.tobytes() for x in t]), pa.array([x.tobytes() for x in m])], names=["doc_id", "y", "t", "m"])
+
+    # at most ``labelled`` rows of two numbers: a proven size for the broadcast
+    path = fresh_path(spark, "features")
+    views = _view_rows(docs).join(F.broadcast(sample), "doc_id", "left")
+    views.mapInArrow(run, "doc_id long, y int, t binary, m binary").write.parquet(path)
+    features = spark.read.parquet(path)
+    rows = sorted(features.where("y >= 0").collect(), key=lambda r: (r["doc_id"], bytes(r["t"])))
     ids, y = np.array([r["doc_id"] for r in rows]), np.array([r["y"] for r in rows])
-    text = np.stack([np.frombuffer(r["t"], np.float32) for r in rows]).astype(float)
-    meta = np.stack([np.frombuffer(r["m"], np.float32) for r in rows]).astype(float)
+    text, meta = (np.stack([np.frombuffer(r[c], np.float32) for r in rows]).astype(float) for c in ("t", "m"))
     held = np.array([zlib.crc32(b"held%d" % k) % 4 == 0 for k in ids.tolist()])
-    if any(len(set(y[(y >= 0) & part])) < 2 for part in (held, ~held)):
+    if any(len(set(y[part])) < 2 for part in (held, ~held)):
         return None
-    return co_train(text, meta, y, held)
+    return co_train(text, meta, y, held, _others(features), rounds)
 
 
 def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:
