@@ -5,7 +5,7 @@ place of the smallest hash among its ``GRAM``-word runs. Equal windows have equa
 places. The first ``GRAM`` words of an anchored suffix are the prefix that splits suffixes into
 groups. A prefix with more than ``GROUP`` suffixes is split window by window and made longer, the
 more suffixes it has the longer (``LENGTHS``): to the right up to the window's end, then to the left
-of the anchor, up to the whole window, where a group needs only its smallest member.
+of the anchor, up to whole windows and runs of them, where a group needs only its smallest member.
 
 A group is small enough for a worker's memory. There the suffixes, as words, are sorted to a tree
 to the right of the anchors, and the words before the anchors, read backwards, to a second tree.
@@ -31,9 +31,9 @@ from gridwright.session import cut
 WINDOW = 20
 GRAM = 6
 #: Suffixes of one prefix above which it is made longer.
-GROUP = 4_000
-#: Words of a prefix by its number of suffixes: up to GROUP times 1, 2, 4; the whole window above.
-LENGTHS = ((1, GRAM), (2, 9), (4, 13))
+GROUP = 1_500
+#: Words of a prefix by its number of suffixes: up to GROUP times 1 and 2; the whole window above.
+LENGTHS = ((1, GRAM), (2, 10))
 
 
 def windows_of(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,10 +166,16 @@ def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "prefix long, doc_id long, at int, n int, before int, words binary")
 
 
-def _whole_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``low, high, doc_id, places`` of the windows whose prefix is in a document's list ``shared``
-    beyond ``LENGTHS``: 128 bits of a cryptographic hash of the window's words stand for a prefix as
-    long as the window; a row for each distinct window of a document."""
+def _whole_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """``low, high, doc_id, places, n, windows`` of the suffixes whose prefix is in a document's list
+    ``shared`` beyond ``LENGTHS``: a row for each distinct run of windows with one anchor.
+
+    ``low, high`` are 128 bits of a cryptographic hash of all words of the run, ``windows`` those of
+    each window: they stand for a prefix as long as the run or the window.
+    """
+
+    def digest(words: list[bytes]) -> bytes:
+        return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substring")
@@ -182,18 +188,50 @@ def _whole_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     runs = np.flatnonzero(level == len(LENGTHS))
                     if not len(runs):
                         continue
-                    words, found = split_words(text), {}
-                    for r in runs.tolist():
-                        for at in range(begin[r], stop[r]):
-                            digest = hashlib.blake2b(b" ".join(words[at : at + window]), digest_size=16).digest()
-                            found.setdefault(digest, []).append(at)
+                    words, found, sizes, windows = split_words(text), {}, [], []
+                    for a, b in zip(begin[runs].tolist(), stop[runs].tolist(), strict=True):
+                        places = found.setdefault(digest(words[a : b - 1 + window]), [])
+                        if not places:
+                            sizes.append(b - a)
+                            windows.append([digest(words[at : at + window]) for at in range(a, b)])
+                        places.append(a)
                     pair = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-                    yield pa.record_batch(
-                        [pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.full(len(found), key, np.int64)), pa.array(list(found.values()), pa.list_(pa.int32()))],
-                        names=["low", "high", "doc_id", "places"],
-                    )
+                    columns = [pair[:, 0], pair[:, 1], np.full(len(found), key, np.int64)]
+                    columns = [pa.array(c) for c in columns] + [pa.array(list(found.values()), pa.list_(pa.int32())), pa.array(sizes, pa.int32()), pa.array(windows, pa.list_(pa.binary()))]
+                    yield pa.record_batch(columns, names=["low", "high", "doc_id", "places", "n", "windows"])
+
+    return docs.mapInArrow(run, "low long, high long, doc_id long, places array<int>, n int, windows array<binary>")
 
-    return docs.mapInArrow(run, "low long, high long, doc_id long, places array<int>")
+
+def _hot_repeats(runs: DataFrame) -> DataFrame:
+    """``doc_id, runs`` of the repeated windows among ``_whole_runs``.
+
+    All runs of equal words but the first are repeats as they stand. The first ones, one of each
+    wording, are compared window by window. Both find the smallest place by partial aggregation, so
+    no task holds a hot group.
+    """
+    first = cut(
+        runs.groupBy("low", "high").agg(
+            F.min(F.struct("doc_id", F.col("places")[0].alias("at"), "n", "windows")).alias("first"), F.count("*").alias("docs"), F.max(F.size("places")).alias("most")
+        )
+    )
+    several = first.where("docs > 1 OR most > 1").select("low", "high", F.col("first.doc_id").alias("own"), F.col("first.at").alias("at"))
+    later = F.filter("places", lambda x: (F.col("doc_id") != F.col("own")) | (x != F.col("at")))
+    copies = runs.drop("windows").join(several, ["low", "high"]).select("doc_id", F.transform(later, lambda x: F.struct(x.alias("at"), F.col("n"))).alias("runs"))
+    each = first.select("first.doc_id", "first.at", F.posexplode("first.windows").alias("k", "digest")).select("doc_id", (F.col("at") + F.col("k")).alias("at"), "digest")
+    low = cut(each.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("least"), F.count("*").alias("c")).where("c > 1").select("digest", "least"))
+    apart = each.join(low, "digest").where((F.col("doc_id") != F.col("least.doc_id")) | (F.col("at") != F.col("least.at")))
+    windows = apart.select("doc_id", F.array(F.struct("at", F.lit(1).alias("n"))).alias("runs"))
+    return copies.where(F.size("runs") > 0).unionByName(windows)
+
+
+def _hot_sources(runs: DataFrame) -> DataFrame:
+    """``doc_id, at, first_doc_id, first_at`` of every repeated window among ``_whole_runs``."""
+    each = runs.select("doc_id", F.explode("places").alias("place"), "windows").select("doc_id", "place", F.posexplode("windows").alias("k", "digest"))
+    each = each.select("doc_id", (F.col("place") + F.col("k")).alias("at"), "digest")
+    low = cut(each.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("least")))
+    apart = each.join(low, "digest").where((F.col("doc_id") != F.col("least.doc_id")) | (F.col("at") != F.col("least.at")))
+    return apart.select("doc_id", "at", F.col("least.doc_id").alias("first_doc_id"), F.col("least.at").alias("first_at"))
 
 
 def tree_nodes(letters: np.ndarray) -> np.ndarray:
@@ -241,8 +279,8 @@ def group_repeats(doc: np.ndarray, at: np.ndarray, n: np.ndarray, before: np.nda
 
 
 def _group_repeats(suffixes: DataFrame, window: int, sources: bool, most: int) -> DataFrame:
-    """``doc_id, at, n`` of runs of repeated windows (``at`` is the first), or ``doc_id, at,
-    first_doc_id, first_at`` of each.
+    """``doc_id, runs`` of repeated windows (the place of the first and their number), or ``doc_id,
+    at, first_doc_id, first_at`` of each.
 
     Rows come sorted by prefix; whole groups are treated as soon as the next one begins. Of a group
     of more than ``most`` rows, rows that hold no first place are dropped on the way: rows come in
@@ -303,7 +341,8 @@ def _group_repeats(suffixes: DataFrame, window: int, sources: bool, most: int) -
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, sources: bool = False) -> DataFrame:
-    """``doc_id, at, n``: runs of windows, the first at word ``at``, that also start earlier.
+    """``doc_id, runs``: runs of windows that also start earlier, each the first one's word ``at``
+    and their number ``n``.
 
     ``sources``: ``doc_id, at, first_doc_id, first_at``, one row per repeated window with the
     smallest place of its words.
@@ -320,13 +359,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
     # outer joins throughout, so that every use of the texts has the same exchange
     rows = lean.join(shared.hint("shuffle_hash"), "doc_id", "left")
     found = _group_repeats(_suffixes(rows, window, gram), window, sources, 4 * group)
+    if not sources:
+        found = found.select("doc_id", F.array(F.struct("at", "n")).alias("runs"))
     if levels.where(F.col("level") == len(LENGTHS)).isEmpty():
         return found
-    long = _whole_windows(rows, window, gram)
-    first = cut(long.groupBy("low", "high").agg(F.min(F.struct("doc_id", F.col("places")[0].alias("at"))).alias("first"), F.count("*").alias("docs"), F.max(F.size("places")).alias("most")).where("docs > 1 OR most > 1").select("low", "high", "first"))
-    later = F.filter("places", lambda x: (F.col("doc_id") != F.col("first.doc_id")) | (x != F.col("first.at")))
-    hot = long.join(first, ["low", "high"]).select("doc_id", F.explode(later).alias("at"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at"))
-    return found.unionByName(hot if sources else hot.select("doc_id", "at", F.lit(1).alias("n")))
+    runs = _whole_runs(rows, window, gram)
+    return found.unionByName(_hot_sources(runs) if sources else _hot_repeats(runs))
 
 
 def maximal_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -347,7 +385,7 @@ def maximal_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", d
 
 def removal_spans(windows: DataFrame) -> DataFrame:
     """``doc_id, starts``: the runs of repeated windows of a document."""
-    return windows.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
+    return windows.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("starts"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", with_text: bool = False, gram: int = GRAM, group: int = GROUP) -> DataFrame:
