@@ -39,13 +39,22 @@ def _keep(rows: DataFrame, key: str, verdict: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go, each row by its own score."""
+    """Documents that the quality classifier rejects go, each row by its own score.
+
+    So rows with a null or repeated id are judged like others; a null or empty text is scored as an
+    empty one; without labels of both classes every row stays; an empty table gives no rows; other
+    columns are carried along, whatever their names.
+    """
     rows, key = _with_key(docs)
     return _keep(rows, key, score(rows.withColumn("doc_id", F.col(key)), train(docs, table(spark, sf_dir, "labels"))))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal texts one with the largest id stays; a null id is below every other."""
+    """Of rows with equal texts one with the largest id stays; a null id is below every other.
+
+    A null text is equal to an empty one. Of rows with equal texts and ids one stays; an empty table
+    gives no rows; other columns are carried along, whatever their names.
+    """
     rows, key = _with_key(docs, nulls_last=False)
     return _keep(rows, key, exact_dedup(rows, doc_id=key))
 
@@ -53,7 +62,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays: five-word shingles, similarity 0.8 or more.
 
-    The smallest id stays; rows with a null id are compared like others and come after all ids.
+    The smallest id stays; rows with a null id are compared like others and come after all ids. Texts
+    without words stay; an empty table gives no rows; other columns are carried along, whatever their
+    names.
     """
     rows, key = _with_key(docs)
     return _keep(rows, key, near_duplicates(rows, words=5, percent=80, doc_id=key))
@@ -64,7 +75,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A text without a repeat stays as it is; else its kept words are joined by one space, and
     ``n_chars`` follows. Texts without words had nothing to lose and stay. Rows are taken in the
-    order of their ids, rows with a null id after all others.
+    order of their ids, rows with a null id after all others; each row comes back once. An empty
+    table gives no rows; other columns are carried along, whatever their names.
     """
     keyed, key = _with_key(docs)
     words, removed, left = (f"{key}_{c}" for c in ("words", "removed", "text"))
@@ -79,9 +91,12 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens: one row per piece with its ids and its place."""
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=1024, groups=groups, cache_pieces=300_000)
+    """Sequences of at most 1024 tokens: one row per piece with its ``ids`` and its place.
+
+    Every row is packed, also with a null or repeated id; a null or empty text is the end id alone;
+    an empty table gives no rows; columns besides ``doc_id`` and ``text`` are ignored.
+    """
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=1024, with_ids=True, cache_pieces=300_000)
 
 
 STAGES = [
