@@ -50,13 +50,13 @@ ASSET_RULES: list[tuple[str, str | None, str]] = [
     ("ELEC-003", ELECTRIC, f"asset_class = 'transformer' AND {_none('feeder_id')}"),
     ("ELEC-005", ELECTRIC, "upper(coalesce(phase, '')) NOT IN ('A', 'B', 'C', 'AB', 'AC', 'BC', 'ABC', 'N', '')"),
     ("ELEC-006", ELECTRIC, f"abs({_number('nominal_voltage')} - {_number('operating_voltage')}) > 0.001"),
-    ("ELEC-012", ELECTRIC, "operational_status = 'normally_open'"),
+    ("ELEC-012", ELECTRIC, "operational_status = 'normally_open' OR coalesce(normally_open, false)"),
     ("ELEC-013", ELECTRIC, f"asset_class IN ('feeder_breaker', 'fuse', 'recloser') AND {_none('device_type')}"),
     ("ELEC-015", ELECTRIC, "(asset_class = 'overhead_conductor' AND placement = 'underground') OR (asset_class = 'underground_conductor' AND placement = 'overhead')"),
     ("TEL-001", FIBER, f"asset_class = 'fiber_cable' AND ({_none('from_structure')} OR {_none('to_structure')})"),
     ("TEL-004", FIBER, "asset_class IN ('fiber_cable', 'fiber_cabinet', 'splitter', 'terminal') AND used + reserved > total"),
     ("TEL-005", FIBER, "asset_class IN ('fiber_cable', 'fiber_cabinet', 'splitter', 'terminal') AND abs(available - (total - used - reserved)) > 0.001"),
-    ("TEL-006", FIBER, "asset_class = 'fiber_cable' AND fiber_count IS NOT NULL AND (strand_start < 1 OR strand_end < strand_start OR strand_end > fiber_count)"),
+    ("TEL-006", FIBER, "asset_class = 'fiber_cable' AND fiber_count IS NOT NULL AND strand_start IS NOT NULL AND strand_end IS NOT NULL AND (strand_start < 1 OR strand_end < strand_start OR strand_end > fiber_count)"),
     ("TEL-015", FIBER, "asset_class = 'splitter' AND used + reserved > total"),
     ("TEL-016", FIBER, "(asset_class = 'pole' AND placement = 'underground') OR (asset_class = 'conduit' AND placement = 'aerial')"),
     ("WATER-001", WATER, _none("trim(source_identifier)")),
@@ -77,7 +77,7 @@ ASSET_RULES: list[tuple[str, str | None, str]] = [
 ]
 
 _both = "l_id IS NOT NULL AND r_id IS NOT NULL"
-_state = lambda s, want: f"({s}_state {'' if want else 'NOT '}IN {listed(RETIRED)})"
+_state = lambda s, want: f"(coalesce({s}_state, '') {'' if want else 'NOT '}IN {listed(RETIRED)})"
 _mixed = f"({_state('l', True)} <> {_state('r', True)})"
 _pair = lambda a, b: f"((l_class = '{a}' AND r_class IN {listed(b)}) OR (r_class = '{a}' AND l_class IN {listed(b)}))"
 _membership = lambda f: f"relationship_type IN {listed(MEMBER_TYPES)} AND l_class IN {listed(MEMBERS)} AND r_class IN {listed(MEMBERS)} AND {_state('l', False)} AND {_state('r', False)} AND l_{f} <> '' AND r_{f} <> '' AND l_{f} <> r_{f}"
@@ -131,13 +131,13 @@ INCIDENT_RULES: list[tuple[str, str | None, str]] = [
     ("WATER-010", WATER, "asset_class = 'service_line' AND edges = 0"),
     ("WATER-011", WATER, "asset_class = 'hydrant' AND water_lines = 0"),
     ("WATER-012", WATER, f"asset_class IN {listed(_VALVES)} AND water_lines = 0"),
-    ("WATER-016", WATER, f"lifecycle_status NOT IN {listed(RETIRED)} AND degree > 0 AND live = 0"),
+    ("WATER-016", WATER, f"coalesce(lifecycle_status, '') NOT IN {listed(RETIRED)} AND degree > 0 AND live = 0"),
     ("WATER-017", WATER, "asset_class = 'service_line' AND meters = 0"),
     ("WW-006", SEWER, f"asset_class = 'gravity_main' AND structures < 2 AND NOT coalesce(from_structure <> '' AND to_structure <> '' AND from_structure <> to_structure, false)"),
     ("WW-015", SEWER, "asset_class = 'service_lateral' AND receiving = 0"),
     ("WW-016", SEWER, "asset_class = 'manhole' AND sewer_lines = 0"),
     ("WW-017", SEWER, "asset_class = 'lift_station' AND pressure = 0"),
-    ("WW-018", SEWER, f"lifecycle_status NOT IN {listed(RETIRED)} AND degree > 0 AND live = 0"),
+    ("WW-018", SEWER, f"coalesce(lifecycle_status, '') NOT IN {listed(RETIRED)} AND degree > 0 AND live = 0"),
 ]
 
 
@@ -205,7 +205,7 @@ def incident_counts(frame: DataFrame) -> DataFrame:
     return pair.groupBy("asset_id").agg(
         F.sum("n").alias("edges"),
         F.count_if("inside").alias("degree"),
-        F.count_if(F.col("inside") & ~F.col("other_state").isin(RETIRED)).alias("live"),
+        F.count_if(F.col("inside") & ~F.coalesce("other_state", F.lit("")).isin(RETIRED)).alias("live"),
         F.count_if(F.col("inside") & F.col("other_class").isin(STRUCTURES)).alias("structures"),
         *[F.sum(k).alias(k) for k in AROUND],
     )
@@ -229,15 +229,32 @@ def duplicate_identifiers(assets: DataFrame) -> DataFrame:
     return d.select("vertical", code.alias("rule_code"), "asset_id", F.col("first").alias("related_asset_id"), F.lit(None).cast("string").alias("relationship_id"))
 
 
+#: Strands of a bin: ranges are compared where they share one.
+STRAND_BIN = 12
+
+
 def strand_overlaps(assets: DataFrame) -> DataFrame:
-    """Pairs of cables of one route whose strand ranges meet."""
-    c = assets.where((F.col("vertical") == FIBER) & (F.col("asset_class") == "fiber_cable") & (F.col("route_id") != ""))
-    left = c.select("route_id", "asset_id", F.col("strand_start").alias("a"), F.col("strand_end").alias("b"))
-    right = c.select("route_id", F.col("asset_id").alias("related_asset_id"), F.col("strand_start").alias("c"), F.col("strand_end").alias("d"))
-    d = left.join(right, "route_id").where((F.col("asset_id") < F.col("related_asset_id")) & (F.greatest("a", "c") <= F.least("b", "d")))
+    """Pairs of cables of one route whose strand ranges meet.
+
+    Ranges are laid on bins of strands; a pair is counted in the bin of its later start only.
+    """
+    c = assets.where((F.col("vertical") == FIBER) & (F.col("asset_class") == "fiber_cable") & (F.col("route_id") != "") & (F.col("strand_start") <= F.col("strand_end")))
+    place = lambda x: F.floor(F.col(x) / STRAND_BIN)
+    c = c.select("route_id", "asset_id", F.col("strand_start").alias("a"), F.col("strand_end").alias("b"), F.explode(F.sequence(place("strand_start"), place("strand_end"))).alias("bin"))
+    right = c.select("route_id", "bin", F.col("asset_id").alias("related_asset_id"), F.col("a").alias("c"), F.col("b").alias("d"))
+    later = F.greatest("a", "c")
+    d = c.join(right, ["route_id", "bin"]).where((F.col("asset_id") < F.col("related_asset_id")) & (later <= F.least("b", "d")) & (F.floor(later / STRAND_BIN) == F.col("bin")))
     return d.select(F.lit(FIBER).alias("vertical"), F.lit("TEL-003").alias("rule_code"), "asset_id", "related_asset_id", F.lit(None).cast("string").alias("relationship_id"))
 
 
+#: Rules on references, with the column that refers and the classes that it may name.
+REFERENCES = [
+    ("WATER-013", WATER, "zone_id", ["pressure_zone"]),
+    ("WATER-015", WATER, "facility_id", ["pump_station", "storage_tank", "elevated_tank", "reservoir", "treatment_facility", "well"]),
+    ("WW-019", SEWER, "zone_id", ["sewer_basin", "collection_area", "wastewater_system_boundary"]),
+]
+
+
 def unresolved_references(assets: DataFrame, vertical: str, field: str, classes: list[str], code: str) -> DataFrame:
     """Assets whose reference is no id, identifier or own reference of the represented classes."""
     own = assets.where(F.col("vertical") == vertical)
@@ -247,12 +264,19 @@ def unresolved_references(assets: DataFrame, vertical: str, field: str, classes:
     return d.select("vertical", F.lit(code).alias("rule_code"), "asset_id", none.alias("related_asset_id"), none.alias("relationship_id"))
 
 
+def several_systems(assets: DataFrame) -> DataFrame:
+    """WW-019 on the first wastewater asset where more than one wastewater system is named."""
+    own = assets.where(F.col("vertical") == SEWER).agg(F.min("asset_id").alias("asset_id"), F.min(F.when(F.col("system_id") != "", F.col("system_id"))).alias("lo"), F.max("system_id").alias("hi"))
+    none = F.lit(None).cast("string")
+    return own.where("lo <> hi").select(F.lit(SEWER).alias("vertical"), F.lit("WW-019").alias("rule_code"), "asset_id", none.alias("related_asset_id"), none.alias("relationship_id"))
+
+
 def all_findings(assets: DataFrame, edges: DataFrame) -> DataFrame:
     """Every rule of every vertical, once per fingerprint."""
     frame = graph_frame(assets, edges)
     parts = [
         asset_rules(assets), missing_endpoints(frame), edge_rules(frame), duplicate_edges(frame), incident_rules(assets, frame), duplicate_identifiers(assets), strand_overlaps(assets),
-        unresolved_references(assets, WATER, "zone_id", ["pressure_zone", "pump"], "WATER-013"), unresolved_references(assets, SEWER, "zone_id", ["sewer_basin", "lift_station"], "WW-019"),
+        *[unresolved_references(assets, vertical, field, classes, code) for code, vertical, field, classes in REFERENCES], several_systems(assets),
     ]
     return with_identity(reduce(DataFrame.unionByName, parts)).dropDuplicates(["finding_fingerprint"])
 
@@ -281,12 +305,15 @@ def rule_availability(assets: DataFrame, rules: DataFrame) -> DataFrame:
 
 def graph_fingerprint(assets: DataFrame, edges: DataFrame) -> DataFrame:
     """``vertical, assets, edges, asset_hash, edge_hash``: an order-free hash of each network."""
-    row = lambda d: F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(d.columns)])
+    def row(d: DataFrame) -> Column:
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(d.columns)])
+        return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
     a = assets.groupBy("vertical").agg(F.count("*").alias("assets"), F.bit_xor(row(assets)).alias("asset_hash"))
     named = edges.withColumn("edge_hash", row(edges))
     ends = assets.select("asset_id", "vertical")
     touched = named.select(F.explode(F.array_distinct(F.array("from_asset_id", "to_asset_id"))).alias("asset_id"), "relationship_id", "edge_hash").join(ends, "asset_id")
-    e = touched.dropDuplicates(["vertical", "relationship_id"]).groupBy("vertical").agg(F.count("*").alias("edges"), F.bit_xor("edge_hash").alias("edge_hash"))
+    e = touched.select("vertical", "relationship_id", "edge_hash").distinct().groupBy("vertical").agg(F.count("*").alias("edges"), F.bit_xor("edge_hash").alias("edge_hash"))
     return a.join(e, "vertical", "left").fillna(0, ["edges", "edge_hash"])
 
 

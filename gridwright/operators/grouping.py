@@ -25,8 +25,10 @@ RULES = {
     "TEL-016": ("telecom_placement", 7, "advisory"),
     **{c: ("disconnected_network", 2, "stops_trace") for c in ("WATER-009", "WATER-010", "WATER-011", "WATER-012", "WATER-017", "WW-006", "WW-014", "WW-015", "WW-016", "WW-017")},
     **{c: ("lifecycle_conflict", 5, "stops_trace") for c in ("WATER-016", "WW-018")},
-    **{f"WATER-{k:03d}": ("attribute_conflict", 7, "advisory") for k in (1, 2, 3, 4, 5, 6, 7, 8, 13, 14, 15, 18)},
-    **{f"WW-{k:03d}": ("attribute_conflict", 7, "advisory") for k in (1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 19, 20)},
+    **{c: ("attribute_conflict", 7, "advisory") for c in (
+        "WATER-001", "WATER-002", "WATER-003", "WATER-004", "WATER-005", "WATER-006", "WATER-007", "WATER-008", "WATER-013", "WATER-014", "WATER-015", "WATER-018",
+        "WW-001", "WW-002", "WW-003", "WW-004", "WW-005", "WW-007", "WW-008", "WW-009", "WW-010", "WW-011", "WW-012", "WW-013", "WW-019", "WW-020",
+    )},
 }
 #: Consequence -> the rules that it follows from.
 DEPENDENCIES = {"ELEC-002": ["ELEC-001"], "ELEC-010": ["ELEC-009"], "ELEC-014": ["SHARED-005"], "TEL-002": ["TEL-001"], "TEL-005": ["TEL-004", "TEL-015"], "TEL-013": ["SHARED-005"], "TEL-014": ["SHARED-004"]}
@@ -37,6 +39,8 @@ ERRORS = [
     "TEL-001", "TEL-002", "TEL-003", "TEL-004", "TEL-006", "TEL-007", "TEL-008", "TEL-013", "TEL-015", "WATER-001", "WATER-002", "WATER-003", "WATER-006", "WATER-009", "WATER-010", "WATER-016",
     "WW-001", "WW-002", "WW-003", "WW-006", "WW-007", "WW-008", "WW-012", "WW-014", "WW-015", "WW-016", "WW-017", "WW-018",
 ]
+#: Warnings that block all the same; errors and critical findings always do.
+BLOCKING_WARNINGS = ["WATER-004", "WW-004"]
 #: Rules whose findings meet under one key: name -> (codes, by edge first).
 SHARED_KEYS = [
     ("conductor_connectivity", ["ELEC-001", "ELEC-002"], False),
@@ -63,6 +67,10 @@ def severity_sql(code: str) -> str:
     return f"CASE WHEN {code} IN {_quoted(CRITICAL)} THEN 3 WHEN {code} IN {_quoted(ERRORS)} THEN 2 WHEN {code} IN {_quoted(INFO)} THEN 0 ELSE 1 END"
 
 
+def blocking_sql(code: str) -> str:
+    return f"{code} IN {_quoted([*CRITICAL, *ERRORS, *BLOCKING_WARNINGS])}"
+
+
 def trace_sql(code: str) -> str:
     by = {}
     for rule, (_, _, t) in RULES.items():
@@ -90,12 +98,12 @@ ROOT_SQL = root_sql("f", "own_class", "other_class")
 
 
 def with_root_keys(findings: DataFrame, assets: DataFrame) -> DataFrame:
-    """Findings with ``finding_id, root_key, precedence, severity, trace`` (ranks as numbers)."""
+    """Findings with ``finding_id, root_key, precedence, severity, blocking, trace`` (ranks as numbers)."""
     f = findings if "finding_id" in findings.columns else findings.withColumn("finding_id", F.col("finding_fingerprint"))
     own = assets.where("asset_class = 'fiber_cable'").select("asset_id", F.col("asset_class").alias("own_class"))
     other = own.select(F.col("asset_id").alias("related_asset_id"), F.col("own_class").alias("other_class"))
     d = f.join(own, "asset_id", "left").join(other, "related_asset_id", "left").alias("f")
-    return d.withColumns({"root_key": F.expr(ROOT_SQL), "precedence": F.expr(rank_sql("rule_code")), "severity": F.expr(severity_sql("rule_code")), "trace": F.expr(trace_sql("rule_code"))}).drop("own_class", "other_class")
+    return d.withColumns({"root_key": F.expr(ROOT_SQL), "precedence": F.expr(rank_sql("rule_code")), "severity": F.expr(severity_sql("rule_code")), "blocking": F.expr(blocking_sql("rule_code")), "trace": F.expr(trace_sql("rule_code"))}).drop("own_class", "other_class")
 
 
 def _order():
@@ -110,7 +118,7 @@ def issue_groups(keyed: DataFrame) -> DataFrame:
         F.min(_order())["finding_id"].alias("primary_finding"),
         F.max("severity").alias("severity"),
         F.max("trace").alias("trace"),
-        F.bool_or(F.col("severity") >= 2).alias("blocking"),
+        F.bool_or("blocking").alias("blocking"),
         F.array_sort(F.collect_set("asset_id")).alias("asset_ids"),
         F.array_sort(F.collect_set("relationship_id")).alias("relationship_ids"),
     )
@@ -132,7 +140,7 @@ def member_roles(keyed: DataFrame) -> DataFrame:
 
 
 def group_priorities(members: DataFrame) -> DataFrame:
-    g = members.groupBy("vertical", "root_key").agg(F.max("severity").alias("s"), F.max("trace").alias("t"), F.bool_or(F.col("severity") >= 2).alias("b"), F.bool_and(F.col("finding_role") == "informational").alias("i"))
+    g = members.groupBy("vertical", "root_key").agg(F.max("severity").alias("s"), F.max("trace").alias("t"), F.bool_or("blocking").alias("b"), F.bool_and(F.col("finding_role") == "informational").alias("i"))
     s, t, b = F.col("s"), F.col("t"), F.col("b")
     priority = (
         F.when((t == 5) & b, F.when(s == 3, "immediate").otherwise("high"))

@@ -70,8 +70,8 @@ SQL = {
                CASE p_partkey % 4
                  WHEN 0 THEN {pick('floor(p_partkey / 4.0)', ['overhead_conductor', 'transformer', 'switch', 'underground_conductor', 'fuse', 'service_point'])}
                  WHEN 1 THEN {pick('floor(p_partkey / 4.0)', ['fiber_cable', 'splice_closure', 'terminal', 'fiber_cabinet', 'splitter', 'pole'])}
-                 WHEN 2 THEN {pick('floor(p_partkey / 4.0)', ['water_main', 'valve', 'hydrant', 'meter', 'service_line', 'pump'])}
-                 ELSE {pick('floor(p_partkey / 4.0)', ['gravity_main', 'manhole', 'force_main', 'lift_station', 'service_lateral', 'gravity_main'])} END AS asset_class,
+                 WHEN 2 THEN {pick('floor(p_partkey / 4.0)', ['water_main', 'valve', 'hydrant', 'meter', 'service_line', 'pump', 'pressure_zone', 'reservoir'])}
+                 ELSE {pick('floor(p_partkey / 4.0)', ['gravity_main', 'manhole', 'force_main', 'lift_station', 'service_lateral', 'gravity_main', 'sewer_basin'])} END AS asset_class,
                CASE WHEN p_partkey % 31 = 0 THEN '' WHEN p_partkey % 17 = 0 THEN concat(' id', CAST(p_partkey % 40 AS STRING)) ELSE concat('ID', CAST(p_partkey AS STRING)) END AS source_identifier,
                CASE WHEN p_partkey % 62 = 0 THEN '' ELSE p_name END AS canonical_name,
                {pick('floor(p_partkey / 7.0)', ['active', 'retired', 'active', 'unknown', 'abandoned', 'active', 'installed', 'odd', 'removed', 'active', 'active'])} AS lifecycle_status,
@@ -93,6 +93,8 @@ SQL = {
                p_partkey % 50 AS strand_start, p_partkey % 50 + p_size % 12 - 2 AS strand_end, CASE WHEN p_size % 2 = 0 THEN CAST(48 AS BIGINT) END AS fiber_count,
                CASE WHEN p_size % 5 <> 0 THEN CAST(36 AS BIGINT) END AS total, CAST(p_size % 30 AS BIGINT) AS used, p_partkey % 13 AS reserved, p_partkey % 25 AS available,
                CASE WHEN p_size % 4 <> 0 THEN concat('ID', CAST(p_partkey - p_partkey % 7 AS STRING)) END AS zone_id,
+               CASE WHEN p_size % 7 = 1 THEN concat('ID', CAST(p_partkey - p_partkey % 9 AS STRING)) END AS facility_id,
+               CASE WHEN p_partkey % 40 = 0 THEN true WHEN p_partkey % 8 = 0 THEN false END AS normally_open,
                CASE WHEN p_size % 6 = 1 THEN concat('Y', CAST(p_size % 5 AS STRING)) END AS system_id,
                CAST(p_size - 10 AS DOUBLE) / 20 AS slope, CASE WHEN p_size % 8 <> 0 THEN CAST(p_partkey % 90 AS DOUBLE) END AS upstream_invert, CASE WHEN p_size % 9 <> 0 THEN CAST(p_partkey % 70 AS DOUBLE) END AS downstream_invert
         FROM part""",

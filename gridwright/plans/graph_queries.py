@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.operators import connectivity as C
@@ -59,11 +62,9 @@ INCIDENT = _union(C.INCIDENT_RULES, "ai", f"asset_id, {NONE} AS related_asset_id
 query("asset_rules", ASSETS)(lambda s, sf: C.asset_rules(derive(s, sf, "assets")))
 query("edge_rules", f"WITH {FRAME} {EDGES}")(lambda s, sf: C.edge_rules(frame(s, sf)))
 query("missing_endpoints", f"WITH {FRAME} {ENDS}")(lambda s, sf: C.missing_endpoints(frame(s, sf)))
-query(
-    "duplicate_edges",
-    f"""WITH {FRAME} SELECT vertical, 'SHARED-003' AS rule_code, from_asset_id AS asset_id, to_asset_id AS related_asset_id, relationship_id FROM fv
-        WHERE relationship_id IN (SELECT relationship_id FROM (SELECT relationship_id, row_number() OVER (PARTITION BY from_asset_id, to_asset_id, relationship_type ORDER BY relationship_id) AS n FROM edges) WHERE n > 1)""",
-)(lambda s, sf: C.duplicate_edges(frame(s, sf)))
+AGAIN = """SELECT vertical, 'SHARED-003' AS rule_code, from_asset_id AS asset_id, to_asset_id AS related_asset_id, relationship_id FROM fv
+    WHERE relationship_id IN (SELECT relationship_id FROM (SELECT relationship_id, row_number() OVER (PARTITION BY from_asset_id, to_asset_id, relationship_type ORDER BY relationship_id) AS n FROM edges) WHERE n > 1)"""
+query("duplicate_edges", f"WITH {FRAME} {AGAIN}")(lambda s, sf: C.duplicate_edges(frame(s, sf)))
 query("incident_rules", f"WITH {FRAME}, {AROUND} {INCIDENT}")(lambda s, sf: C.incident_rules(derive(s, sf, "assets"), frame(s, sf)))
 query("graph_frame", f"WITH {FRAME} SELECT vertical, count(*) AS edges, count(DISTINCT from_asset_id) AS sources FROM fv GROUP BY 1")(
     lambda s, sf: C._per_vertical(frame(s, sf)).groupBy("vertical").agg(F.count("*").alias("edges"), F.countDistinct("from_asset_id").alias("sources"))
@@ -72,16 +73,29 @@ DUPLICATES = f"""SELECT vertical, CASE vertical WHEN 'water' THEN 'WATER-002' EL
     SELECT vertical, asset_id, row_number() OVER w AS n, first_value(asset_id) OVER w AS first_id FROM assets WHERE vertical IN ('water', 'wastewater') AND trim(source_identifier) <> ''
     WINDOW w AS (PARTITION BY vertical, lower(trim(source_identifier)) ORDER BY asset_id)) WHERE n > 1"""
 query("duplicate_identifiers", DUPLICATES)(lambda s, sf: C.duplicate_identifiers(derive(s, sf, "assets")))
-query(
-    "strand_overlaps",
-    f"""WITH c AS (SELECT * FROM assets WHERE vertical = 'telecom_fiber' AND asset_class = 'fiber_cable' AND route_id <> '')
-        SELECT 'telecom_fiber' AS vertical, 'TEL-003' AS rule_code, l.asset_id, r.asset_id AS related_asset_id, {NONE} AS relationship_id FROM c l JOIN c r ON l.route_id = r.route_id AND l.asset_id < r.asset_id AND greatest(l.strand_start, r.strand_start) <= least(l.strand_end, r.strand_end)""",
-)(lambda s, sf: C.strand_overlaps(derive(s, sf, "assets")))
-query(
-    "unresolved_references",
-    f"""WITH o AS (SELECT * FROM assets WHERE vertical = 'water'), k AS (SELECT unnest([asset_id, source_identifier, zone_id]) AS id FROM o WHERE asset_class IN ('pressure_zone', 'pump'))
-        SELECT vertical, 'WATER-013' AS rule_code, asset_id, {NONE} AS related_asset_id, {NONE} AS relationship_id FROM o WHERE zone_id <> '' AND zone_id NOT IN (SELECT id FROM k WHERE id <> '')""",
-)(lambda s, sf: C.unresolved_references(derive(s, sf, "assets"), "water", "zone_id", ["pressure_zone", "pump"], "WATER-013"))
+STRANDS = f"""SELECT 'telecom_fiber' AS vertical, 'TEL-003' AS rule_code, l.asset_id, r.asset_id AS related_asset_id, {NONE} AS relationship_id FROM assets l JOIN assets r ON l.route_id = r.route_id AND l.asset_id < r.asset_id
+    WHERE l.vertical = 'telecom_fiber' AND r.vertical = 'telecom_fiber' AND l.asset_class = 'fiber_cable' AND r.asset_class = 'fiber_cable' AND l.route_id <> '' AND greatest(l.strand_start, r.strand_start) <= least(l.strand_end, r.strand_end)"""
+query("strand_overlaps", STRANDS)(lambda s, sf: C.strand_overlaps(derive(s, sf, "assets")))
+
+
+def _reference(code: str, vertical: str, field: str, classes: str) -> str:
+    known = f"SELECT id FROM (SELECT unnest([asset_id, source_identifier, {field}]) AS id FROM assets WHERE vertical = '{vertical}' AND asset_class IN ({classes})) WHERE id <> ''"
+    return f"SELECT vertical, '{code}' AS rule_code, asset_id, {NONE} AS related_asset_id, {NONE} AS relationship_id FROM assets WHERE vertical = '{vertical}' AND {field} <> '' AND {field} NOT IN ({known})"
+
+
+REFERENCES = " UNION ALL ".join([
+    _reference("WATER-013", "water", "zone_id", "'pressure_zone'"),
+    _reference("WATER-015", "water", "facility_id", "'pump_station', 'storage_tank', 'elevated_tank', 'reservoir', 'treatment_facility', 'well'"),
+    _reference("WW-019", "wastewater", "zone_id", "'sewer_basin', 'collection_area', 'wastewater_system_boundary'"),
+    f"SELECT 'wastewater', 'WW-019', min(asset_id), {NONE}, {NONE} FROM assets WHERE vertical = 'wastewater' HAVING count(DISTINCT system_id) > 1",
+])
+
+
+@query("unresolved_references", REFERENCES)
+def unresolved_references(s, sf):
+    assets = derive(s, sf, "assets")
+    parts = [C.unresolved_references(assets, vertical, field, classes, code) for code, vertical, field, classes in C.REFERENCES]
+    return reduce(DataFrame.unionByName, [*parts, C.several_systems(assets)])
 
 
 #: Some rules' classes and attributes.
@@ -97,29 +111,50 @@ def rule_availability(s, sf):
     return C.rule_availability(derive(s, sf, "assets"), s.createDataFrame(NEEDS, "rule_code string, vertical string, classes array<string>, fields array<string>"))
 
 
-@query("graph_fingerprint")
+_HASH = lambda columns: "CAST(concat('0x', substr(md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in sorted(columns)) + ")), 1, 15)) AS BIGINT)"
+ASSET_COLUMNS = [
+    "asset_id", "k", "vertical", "asset_class", "source_identifier", "canonical_name", "lifecycle_status", "operational_status", "geometry_type", "spatial_reference", "suspicious_extent", "owner_candidate", "jurisdiction",
+    "feeder_id", "circuit_id", "phase", "nominal_voltage", "operating_voltage", "placement", "conduit_id", "structure_id", "device_type", "diameter", "material", "route_id", "from_structure", "to_structure", "strand_start", "strand_end",
+    "fiber_count", "total", "used", "reserved", "available", "zone_id", "facility_id", "normally_open", "system_id", "slope", "upstream_invert", "downstream_invert",
+]
+EDGE_COLUMNS = ["relationship_id", "from_asset_id", "to_asset_id", "relationship_type", "direction", "provisional"]
+
+
+@query("graph_fingerprint", f"""WITH a AS (SELECT vertical, count(*) AS assets, bit_xor({_HASH(ASSET_COLUMNS)}) AS asset_hash FROM assets GROUP BY 1),
+    t AS (SELECT DISTINCT a.vertical, e.relationship_id, {_HASH([f"e.{c}" for c in EDGE_COLUMNS])} AS h FROM edges e JOIN assets a ON a.asset_id = e.from_asset_id OR a.asset_id = e.to_asset_id),
+    e AS (SELECT vertical, count(*) AS edges, bit_xor(h) AS edge_hash FROM t GROUP BY 1)
+    SELECT vertical, assets, asset_hash, coalesce(edges, 0) AS edges, coalesce(edge_hash, 0) AS edge_hash FROM a LEFT JOIN e USING (vertical)""")
 def graph_fingerprint(s, sf):
     return C.graph_fingerprint(*tables(s, sf))
 
 
-_ALL = f"""{FRAME}, {AROUND}, al AS MATERIALIZED (SELECT DISTINCT * FROM ({ASSETS} UNION ALL {EDGES} UNION ALL {ENDS} UNION ALL {INCIDENT}))"""
+_ALL = f"""{FRAME}, {AROUND}, al AS MATERIALIZED (SELECT DISTINCT * FROM ({ASSETS} UNION ALL {EDGES} UNION ALL {ENDS} UNION ALL {AGAIN} UNION ALL {INCIDENT} UNION ALL {DUPLICATES} UNION ALL {STRANDS} UNION ALL {REFERENCES}))"""
+_PRINT = "sha256(concat_ws('|', vertical, rule_code, coalesce(asset_id, ''), coalesce(related_asset_id, ''), coalesce(relationship_id, '')))"
 
 
-def some_findings(s, sf):
-    """Asset, edge, endpoint and incident findings with their rule's severity, and the assets."""
+@query("all_findings", f"WITH {_ALL} SELECT *, {_PRINT} AS finding_fingerprint FROM al")
+def all_findings(s, sf):
+    return C.all_findings(*tables(s, sf))
+
+
+def every_finding(s, sf):
+    """The findings of every rule, kept in the shared folder, and the assets."""
     assets, edges = tables(s, sf)
-    fr = C.graph_frame(assets, edges)
-    found = C.asset_rules(assets).unionByName(C.edge_rules(fr)).unionByName(C.missing_endpoints(fr)).unionByName(C.incident_rules(assets, fr)).distinct()
-    return cut(C.with_identity(found)), assets
+    return cut(C.all_findings(assets, edges)), assets
+
+
+#: Rules that the registered data cannot run: their classes are not there.
+_UNABLE = "SELECT 'TEL-012' AS rule_code"
+_RULES = " UNION ALL ".join(f"SELECT '{code}' AS rule_code" for code in G.RULES)
 
 
-@query("rule_run_status", f"""WITH {_ALL}, r AS (SELECT DISTINCT rule_code FROM al), n AS (SELECT rule_code, count(*) AS findings FROM al GROUP BY 1), x AS (SELECT rule_code, rule_code NOT LIKE '%5' AS blocking FROM r UNION ALL SELECT 'NONE-1', true UNION ALL SELECT 'SKIP-1', true)
-   SELECT rule_code, coalesce(findings, 0) AS findings, CASE WHEN rule_code = 'SKIP-1' THEN 'skipped' WHEN coalesce(findings, 0) = 0 THEN 'passed' WHEN blocking THEN 'failed' ELSE 'warning' END AS status FROM x LEFT JOIN n USING (rule_code)""")
+@query("rule_run_status", f"""WITH {_ALL}, n AS (SELECT rule_code, count(*) AS findings FROM al GROUP BY 1)
+   SELECT rule_code, coalesce(findings, 0) AS findings, CASE WHEN rule_code IN ({_UNABLE}) THEN 'skipped' WHEN coalesce(findings, 0) = 0 THEN 'passed' WHEN {G.blocking_sql('rule_code')} THEN 'failed' ELSE 'warning' END AS status FROM ({_RULES}) LEFT JOIN n USING (rule_code)""")
 def rule_run_status(s, sf):
-    found, _ = some_findings(s, sf)
-    more = s.createDataFrame([("NONE-1", True), ("SKIP-1", True)], "rule_code string, blocking boolean")
-    rules = found.select("rule_code").distinct().withColumn("blocking", ~F.col("rule_code").like("%5")).unionByName(more)
-    return C.rule_run_status(rules, found, more.where("rule_code = 'SKIP-1'"))
+    found, assets = every_finding(s, sf)
+    rules = s.createDataFrame([(code,) for code in G.RULES], "rule_code string").withColumn("blocking", F.expr(G.blocking_sql("rule_code")))
+    needs = s.createDataFrame([("TEL-012", "telecom_fiber", ["proposed_construction_segment"], [])], "rule_code string, vertical string, classes array<string>, fields array<string>")
+    return C.rule_run_status(rules, found, C.rule_availability(assets, needs).where("NOT available"))
 
 
 @query("carry_reviews", """WITH f AS (SELECT DISTINCT fingerprint FROM reviews), l AS (SELECT fingerprint, arg_max(disposition, {'r': run_id, 'e': event_id}) AS s FROM reviews WHERE event_id % 3 = 0 GROUP BY 1)
@@ -132,14 +167,14 @@ def carry_reviews(s, sf):
 
 _KEY = G.ROOT_SQL
 _GROUPED = f"""{_ALL}, ky AS (SELECT al.*, sha256(concat_ws('|', vertical, rule_code, coalesce(asset_id, ''), coalesce(related_asset_id, ''), coalesce(relationship_id, ''))) AS finding_id FROM al),
-  kk AS MATERIALIZED (SELECT ky.*, {G.root_sql('ky', 'a1.asset_class', 'a2.asset_class')} AS root_key, {G.rank_sql('rule_code')} AS precedence, {G.severity_sql('rule_code')} AS severity, {G.trace_sql('rule_code')} AS trace
+  kk AS MATERIALIZED (SELECT ky.*, {G.root_sql('ky', 'a1.asset_class', 'a2.asset_class')} AS root_key, {G.rank_sql('rule_code')} AS precedence, {G.severity_sql('rule_code')} AS severity, {G.blocking_sql('rule_code')} AS blocking, {G.trace_sql('rule_code')} AS trace
          FROM ky LEFT JOIN assets a1 ON a1.asset_id = ky.asset_id LEFT JOIN assets a2 ON a2.asset_id = ky.related_asset_id),
   rn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vertical, root_key ORDER BY precedence, (rule_code IN {C.listed(sorted(G.DEPENDENCIES))})::INT, -severity, rule_code, finding_id) AS place FROM kk)"""
 
 
 @query("root_keys", f"WITH {_GROUPED} SELECT vertical, rule_code, coalesce(asset_id, '') AS asset_id, root_key FROM kk")
 def root_keys(s, sf):
-    found, assets = some_findings(s, sf)
+    found, assets = every_finding(s, sf)
     return G.with_root_keys(found, assets).select("vertical", "rule_code", F.coalesce("asset_id", F.lit("")).alias("asset_id"), "root_key")
 
 
@@ -148,7 +183,7 @@ def root_keys(s, sf):
     f"""WITH {_GROUPED} SELECT vertical, root_key, count(*) AS members, max(severity) AS severity, max(trace) AS trace, max(rule_code) FILTER (place = 1) AS primary_rule, count(DISTINCT asset_id) AS assets, count(DISTINCT relationship_id) AS edges FROM rn GROUP BY 1, 2""",
 )
 def issue_groups(s, sf):
-    found, assets = some_findings(s, sf)
+    found, assets = every_finding(s, sf)
     return G.issue_groups(G.with_root_keys(found, assets)).select("vertical", "root_key", "members", "severity", "trace", "primary_rule", F.size("asset_ids").cast("long").alias("assets"), F.size("relationship_ids").cast("long").alias("edges"))
 
 
@@ -162,13 +197,13 @@ _ROLE = f"""CASE WHEN members = 1 THEN CASE WHEN severity = 0 THEN 'informationa
         SELECT finding_id, {_ROLE} AS finding_role FROM g""",
 )
 def member_roles(s, sf):
-    found, assets = some_findings(s, sf)
+    found, assets = every_finding(s, sf)
     return G.member_roles(G.with_root_keys(found, assets)).select("finding_id", "finding_role")
 
 
 _ROLLED = f"""{_GROUPED}, g2 AS (SELECT *, count(*) OVER (PARTITION BY vertical, root_key) AS members, first_value(rule_code) OVER (PARTITION BY vertical, root_key ORDER BY place) AS primary_rule FROM rn),
    rl AS (SELECT *, {_ROLE} AS finding_role FROM g2),
-   gp AS (SELECT vertical, root_key, max(severity) AS severity, max(trace) AS trace, bool_or(severity >= 2) AS blocking, bool_and(finding_role = 'informational') AS info FROM rl GROUP BY 1, 2)"""
+   gp AS (SELECT vertical, root_key, max(severity) AS severity, max(trace) AS trace, bool_or(blocking) AS blocking, bool_and(finding_role = 'informational') AS info FROM rl GROUP BY 1, 2)"""
 
 
 @query(
@@ -177,7 +212,7 @@ _ROLLED = f"""{_GROUPED}, g2 AS (SELECT *, count(*) OVER (PARTITION BY vertical,
         WHEN trace IN (1, 2) THEN CASE WHEN severity < 2 THEN 'low' ELSE 'normal' END ELSE 'normal' END AS priority FROM gp""",
 )
 def group_priorities(s, sf):
-    found, assets = some_findings(s, sf)
+    found, assets = every_finding(s, sf)
     return G.group_priorities(G.member_roles(G.with_root_keys(found, assets)))
 
 
@@ -186,7 +221,7 @@ def group_priorities(s, sf):
     f"""WITH {_ROLLED} SELECT vertical, finding_role, severity, count(*) AS findings, count(DISTINCT root_key) AS groups FROM rl GROUP BY GROUPING SETS ((vertical), (vertical, finding_role), (vertical, severity))""",
 )
 def calibrated_summary(s, sf):
-    found, assets = some_findings(s, sf)
+    found, assets = every_finding(s, sf)
     return G.calibrated_summary(G.member_roles(G.with_root_keys(found, assets)))
 
 
@@ -206,8 +241,3 @@ def prior_reviews(s, sf):
 def supersession(s, sf):
     r = derive(s, sf, "reviews").withColumnRenamed("fingerprint", "issue_group_id")
     return G.supersession(r.where("event_id % 2 = 0"), r.where("event_id % 2 = 1"))
-
-
-@query("all_findings")
-def all_findings(s, sf):
-    return C.all_findings(*tables(s, sf))
