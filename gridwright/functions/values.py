@@ -133,21 +133,39 @@ def lifecycle_role(role: Column, signal: Column) -> Column:
     return F.when((signal == "proposed") & (role == "network_asset"), "proposed_design").otherwise(role)
 
 
+def folded(value: Column) -> Column:
+    """Lower-cased, without white space around and with single spaces inside; null is empty."""
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(value.cast("string"), F.lit(""))), r"\s+", " "))
+
+
 def stable_id(kind: str, *parts: Column) -> Column:
-    return F.concat(F.lit(kind + "_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 20))
+    return F.concat(F.lit(kind + "_"), F.substring(F.sha2(F.concat_ws("|", *[folded(p) for p in parts]), 256), 1, 20))
 
 
 def issue_uuid(*parts: Column) -> Column:
     """Name-based UUID (version 5, URL namespace) of the parts joined by ``|``."""
+    # fixed value: ids of the same issue must be the same everywhere
     name = F.concat(F.lit("utilities-platform:wastewater:"), F.concat_ws("|", *[p.cast("string") for p in parts]))
     h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), F.encode(name, "UTF-8")))
     variant = F.element_at(F.array(*[F.lit(x) for x in "89ab" * 4]), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") + 1)
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def issue_fingerprint(*parts: Column) -> Column:
-    """Hash of what an issue is about, without its run or id."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+def geometry_signature(geometry: Column) -> Column:
+    """A point's place, or the ends and length of a line, to two digits."""
+    text = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 2).cast("string")
+    paths = geometry["paths"]
+    first, last = F.element_at(F.element_at(paths, 1), 1), F.element_at(F.element_at(paths, -1), -1)
+    empty = F.coalesce(F.size(paths) <= 0, F.lit(True)) | F.coalesce(F.size(F.get(paths, F.lit(0))) <= 0, F.lit(True))
+    line = F.when(empty, "line:empty").otherwise(F.concat_ws(":", F.lit("line"), text(first["x"]), text(first["y"]), text(last["x"]), text(last["y"]), text(geometry["length"])))
+    return F.when(geometry["type"] == "point", F.concat_ws(":", F.lit("pt"), text(geometry["x"]), text(geometry["y"]))).when(geometry["type"] == "polyline", line).otherwise("geom:none")
+
+
+def issue_fingerprint(system: Column, layer: Column, asset: Column, rule: Column, related: Column, geometry: Column, threshold: Column) -> Column:
+    """Hash of what an issue is about, without its run or id: folded texts and the signature of the
+    geometry as JSON with sorted keys. ``asset`` and ``related`` are an asset's id or else its object id."""
+    parts = {"asset_key": folded(asset), "geometry": geometry_signature(geometry), "related_key": folded(related), "rule_code": folded(rule), "source_layer": folded(layer), "threshold": folded(threshold), "utility_system": folded(system)}
+    return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()])), 256)
 
 
 def finding_class(rule: Column, category: Column) -> Column:

@@ -296,10 +296,12 @@ def rule_availability(assets: DataFrame, rules: DataFrame) -> DataFrame:
     d = rules.join(seen, "vertical", "left")
     fits = (F.size("classes") == 0) | F.array_contains("classes", F.col("asset_class"))
     flags = d.groupBy("rule_code").agg(
-        F.bool_or(F.coalesce(fits & F.col("asset_class").isNotNull(), F.lit(False))).alias("c"),
+        F.bool_or((F.size("classes") == 0) | F.coalesce(fits, F.lit(False))).alias("c"),
         F.bool_or(F.coalesce(fits & ((F.size("fields") == 0) | F.arrays_overlap("fields", "have")), F.lit(False))).alias("f"),
+        F.first(F.array_sort("fields")).alias("needed"),
     )
-    reason = F.when(~F.col("c"), "no asset of the classes").when(~F.col("f"), "required attributes are absent").otherwise("")
+    lacking = F.concat(F.lit("Unable to determine: required evidence is unavailable ("), F.array_join("needed", ", "), F.lit(")."))
+    reason = F.when(~F.col("c"), "Unable to determine: no applicable canonical assets are represented.").when(~F.col("f"), lacking).otherwise("")
     return flags.select("rule_code", (F.col("c") & F.col("f")).alias("available"), reason.alias("reason"))
 
 

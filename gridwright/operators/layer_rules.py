@@ -153,29 +153,37 @@ def slope_conflict(rows: DataFrame, tolerance: float = 0.5, code: str = "WW_FLOW
     return findings(d, code, PIPE, F.format_string("%.4f", "_slope"))
 
 
-def rule_status(rules: DataFrame, mapping: DataFrame) -> DataFrame:
+def rule_status(rules: DataFrame, mapping: DataFrame, has_domains: bool = True) -> DataFrame:
     """``rule_code, state, reason``: a rule runs only if it is enabled and each layer it applies
     to has every role it needs.
 
-    ``rules``: ``rule_code, enabled, layers ARRAY, roles ARRAY``; ``mapping``: ``layer, role,
-    confidence`` where a confidence of ``unavailable`` means the role has no field.
+    ``rules``: ``rule_code, enabled, layers ARRAY, roles ARRAY``; ``mapping``: ``layer, role, field,
+    confidence`` where a confidence of ``unavailable`` means the role has no field. The layer
+    ``network`` and the role ``geometry`` need nothing; the role ``domain_fields`` needs a field with
+    a domain on any layer. WW_ATTR_008 does not run where both statuses are read from one field. The
+    first lack in the order of layers and roles is the reason.
     """
-    need = rules.select("rule_code", F.explode_outer("layers").alias("layer"), "roles").select("rule_code", "layer", F.posexplode_outer("roles").alias("pos", "role"))
-    have = mapping.where("confidence <> 'unavailable'").select("layer", "role").distinct().withColumn("_there", F.lit(True))
-    lacking = need.where("role IS NOT NULL").join(F.broadcast(have), ["layer", "role"], "left").where("_there IS NULL")
-    first = lacking.groupBy("rule_code").agg(F.min_by("role", F.struct("layer", "pos")).alias("role"))
-    reason = F.when(~F.col("enabled"), "Rule is disabled in configuration.").when(F.col("role").isNotNull(), F.format_string("Required semantic field %s is unavailable.", "role"))
-    out = rules.join(first, "rule_code", "left").withColumn("reason", reason)
+    need = rules.select("rule_code", F.posexplode("layers").alias("at", "layer"), "roles").where("layer <> 'network'")
+    asked = need.select("rule_code", "at", "layer", F.posexplode("roles").alias("pos", "role")).where("role <> 'geometry'")
+    have = mapping.where("confidence <> 'unavailable'").groupBy("layer", "role").agg(F.min("field").alias("field"))
+    known = asked.join(have.select("layer", "role", F.lit(True).alias("there")), ["layer", "role"], "left")
+    lacking = known.select("rule_code", "at", "pos", F.when(F.col("role") == "domain_fields", F.when(F.lit(not has_domains), "No ArcGIS domains are present on staged wastewater fields."))
+        .when(F.col("there").isNull(), F.format_string("Required semantic field %s is unavailable for %s.", "role", "layer")).alias("why"))
+    status = lambda role: have.where(F.col("role") == role).select("layer", F.col("field").alias(role))
+    pair = need.where("rule_code = 'WW_ATTR_008'").join(status("lifecycle_status"), "layer", "left").join(status("operational_status"), "layer", "left")
+    same = pair.where(F.col("lifecycle_status").eqNullSafe(F.col("operational_status"))).select("rule_code", "at", F.lit(1_000_000).alias("pos"), F.format_string("Lifecycle and operational status map to the same source field for %s.", "layer").alias("why"))
+    first = lacking.where("why IS NOT NULL").unionByName(same).groupBy("rule_code").agg(F.min_by("why", F.struct("at", "pos")).alias("why"))
+    out = rules.join(first, "rule_code", "left").withColumn("reason", F.when(~F.col("enabled"), "Rule is disabled in configuration.").otherwise(F.col("why")))
     return out.select("rule_code", F.when(F.col("reason").isNull(), "run").otherwise("skipped").alias("state"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 def issues(found: DataFrame, rules: DataFrame, run_id: str, created_at: str) -> DataFrame:
-    """The full issue table, one row per issue id (equal ids keep one row).
+    """The full issue table, one row per issue id (of equal ids the first by object and description).
 
     ``rules``: ``rule_code, name, category, severity, description, detection_method,
     recommended_action``.
     """
-    named = found.join(F.broadcast(rules.withColumnRenamed("description", "why_it_matters")), "rule_code")
+    named = found.join(rules.withColumnRenamed("description", "why_it_matters"), "rule_code")
     key = F.when(F.col("issue_key") != "", F.col("issue_key")).otherwise(F.col("description"))
     out = named.withColumn("issue_id", issue_uuid(F.lit(run_id), F.col("rule_code"), F.col("source_layer"), F.col("source_objectid"), F.col("related_objectid"), key))
     kind = {PIPE: ("gravity_network", "pipe", "gravity_main"), MANHOLE: ("structures", "access_structure", "manhole")}
@@ -186,7 +194,8 @@ def issues(found: DataFrame, rules: DataFrame, run_id: str, created_at: str) ->
         "source_layer", "source_asset_id", "source_objectid", F.lit("").alias("related_asset_id"), "related_objectid", "description", "why_it_matters",
         "recommended_action", "detection_method", F.lit("open").alias("review_status"), F.lit(run_id).alias("run_id"), F.lit(created_at).alias("created_at"),
     )
-    return out.dropDuplicates(["issue_id"])
+    first = Window.partitionBy("issue_id").orderBy("source_layer", "source_objectid", "related_objectid", "description")
+    return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def later_duplicates(rows: DataFrame, field: str) -> DataFrame:

@@ -115,13 +115,16 @@ def package_prefixes(layers: DataFrame, infrastructure: list[str] = INFRASTRUCTU
 
 
 def inherited_sensitivity(fields: DataFrame, levels: DataFrame, words: list[str]) -> DataFrame:
-    """``layer_id, sensitivity, reason``: the package's level, raised to restricted by a field
-    whose name has one of ``words``."""
-    hit = F.lower("field_name").rlike("|".join(words))
+    """``layer_id, sensitivity, status, public_use_allowed, export_allowed``: the package's level (a
+    level that is not known is restricted). A field whose name, without underscores, has one of
+    ``words`` asks for a review and forbids public use and export."""
+    hit = F.replace(F.lower("field_name"), F.lit("_"), F.lit("")).rlike("|".join(words))
     f = fields.groupBy("layer_id").agg(F.bool_or(hit).alias("s"))
-    d = levels.join(f, "layer_id", "left")
-    s = F.coalesce("s", F.lit(False))
-    return d.select("layer_id", F.when(s, "restricted").otherwise(F.col("level")).alias("sensitivity"), F.when(s, "sensitive_field_name").otherwise("inherited_from_package").alias("reason"))
+    d = levels.join(f, "layer_id", "left").withColumn("s", F.coalesce("s", F.lit(False)))
+    level = F.when(F.col("level").isin("restricted", "confidential", "internal", "public"), F.col("level")).otherwise("restricted")
+    free = (level == "public") & ~F.col("s")
+    status = F.when(F.col("s"), "needs_sensitivity_review").otherwise("inherited_from_package")
+    return d.select("layer_id", level.alias("sensitivity"), status.alias("status"), free.alias("public_use_allowed"), free.alias("export_allowed"))
 
 
 def taxonomy_decisions(candidates: DataFrame, facts: DataFrame) -> DataFrame:
@@ -158,15 +161,41 @@ def staging_readiness(decisions: DataFrame, coordinates: DataFrame, duplicates:
     return d.select("layer_id", state.alias("readiness"))
 
 
+#: Names that a geodatabase keeps for itself.
+RESERVED = ["table", "select", "from", "where"]
+
+
 def staging_names(layers: DataFrame, base: Column, longest: int = 60) -> DataFrame:
-    """``layer_id, target_name``: unique names per submission, ``_2``, ``_3``, ... in name order."""
-    clean = F.regexp_replace(F.regexp_replace(F.lower(base), "[^a-z0-9_]+", "_"), "_+", "_")
-    clean = F.btrim(clean, F.lit("_"))
+    """``layer_id, target_name``: names that are unique in a submission: the base, or the first of
+    base_2, base_3, ... that is free, in the order of layer names.
+
+    Where one base can only meet itself, its layers are numbered by a window. Bases that may meet the
+    numbered names of others (``x_2`` beside ``x``) are taken up one after the other; such a group is
+    what shares the base without its numbers.
+    """
+    clean = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(base), "[^a-z0-9_]+", "_"), "_+", "_"), F.lit("_"))
     clean = F.when(clean.rlike("^[a-z]"), clean).otherwise(F.concat(F.lit("layer_"), clean))
-    w = Window.partitionBy("submission_id", "b").orderBy(F.lower("layer_name"), "layer_id")
-    d = layers.withColumn("b", F.substring(clean, 1, longest)).withColumn("n", F.row_number().over(w))
-    suffix = F.concat(F.lit("_"), F.col("n").cast("string"))
-    return d.select("layer_id", F.when(F.col("n") == 1, F.col("b")).otherwise(F.concat(F.expr(f"substring(b, 1, {longest} - length(concat('_', CAST(n AS STRING))))"), suffix)).alias("target_name"))
+    clean = F.when(clean.isin(RESERVED), F.concat(F.lit("up_"), clean)).otherwise(clean)
+    d = layers.select("submission_id", "layer_id", F.lower("layer_name").alias("o"), clean.alias("b"))
+    d = d.withColumn("root", F.substring(F.regexp_replace("b", "(_[0-9]+)+$", ""), 1, longest - 20))
+    kinds = d.groupBy("submission_id", "root").agg((F.min("b") != F.max("b")).alias("mixed"))
+    d = d.join(kinds, ["submission_id", "root"])
+    n = F.row_number().over(Window.partitionBy("submission_id", "b").orderBy("o", "layer_id"))
+    suffix = F.concat(F.lit("_"), n.cast("string"))
+    plain = d.where("NOT mixed").select("layer_id", F.when(n == 1, F.substring("b", 1, longest)).otherwise(F.concat(F.substring(F.col("b"), F.lit(1), F.lit(longest) - F.length(suffix)), suffix)).alias("target_name"))
+
+    def one_by_one(rows):
+        rows, used, names = rows.sort_values(["o", "layer_id"]), set(), []
+        for b in rows["b"]:
+            name, k = b[:longest], 2
+            while name in used:
+                name, k = f"{b[: longest - len(f'_{k}')]}_{k}", k + 1
+            used.add(name)
+            names.append(name)
+        return rows.assign(target_name=names)[["layer_id", "target_name"]]
+
+    schema = f"layer_id {layers.schema['layer_id'].dataType.simpleString()}, target_name string"
+    return plain.unionByName(d.where("mixed").groupBy("submission_id", "root").applyInPandas(one_by_one, schema))
 
 
 def insert_assets(registry: DataFrame, candidates: DataFrame, keys: list[list[str]]) -> DataFrame:
@@ -196,9 +225,11 @@ def counts_by(rows: DataFrame, fields: list[str]) -> DataFrame:
 def catalog_upsert(catalog: DataFrame, found: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """The catalog after an inventory: new rows in, changed values updated, others kept.
 
-    ``action`` says which: registered, updated, unchanged or kept.
+    ``action`` says which: registered, updated, unchanged or kept. Of rows with one key the first
+    in the order of the values counts.
     """
-    new = found.dropDuplicates(keys).select(*keys, *[F.col(v).alias("_" + v) for v in values], F.lit(True).alias("_new"))
+    first = Window.partitionBy(*keys).orderBy(*[F.col(v) for v in values])
+    new = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*keys, *[F.col(v).alias("_" + v) for v in values], F.lit(True).alias("_new"))
     old = catalog.select(*keys, *values, F.lit(True).alias("_old"))
     d = old.join(new, keys, "full_outer")
     differs = F.exists(F.array(*[~F.col("_" + v).eqNullSafe(F.col(v)) for v in values]), lambda x: x)
@@ -231,9 +262,11 @@ def duplicate_packages(submissions: DataFrame) -> DataFrame:
 
 
 def package_hashes(files: DataFrame) -> DataFrame:
-    """One hash per package from its sorted ``path:sha`` rows."""
-    rows = F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha")))
-    return files.groupBy("submission_id").agg(F.sha2(F.array_join(rows, "|"), 256).alias("package_hash"))
+    """One hash per package: its files' path, size and hash, by tabs, a line each, in the order of
+    the lower-cased paths. A package's list of files is held by one task."""
+    entry = F.struct(F.lower("path").alias("k"), F.concat_ws("\t", "path", F.col("size").cast("string"), "sha").alias("line"))
+    rows = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"])
+    return files.groupBy("submission_id").agg(F.sha2(F.array_join(rows, "\n"), 256).alias("package_hash"))
 
 
 def stage_manifest(stages: dict[str, DataFrame], key: str) -> DataFrame:

@@ -214,21 +214,27 @@ def crossings(pipes: DataFrame, manholes: DataFrame, tolerance: float = 3.0, cel
     return d.join(covered, ["objectid", "related_objectid"], "left_anti")
 
 
-def component_extents(members: DataFrame, pipes: DataFrame, manholes: DataFrame, primary: int = 500) -> DataFrame:
-    """Per component: counts, pipe length, box, mean vertex, and a likely class."""
+def component_extents(members: DataFrame, pipes: DataFrame, manholes: DataFrame, gaps: DataFrame, primary: int = 500) -> DataFrame:
+    """Per component: counts, pipe length, unmatched ends (findings of ``gap_findings``), box and mean
+    vertex to two digits, whether it is isolated, and a likely class."""
     points = pipes.select(F.lit("pipe").alias("kind"), "objectid", F.explode(first_path()).alias("p")).unionByName(
         manholes.where("geometry.type = 'point'").select(F.lit("manhole").alias("kind"), "objectid", F.struct(F.col("geometry.x").alias("x"), F.col("geometry.y").alias("y")).alias("p"))
     )
     where = members.select("kind", "objectid", "component")
+    two = lambda c: F.round(c, 2)
     box = points.join(where, ["kind", "objectid"]).groupBy("component").agg(
-        F.min("p.x").alias("x_min"), F.max("p.x").alias("x_max"), F.min("p.y").alias("y_min"), F.max("p.y").alias("y_max"), F.avg("p.x").alias("cx"), F.avg("p.y").alias("cy")
+        two(F.min("p.x")).alias("x_min"), two(F.max("p.x")).alias("x_max"), two(F.min("p.y")).alias("y_min"), two(F.max("p.y")).alias("y_max"), two(F.avg("p.x")).alias("cx"), two(F.avg("p.y")).alias("cy")
     )
     lengths = pipes.select(F.lit("pipe").alias("kind"), "objectid", F.coalesce("geometry.length", F.lit(0.0)).alias("length"))
-    counts = where.join(lengths, ["kind", "objectid"], "left").groupBy("component").agg(
-        F.count_if(F.col("kind") == "pipe").alias("pipe_count"), F.count_if(F.col("kind") == "manhole").alias("manhole_count"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("total_length")
+    ends = gaps.groupBy("source_objectid").agg(F.count("*").alias("gaps")).select(F.lit("pipe").alias("kind"), F.col("source_objectid").cast("long").alias("objectid"), "gaps")
+    counts = where.join(lengths, ["kind", "objectid"], "left").join(ends, ["kind", "objectid"], "left").groupBy("component").agg(
+        F.count_if(F.col("kind") == "pipe").alias("pipe_count"), F.count_if(F.col("kind") == "manhole").alias("manhole_count"),
+        two(F.coalesce(F.sum("length"), F.lit(0.0))).alias("total_length"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("unmatched_endpoints"),
     )
-    likely = F.when(F.col("pipe_count") + F.col("manhole_count") > primary, "primary_network").when(F.col("pipe_count") + F.col("manhole_count") == 1, "isolated").otherwise("needs_review")
-    return counts.join(box, "component", "left").withColumn("likely_class", likely)
+    total = F.col("pipe_count") + F.col("manhole_count")
+    return counts.join(box, "component", "left").withColumns({
+        "isolated_status": F.when(total <= 1, "isolated").otherwise("connected_component"), "likely_class": F.when(total > primary, "primary_network").otherwise("unknown"),
+    })
 
 
 def nearest_component(extents: DataFrame, reach: float = 200.0) -> DataFrame:

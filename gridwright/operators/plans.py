@@ -41,10 +41,19 @@ def record_totals(rows: DataFrame, fields: list[str], amount: str) -> DataFrame:
 
 
 def quality_warnings(layers: DataFrame) -> DataFrame:
-    marks = F.array_compact(F.array(F.when(F.col("srs") == "", "no_spatial_reference"), F.when(F.col("record_count") == 0, "empty_layer"), F.when(F.col("geometry_type") == "", "no_geometry_type")))
+    """``layer_id, warning``: no spatial reference, no field that names a row, a doubtful class."""
+    marks = F.array_compact(F.array(
+        F.when(F.coalesce("srs", F.lit("")) == "", "missing spatial reference"), F.when(F.coalesce("unique_id_field", F.lit("")) == "", "no likely unique ID field identified"),
+        F.when(F.col("confidence").isin("low", "unknown", "review_required"), "classification needs review"),
+    ))
     return layers.select("layer_id", F.explode(marks).alias("warning"))
 
 
+def taxonomy_duplicates(layers: DataFrame, keys: list[str]) -> DataFrame:
+    """Taxonomies that more than one layer has, with their number; unknown systems do not count."""
+    return layers.where(~F.col("system").isin("unknown", "review_required")).groupBy(*keys).agg(F.count("*").alias("layers")).where("layers > 1")
+
+
 def buckets(rows: DataFrame, conditions: dict[str, str]) -> DataFrame:
     """``bucket, n``: a row counts in each bucket whose condition holds, else in ``none``."""
     marks = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(name)) for name, c in conditions.items()]))
@@ -52,10 +61,17 @@ def buckets(rows: DataFrame, conditions: dict[str, str]) -> DataFrame:
     return rows.select(F.explode(filled).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def primary_value(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:
-    """The value with the largest total weight of each key; equal weights go to the later text."""
-    sums = rows.groupBy(key, value).agg(F.sum(weight).alias("_w"))
-    return sums.groupBy(key).agg(F.max_by(value, F.struct("_w", value)).alias(value))
+def primary_system(layers: DataFrame, key: str) -> DataFrame:
+    """The system that most speaks for: high confidence counts 3, medium 1, a naming field and a
+    spatial reference 1 each. Of equal systems the one of the first layer wins; none is ``unknown``."""
+    weight = (
+        F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 1).otherwise(0)
+        + (F.coalesce("unique_id_field", F.lit("")) != "").cast("int") + (F.coalesce("srs", F.lit("")) != "").cast("int")
+    )
+    counted = ~F.col("system").isin("review_required", "unknown", "reference", "shared_reference")
+    sums = layers.groupBy(key, "system").agg(F.sum(F.when(counted, weight)).alias("w"), F.min("layer_id").alias("f"))
+    best = sums.groupBy(key).agg(F.max(F.when(F.col("w") > 0, F.struct("w", (-F.col("f")).alias("f"), "system"))).alias("b"))
+    return best.select(key, F.coalesce("b.system", F.lit("unknown")).alias("primary_system"))
 
 
 #: Taxonomy subcategories that are canonical classes of their domain.
@@ -103,15 +119,22 @@ def mapping_summary(recommended: DataFrame) -> DataFrame:
 
 
 def export_gate(datasets: DataFrame) -> DataFrame:
-    """``dataset_id, decision``: a restricted dataset leaves only sanitized and approved."""
-    blocked = F.col("restricted") & ~(F.coalesce("sanitized", F.lit(False)) & F.coalesce("approved", F.lit(False)))
+    """``dataset_id, decision``: a restricted dataset goes public only sanitized and approved.
+
+    ``datasets``: ``dataset_id, sensitivity, destination, sanitized, approved``. An export is public
+    if it is approved for public use or goes to the sanitized portfolio; others are not refused.
+    """
+    no = F.lit(False)
+    approved, sanitized = F.coalesce("approved", no), F.coalesce("sanitized", no)
+    public = approved | F.contains(F.lower(F.coalesce("destination", F.lit(""))), F.lit("sanitized_portfolio"))
+    blocked = (F.lower(F.coalesce("sensitivity", F.lit(""))) == "restricted") & public & ~(sanitized & approved)
     return datasets.select("dataset_id", F.when(blocked, "refused").otherwise("allowed").alias("decision"))
 
 
 def cad_layers(layers: DataFrame, mapping: DataFrame) -> DataFrame:
     """``layer_id, target``: case-insensitive names against a mapping; others stay unmapped."""
     m = mapping.select(F.upper("cad_name").alias("_k"), "target").dropDuplicates(["_k"])
-    d = layers.withColumn("_k", F.upper("layer_name")).join(F.broadcast(m), "_k", "left")
+    d = layers.withColumn("_k", F.upper("layer_name")).join(m, "_k", "left")
     return d.select("layer_id", F.coalesce("target", F.lit("unmapped")).alias("target"))
 
 

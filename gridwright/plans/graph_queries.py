@@ -98,20 +98,22 @@ def unresolved_references(s, sf):
     return reduce(DataFrame.unionByName, [*parts, C.several_systems(assets)])
 
 
-#: Some rules' classes and attributes.
-NEEDS = [("TEL-006", "telecom_fiber", ["fiber_cable"], ["fiber_count"]), ("ELEC-006", "electric_distribution", [], ["nominal_voltage"]), ("WATER-013", "water", ["reservoir"], ["zone_id"]), ("WW-010", "wastewater", ["gravity_main"], ["no_such_field"])]
+#: Classes and attributes that some rules need.
+NEEDS = [
+    ("TEL-006", "telecom_fiber", ["fiber_cable"], ["fiber_count"]), ("ELEC-006", "electric_distribution", [], ["nominal_voltage"]), ("WATER-013", "water", ["pressure_zone"], ["zone_id"]), ("TEL-012", "telecom_fiber", ["proposed_construction_segment"], []),
+    ("WW-010", "wastewater", ["gravity_main"], ["slope"]), ("ELEC-013", "electric_distribution", ["fuse", "recloser"], ["device_type"]), ("WATER-018", "water", [], ["strand_start_of_water"]), ("WW-011", "wastewater", ["outfall_pipe"], ["upstream_invert"]),
+]
 
 
-@query(
-    "rule_availability",
-    """SELECT 'TEL-006' AS rule_code, true AS available, '' AS reason UNION ALL SELECT 'ELEC-006', (SELECT count(nominal_voltage) > 0 FROM assets WHERE vertical = 'electric_distribution'), ''
-       UNION ALL SELECT 'WATER-013', false, 'no asset of the classes' UNION ALL SELECT 'WW-010', false, 'required attributes are absent'""",
-)
-def rule_availability(s, sf):
-    return C.rule_availability(derive(s, sf, "assets"), s.createDataFrame(NEEDS, "rule_code string, vertical string, classes array<string>, fields array<string>"))
+def _availability(code: str, vertical: str, classes: list[str], fields: list[str]) -> str:
+    own = f"FROM assets WHERE vertical = '{vertical}'" + (f" AND asset_class IN {C.listed(classes)}" if classes else "")
+    there = [f for f in fields if f in ASSET_COLUMNS]
+    c = f"(SELECT count(*) > 0 {own})" if classes else "true"
+    f = f"(SELECT count(*) > 0 {own} AND ({' OR '.join(f'{x} IS NOT NULL' for x in there) or 'false'}))" if fields else "true"
+    no = f"Unable to determine: required evidence is unavailable ({', '.join(sorted(fields))})."
+    return f"SELECT '{code}' AS rule_code, {c} AND {f} AS available, CASE WHEN NOT {c} THEN 'Unable to determine: no applicable canonical assets are represented.' WHEN NOT {f} THEN '{no}' ELSE '' END AS reason"
 
 
-_HASH = lambda columns: "CAST(concat('0x', substr(md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in sorted(columns)) + ")), 1, 15)) AS BIGINT)"
 ASSET_COLUMNS = [
     "asset_id", "k", "vertical", "asset_class", "source_identifier", "canonical_name", "lifecycle_status", "operational_status", "geometry_type", "spatial_reference", "suspicious_extent", "owner_candidate", "jurisdiction",
     "feeder_id", "circuit_id", "phase", "nominal_voltage", "operating_voltage", "placement", "conduit_id", "structure_id", "device_type", "diameter", "material", "route_id", "from_structure", "to_structure", "strand_start", "strand_end",
@@ -120,6 +122,13 @@ ASSET_COLUMNS = [
 EDGE_COLUMNS = ["relationship_id", "from_asset_id", "to_asset_id", "relationship_type", "direction", "provisional"]
 
 
+@query("rule_availability", " UNION ALL ".join(_availability(*n) for n in NEEDS))
+def rule_availability(s, sf):
+    return C.rule_availability(derive(s, sf, "assets"), s.createDataFrame(NEEDS, "rule_code string, vertical string, classes array<string>, fields array<string>"))
+
+
+_HASH = lambda columns: "CAST(concat('0x', substr(md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in sorted(columns)) + ")), 1, 15)) AS BIGINT)"
+
 @query("graph_fingerprint", f"""WITH a AS (SELECT vertical, count(*) AS assets, bit_xor({_HASH(ASSET_COLUMNS)}) AS asset_hash FROM assets GROUP BY 1),
     t AS (SELECT DISTINCT a.vertical, e.relationship_id, {_HASH([f"e.{c}" for c in EDGE_COLUMNS])} AS h FROM edges e JOIN assets a ON a.asset_id = e.from_asset_id OR a.asset_id = e.to_asset_id),
     e AS (SELECT vertical, count(*) AS edges, bit_xor(h) AS edge_hash FROM t GROUP BY 1)

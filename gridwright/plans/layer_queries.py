@@ -293,18 +293,20 @@ def crossings(s, sf):
 
 _EXT = f"""{_COMP}, vx AS (SELECT 'pipe' AS kind, objectid, sx AS x, sy AS y FROM pipes WHERE vertices >= 1 UNION ALL SELECT 'pipe', objectid, ex, ey FROM pipes WHERE vertices >= 2
     UNION ALL SELECT 'pipe', objectid, sx, sy FROM pipes WHERE vertices = 3 UNION ALL SELECT 'manhole', objectid, x, y FROM manholes WHERE x IS NOT NULL),
-  bx AS (SELECT component, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, avg(x) AS cx, avg(y) AS cy FROM vx JOIN memb USING (kind, objectid) GROUP BY 1)"""
+  bx AS (SELECT component, round(min(x), 2) AS x_min, round(max(x), 2) AS x_max, round(min(y), 2) AS y_min, round(max(y), 2) AS y_max, round(avg(x), 2) AS cx, round(avg(y), 2) AS cy FROM vx JOIN memb USING (kind, objectid) GROUP BY 1),
+  ln AS (SELECT component, round(sum({LEN}), 2) AS total_length FROM memb JOIN pipes USING (objectid) WHERE kind = 'pipe' GROUP BY 1),
+  un AS (SELECT component, count(*) AS unmatched FROM n JOIN memb ON memb.kind = 'pipe' AND memb.objectid = n.objectid, (VALUES (3), (10)) t(t) WHERE distance > t GROUP BY 1)"""
 
 
 @query(
     "component_extents",
-    f"""WITH RECURSIVE {_EXT} SELECT tab.component, pipe_count, manhole_count, x_min, x_max, y_min, y_max, round(cx, 4) AS cx, round(cy, 4) AS cy,
-        CASE WHEN pipe_count + manhole_count > 500 THEN 'primary_network' WHEN pipe_count + manhole_count = 1 THEN 'isolated' ELSE 'needs_review' END AS likely_class
-        FROM tab LEFT JOIN bx USING (component)""",
+    f"""WITH RECURSIVE {_EXT} SELECT tab.component, pipe_count, manhole_count, coalesce(total_length, 0) AS total_length, coalesce(unmatched, 0) AS unmatched_endpoints, x_min, x_max, y_min, y_max, cx, cy,
+        CASE WHEN pipe_count + manhole_count <= 1 THEN 'isolated' ELSE 'connected_component' END AS isolated_status, CASE WHEN pipe_count + manhole_count > 500 THEN 'primary_network' ELSE 'unknown' END AS likely_class
+        FROM tab LEFT JOIN bx USING (component) LEFT JOIN ln USING (component) LEFT JOIN un USING (component)""",
 )
 def component_extents(s, sf):
-    p, m, _, members = _members(s, sf)
-    return N.component_extents(members, p, m).withColumns({"cx": F.round("cx", 4), "cy": F.round("cy", 4)}).drop("total_length")
+    p, m, matches, members = _members(s, sf)
+    return N.component_extents(members, p, m, N.gap_findings(matches))
 
 
 @query(
@@ -313,8 +315,8 @@ def component_extents(s, sf):
         SELECT a.component, round(sqrt(min((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))), 2) AS nearest_distance FROM cc a, cc b WHERE a.component <> b.component GROUP BY 1""",
 )
 def nearest_component(s, sf):
-    p, m, _, members = _members(s, sf)
-    return N.nearest_component(N.component_extents(members, p, m))
+    p, m, matches, members = _members(s, sf)
+    return N.nearest_component(N.component_extents(members, p, m, N.gap_findings(matches)))
 
 
 @query(
@@ -446,9 +448,29 @@ def layer_names(s, sf):
     return derive(s, sf, "layers").select("layer_id", V.name_key(c).alias("name_key"), V.value_pattern(c).alias("pattern"), V.lifecycle_signal(c).alias("signal"))
 
 
-@query("stable_ids", """SELECT objectid, concat('asset_', left(sha256(concat('water|', CAST(objectid AS VARCHAR), '|', asset_id)), 20)) AS asset_key FROM pipes""")
+_FOLD = lambda c: f"trim(regexp_replace(lower(CAST({c} AS VARCHAR)), '\\s+', ' ', 'g'))"
+
+
+@query("stable_ids", f"""SELECT objectid, concat('asset_', left(sha256(concat_ws('|', 'water', CAST(objectid AS VARCHAR), {_FOLD("asset_id")}, {_FOLD("lifecycle")})), 20)) AS asset_key FROM pipes""")
 def stable_ids(s, sf):
-    return pipes(s, sf).select("objectid", V.stable_id("asset", F.lit("water"), F.col("objectid").cast("string"), F.col("asset_id")).alias("asset_key"))
+    return pipes(s, sf).select("objectid", V.stable_id("asset", F.lit(" Water"), F.col("objectid"), F.col("asset_id"), F.col("lifecycle")).alias("asset_key"))
+
+
+_AT = lambda c: f"CAST(round({c}, 2) AS VARCHAR)"
+_SIGN = f"""CASE WHEN vertices = 0 THEN 'geom:none' ELSE concat_ws(':', 'line', {_AT('sx')}, {_AT('sy')}, {_AT('CASE vertices WHEN 2 THEN ex ELSE sx END')}, {_AT('CASE vertices WHEN 2 THEN ey ELSE sy END')}, {_AT(f'({LEN})')}) END"""
+
+
+@query(
+    "issue_fingerprints",
+    f"""SELECT objectid, sha256(concat('{{"asset_key":"', {_FOLD(f"CASE WHEN {blank('asset_id')} THEN CAST(objectid AS VARCHAR) ELSE asset_id END")}, '","geometry":"', {_SIGN}, '","related_key":"","rule_code":"ww_geom_003","source_layer":"wastewater_gravity_main","threshold":"5.0 ft","utility_system":"wastewater"}}')) AS fingerprint
+        FROM pipes WHERE coalesce({LEN}, 0) < 5""",
+)
+def issue_fingerprints(s, sf):
+    p = pipes(s, sf)
+    found = R.short_pipe(p, 5.0).join(p.select(F.col("objectid").cast("string").alias("source_objectid"), "objectid", "geometry"), "source_objectid")
+    key = F.when(F.col("source_asset_id") == "", F.col("source_objectid")).otherwise(F.col("source_asset_id"))
+    print_ = V.issue_fingerprint(F.lit("Wastewater"), F.col("source_layer"), key, F.col("rule_code"), F.col("related_objectid"), F.col("geometry"), F.lit(" 5.0  ft"))
+    return found.select("objectid", print_.alias("fingerprint"))
 
 
 @query("all_layer_rules")

@@ -111,12 +111,14 @@ def package_prefixes(s, sf):
 
 @query(
     "inherited_sensitivity",
-    """SELECT layer_id, CASE WHEN s THEN 'restricted' ELSE level END AS sensitivity, CASE WHEN s THEN 'sensitive_field_name' ELSE 'inherited_from_package' END AS reason FROM
-       (SELECT layer_id, CASE WHEN submission_id % 2 = 0 THEN 'internal' ELSE 'restricted' END AS level FROM layers) JOIN (SELECT layer_id, bool_or(contains(lower(field_name), 'phone') OR contains(lower(field_name), 'customer')) AS s FROM fields GROUP BY 1) USING (layer_id)""",
+    """SELECT layer_id, CASE submission_id % 4 WHEN 0 THEN 'internal' WHEN 1 THEN 'public' WHEN 2 THEN 'restricted' ELSE 'restricted' END AS sensitivity, CASE WHEN s THEN 'needs_sensitivity_review' ELSE 'inherited_from_package' END AS status,
+         submission_id % 4 = 1 AND NOT s AS public_use_allowed, submission_id % 4 = 1 AND NOT s AS export_allowed
+       FROM layers JOIN (SELECT layer_id, bool_or(contains(replace(lower(field_name), '_', ''), 'customerphone') OR contains(lower(field_name), 'owner')) AS s FROM fields GROUP BY 1) USING (layer_id)""",
 )
 def inherited_sensitivity(s, sf):
-    levels = layers(s, sf).select("layer_id", F.when(F.col("submission_id") % 2 == 0, "internal").otherwise("restricted").alias("level"))
-    return L.inherited_sensitivity(derive(s, sf, "fields"), levels, ["phone", "customer"])
+    k = F.col("submission_id") % 4
+    levels = layers(s, sf).select("layer_id", F.when(k == 0, "internal").when(k == 1, "public").when(k == 2, "restricted").otherwise("secret").alias("level"))
+    return L.inherited_sensitivity(derive(s, sf, "fields"), levels, ["customerphone", "owner"])
 
 
 DEC = f"""{CAND}, tp AS (SELECT layer_id, split_part(target, '/', 1) AS sys, score, confidence FROM cd WHERE rank = 1),
@@ -209,9 +211,9 @@ def duplicate_packages(s, sf):
     return L.duplicate_packages(d)
 
 
-@query("package_hashes", "SELECT source AS submission_id, sha256(string_agg(concat(doc_id, ':', sha256(coalesce(text, ''))), '|' ORDER BY concat(doc_id, ':', sha256(coalesce(text, ''))))) AS package_hash FROM documents GROUP BY 1")
+@query("package_hashes", "SELECT doc_id // 50 AS submission_id, sha256(string_agg(concat(p, chr(9), strlen(coalesce(text, '')), chr(9), sha256(coalesce(text, ''))), chr(10) ORDER BY lower(p))) AS package_hash FROM (SELECT *, concat(CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'b' END, '/', doc_id) AS p FROM documents) GROUP BY 1")
 def package_hashes(s, sf):
-    d = table(s, sf, "documents").select(F.col("source").alias("submission_id"), F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    d = table(s, sf, "documents").select(F.floor(F.col("doc_id") / 50).alias("submission_id"), F.concat(F.when(F.col("doc_id") % 2 == 0, "A").otherwise("b"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     return L.package_hashes(d)
 
 
@@ -243,10 +245,10 @@ query("recommended_layers", f"WITH {_REC} SELECT * FROM rc")(recommended)
 query("mapping_summary", f"WITH {_REC} SELECT domain, status, confidence, count(*) AS layers FROM rc GROUP BY GROUPING SETS ((domain), (status), (confidence), ())")(lambda s, sf: M.mapping_summary(recommended(s, sf)))
 
 
-@query("export_gate", "SELECT layer_id AS dataset_id, CASE WHEN layer_id % 2 = 0 AND NOT (layer_id % 3 = 0 AND layer_id % 5 = 0) THEN 'refused' ELSE 'allowed' END AS decision FROM layers")
+@query("export_gate", "SELECT layer_id AS dataset_id, CASE WHEN layer_id % 2 = 0 AND (layer_id % 5 = 0 OR layer_id % 7 = 0) AND NOT (layer_id % 3 = 0 AND layer_id % 5 = 0) THEN 'refused' ELSE 'allowed' END AS decision FROM layers")
 def export_gate(s, sf):
     k = F.col("layer_id")
-    return M.export_gate(layers(s, sf).select(k.alias("dataset_id"), (k % 2 == 0).alias("restricted"), (k % 3 == 0).alias("sanitized"), F.when(k % 5 == 0, True).alias("approved")))
+    return M.export_gate(layers(s, sf).select(k.alias("dataset_id"), F.when(k % 2 == 0, "Restricted").otherwise("internal").alias("sensitivity"), F.when(k % 7 == 0, "/out/Sanitized_Portfolio/x").otherwise("/out/partner").alias("destination"), (k % 3 == 0).alias("sanitized"), F.when(k % 5 == 0, True).alias("approved")))
 
 
 @query("cad_layers", "SELECT layer_id, CASE upper(layer_name) WHEN 'WATERLINE' THEN 'water_main' WHEN 'MANHOLES_FINAL' THEN 'manhole' ELSE 'unmapped' END AS target FROM layers")

@@ -60,13 +60,41 @@ def run_history_rows(s, sf):
     return S.run_rows(records.join(findings, "layer", "left").fillna(0), "run-1", "2024-01-01")
 
 
-@query("rule_statuses", """SELECT 'WW_FLOW_005' AS rule_code, 'skipped' AS state, 'Required semantic field slope is unavailable.' AS reason UNION ALL SELECT 'WW_ID_003', 'run', '' UNION ALL SELECT 'WW_OFF', 'skipped', 'Rule is disabled in configuration.'""")
+#: Roles and fields of the layers; a field with no value in the table is unavailable.
+_ROLES = {"pipes": ["asset_id", "diameter", "material", "slope", "lifecycle", "operational"], "manholes": ["asset_id", "project_id"]}
+_MAP = {"lifecycle": "lifecycle_status", "operational": "operational_status"}
+_STATUS_RULES = [
+    ("WW_FLOW_005", True, ["pipes"], ["geometry", "slope", "rim_elevation"]), ("WW_ID_003", True, ["pipes", "manholes"], ["asset_id"]), ("WW_OFF", False, ["pipes"], ["nothing"]), ("WW_NET_001", True, ["network"], ["nothing"]),
+    ("WW_ATTR_006", True, ["manholes"], ["project_id", "geometry"]), ("WW_ATTR_007", True, ["pipes"], ["domain_fields"]), ("WW_ATTR_008", True, ["pipes"], ["lifecycle_status", "operational_status"]), ("WW_ATTR_001", True, ["manholes", "pipes"], ["diameter"]),
+]
+
+
+def _status_sql() -> str:
+    out = []
+    for code, enabled, layers, roles in _STATUS_RULES:
+        cases = [] if enabled else ["WHEN true THEN 'Rule is disabled in configuration.'"]
+        for layer in [x for x in layers if x != "network"]:
+            for role in [r for r in roles if r != "geometry"]:
+                field = next((f for f in _ROLES[layer] if _MAP.get(f, f) == role), None)
+                if role == "domain_fields":
+                    cases.append("WHEN true THEN 'No ArcGIS domains are present on staged wastewater fields.'")
+                else:
+                    absent = f"(SELECT count({field}) = 0 FROM {layer})" if field else "true"
+                    cases.append(f"WHEN {absent} THEN 'Required semantic field {role} is unavailable for {layer}.'")
+        reason = f"CASE {' '.join(cases)} ELSE '' END" if cases else "''"
+        out.append(f"SELECT '{code}' AS rule_code, CASE WHEN {reason} = '' THEN 'run' ELSE 'skipped' END AS state, {reason} AS reason")
+    return " UNION ALL ".join(out)
+
+
+@query("rule_statuses", _status_sql())
 def rule_statuses(s, sf):
-    from gridwright.operators.profile import field_profile
-
-    have = field_profile(pipes(s, sf), ["asset_id", "diameter", "up", "down"]).select(F.lit("pipes").alias("layer"), F.col("field").alias("role"), F.lit("high").alias("confidence"))
-    rules = s.createDataFrame([("WW_FLOW_005", True, ["pipes"], ["slope", "up", "down"]), ("WW_ID_003", True, ["pipes"], ["asset_id"]), ("WW_OFF", False, ["pipes"], [])], "rule_code string, enabled boolean, layers array<string>, roles array<string>")
-    return R.rule_status(rules, have)
+    parts = []
+    for layer, fields in _ROLES.items():
+        counts = derive(s, sf, layer).agg(*[F.count(f).alias(f) for f in fields])
+        parts.append(counts.select(F.lit(layer).alias("layer"), F.explode(F.array(*[F.struct(F.lit(_MAP.get(f, f)).alias("role"), F.lit(f).alias("field"), F.col(f).alias("n")) for f in fields])).alias("c")))
+    mapping = parts[0].unionByName(parts[1]).select("layer", "c.role", "c.field", F.when(F.col("c.n") > 0, "high").otherwise("unavailable").alias("confidence"))
+    rules = s.createDataFrame(_STATUS_RULES, "rule_code string, enabled boolean, layers array<string>, roles array<string>")
+    return R.rule_status(rules, mapping, has_domains=False)
 
 
 @query(
@@ -96,12 +124,27 @@ def record_totals(s, sf):
     return M.record_totals(derive(s, sf, "layers"), ["geometry_type", "srs"], "record_count")
 
 
-@query(
-    "inventory_warnings",
-    """SELECT layer_id, w AS warning FROM (SELECT layer_id, unnest(list_filter([CASE WHEN srs = '' THEN 'no_spatial_reference' END, CASE WHEN record_count = 0 THEN 'empty_layer' END, CASE WHEN geometry_type = '' THEN 'no_geometry_type' END], lambda x: x IS NOT NULL)) AS w FROM layers)""",
-)
+_INV = """iv AS (SELECT layer_id, layer_name, submission_id, geometry_type, srs, record_count, (SELECT min(field_name) FROM fields WHERE fields.layer_id = layers.layer_id AND upper(field_name) IN ('ASSET_ID', 'FACILITYID')) AS unique_id_field,
+    ['water', 'wastewater', 'reference', 'electric', 'unknown'][CAST(layer_id % 5 + 1 AS BIGINT)] AS system, ['high', 'medium', 'low', 'review_required'][CAST(record_count % 4 + 1 AS BIGINT)] AS confidence FROM layers)"""
+
+
+def inventory(s, sf):
+    """The layers with the field that names them, a system and a confidence."""
+    at = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(c) % len(names) + 1).cast("int"))
+    ids = derive(s, sf, "fields").where(F.upper("field_name").isin("ASSET_ID", "FACILITYID")).groupBy("layer_id").agg(F.min("field_name").alias("unique_id_field"))
+    d = derive(s, sf, "layers").join(ids, "layer_id", "left")
+    return d.withColumns({"system": at(["water", "wastewater", "reference", "electric", "unknown"], "layer_id"), "confidence": at(["high", "medium", "low", "review_required"], "record_count")})
+
+
+@query("inventory_warnings", f"""WITH {_INV} SELECT layer_id, 'missing spatial reference' AS warning FROM iv WHERE srs = '' UNION ALL SELECT layer_id, 'no likely unique ID field identified' FROM iv WHERE unique_id_field IS NULL
+    UNION ALL SELECT layer_id, 'classification needs review' FROM iv WHERE confidence IN ('low', 'review_required')""")
 def inventory_warnings(s, sf):
-    return M.quality_warnings(derive(s, sf, "layers"))
+    return M.quality_warnings(inventory(s, sf))
+
+
+@query("taxonomy_duplicates", f"WITH {_INV} SELECT submission_id, system, geometry_type, count(*) AS layers FROM iv WHERE system NOT IN ('unknown', 'review_required') GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def taxonomy_duplicates(s, sf):
+    return M.taxonomy_duplicates(inventory(s, sf), ["submission_id", "system", "geometry_type"])
 
 
 @query("exception_buckets", """SELECT bucket, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN srs = '' THEN 'coordinates' END, CASE WHEN geometry_type = '' THEN 'geometry' END, CASE WHEN record_count > 40 THEN 'large' END, CASE WHEN srs <> '' AND geometry_type <> '' AND record_count <= 40 THEN 'none' END], lambda x: x IS NOT NULL)) AS bucket FROM layers) GROUP BY 1""")
@@ -109,7 +152,8 @@ def exception_buckets(s, sf):
     return M.buckets(derive(s, sf, "layers"), {"coordinates": "srs = ''", "geometry": "geometry_type = ''", "large": "record_count > 40"})
 
 
-@query("primary_system", """SELECT submission_id, arg_max(v, {'w': w, 'v': v}) AS primary_system FROM (SELECT submission_id, split_part(layer_name, '_', 1) AS v, sum(record_count + 1) AS w FROM layers GROUP BY 1, 2) GROUP BY 1""")
+@query("primary_system", f"""WITH {_INV}, w AS (SELECT submission_id, system, sum(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN unique_id_field IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN srs <> '' THEN 1 ELSE 0 END) AS w, min(layer_id) AS f
+      FROM iv WHERE system NOT IN ('review_required', 'unknown', 'reference', 'shared_reference') GROUP BY 1, 2)
+    SELECT submission_id, coalesce(arg_max(system, {{'w': w, 'f': -f}}), 'unknown') AS primary_system FROM (SELECT DISTINCT submission_id FROM iv) LEFT JOIN (SELECT * FROM w WHERE w > 0) USING (submission_id) GROUP BY 1""")
 def primary_system(s, sf):
-    d = derive(s, sf, "layers").withColumn("system", F.split_part("layer_name", F.lit("_"), F.lit(1))).withColumn("weight", F.col("record_count") + 1)
-    return M.primary_value(d, "submission_id", "system", "weight").withColumnRenamed("system", "primary_system")
+    return M.primary_system(inventory(s, sf), "submission_id")
