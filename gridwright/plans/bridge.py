@@ -108,25 +108,29 @@ SQL = {
                l_linenumber % 7 = 0 AS provisional
         FROM lineitem""",
     "trace_edges": f"""
-        SELECT concat('T', CAST(p_partkey AS STRING), '-', CAST(n AS STRING)) AS relationship_id,
-               CASE WHEN (p_partkey + n) % 7 < 5 THEN concat('P', CAST(p_partkey AS STRING)) ELSE concat('P', CAST(p_partkey + 4 * n AS STRING)) END AS from_asset_id,
-               CASE WHEN (p_partkey + n) % 7 < 5 THEN concat('P', CAST(p_partkey + 4 * n AS STRING)) ELSE concat('P', CAST(p_partkey AS STRING)) END AS to_asset_id,
-               {pick('p_size', ['connects_to', 'feeds', 'flows_to', 'connects_to', 'mounted_on', 'feeds'])} AS relationship_type,
-               CASE WHEN (p_partkey + n) % 7 < 5 THEN CASE WHEN p_size % 4 = 0 THEN 'bidirectional' ELSE 'forward' END ELSE 'reverse' END AS direction,
-               (p_partkey + n) % 9 = 0 AS provisional
-        FROM part CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) t WHERE p_partkey % 28 < 24 - 4 * n AND (n = 1 OR p_partkey % 3 = 0) AND p_partkey + 4 * n IN (SELECT p_partkey FROM part)""",
+        SELECT relationship_id, CASE WHEN ahead THEN a ELSE b END AS from_asset_id, CASE WHEN ahead THEN b ELSE a END AS to_asset_id, relationship_type,
+               CASE WHEN ahead THEN CASE WHEN p_size % 4 = 0 THEN 'bidirectional' ELSE 'forward' END ELSE 'reverse' END AS direction, provisional
+        FROM (SELECT concat('T', CAST(p_partkey AS STRING), '-', CAST(n AS STRING)) AS relationship_id, (p_partkey + n) % 7 < 5 AS ahead, p_size, (p_partkey + n) % 9 = 0 AS provisional,
+                     concat('P', CAST(p_partkey AS STRING)) AS a,
+                     concat('P', CAST(CASE WHEN p_partkey % 28 + 4 * n < 28 AND p_partkey + 4 * n <= (SELECT max(p_partkey) FROM part) AND (n = 1 OR p_partkey % 3 = 0) THEN p_partkey + 4 * n ELSE p_partkey END AS STRING)) AS b,
+                     {pick('p_size', ['connects_to', 'feeds', 'flows_to', 'connects_to', 'mounted_on', 'feeds', 'belongs_to_feeder'])} AS relationship_type
+              FROM part CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) t) e""",
     "trace_requests": f"""
         SELECT p_partkey AS request_id, concat('P', CAST(p_partkey AS STRING)) AS start_asset_id, {pick('p_partkey', ['electric_distribution', 'telecom_fiber', 'water', 'wastewater'])} AS vertical,
+               CASE p_partkey % 4
+                 WHEN 0 THEN {pick('p_size', ['ELEC-TRACE-001', 'ELEC-TRACE-004', 'ELEC-TRACE-006', 'ELEC-TRACE-003'])} WHEN 1 THEN {pick('p_size', ['TEL-TRACE-007', 'TEL-TRACE-002', 'TEL-TRACE-005', 'TEL-TRACE-006', 'TEL-TRACE-003'])}
+                 WHEN 2 THEN {pick('p_size', ['WATER-TRACE-003', 'WATER-TRACE-005', 'WATER-TRACE-001', 'WATER-TRACE-002'])} ELSE {pick('p_size', ['WW-TRACE-003', 'WW-TRACE-002', 'WW-TRACE-005', 'WW-TRACE-007'])} END AS trace_type,
+               CASE WHEN p_size % 9 = 0 THEN concat('P', CAST(p_partkey + 8 AS STRING)) END AS target_asset_id,
                {pick('floor(p_partkey / 28.0)', ['downstream', 'bidirectional', 'downstream', 'upstream'])} AS direction,
-               {pick('p_size', ['historical', 'include_inactive', 'historical'])} AS lifecycle_mode, {pick('p_size', ['diagnostic', 'respect_state'])} AS operational_mode,
+               {pick('p_size', ['historical', 'include_inactive', 'historical'])} AS lifecycle_mode, {pick('p_size', ['diagnostic', 'respect_state', 'include_unknown'])} AS operational_mode,
                {pick('floor(p_size / 2.0)', ['include_with_warning', 'exclude', 'require_when_only_path'])} AS provisional_policy,
-               {pick('floor(p_size / 3.0)', ['standard', 'strict', 'diagnostic'])} AS qa_policy, CAST(2 + p_size % 5 AS INT) AS max_depth, 250 AS max_assets
-        FROM part WHERE p_partkey % 28 < 8""",
+               {pick('floor(p_size / 3.0)', ['conservative', 'strict', 'diagnostic', 'diagnostic'])} AS qa_policy, CAST(CASE WHEN p_size % 5 = 0 THEN 3 ELSE 40 END AS INT) AS max_depth, 250 AS max_assets
+        FROM part""",
     "trace_groups": f"""
-        SELECT concat('G', CAST(p_partkey AS STRING)) AS issue_group_id, concat('P', CAST(p_partkey AS STRING)) AS asset_id,
-               {pick('p_size', ['stops_trace', 'limits_trace', 'advisory', 'introduces_ambiguity', 'no_trace_effect'])} AS impact,
-               {pick('floor(p_size / 5.0)', ['open', 'false_positive', 'accepted_risk'])} AS review_status
-        FROM part WHERE p_partkey % 13 = 0""",
+        SELECT concat('G', CAST(p_partkey AS STRING)) AS issue_group_id, CASE WHEN n < 2 THEN concat('P', CAST(p_partkey + 4 * n AS STRING)) END AS asset_id, CASE WHEN n = 2 THEN concat('T', CAST(p_partkey AS STRING), '-1') END AS relationship_id,
+               CASE WHEN p_partkey % 13 = 0 THEN {pick('p_size', ['stops_trace', 'limits_trace', 'advisory', 'introduces_ambiguity', 'not_evaluated'])} ELSE 'no_trace_effect' END AS impact,
+               {pick('floor(p_size / 5.0)', ['open', 'false_positive', 'open', 'accepted_risk', 'superseded'])} AS review_status
+        FROM part CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) t""",
     "reviews": f"""
         SELECT concat('fp-', CAST(user_id AS STRING), '-', event_type) AS fingerprint,
                CAST(CAST(ts AS DATE) AS STRING) AS run_id, event_id AS event_id, user_id,
