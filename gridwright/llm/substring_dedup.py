@@ -388,10 +388,10 @@ def removal_spans(windows: DataFrame) -> DataFrame:
     return windows.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("starts"))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", with_text: bool = False, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", with_text: bool = False, gram: int = GRAM, group: int = GROUP, carry: list[str] = ()) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row, ``with_text`` also ``spans``
     (start and length in words of each maximal removed run) and ``text`` (kept words joined by
-    one space).
+    one space); then the columns of ``docs`` named in ``carry``, as ``carry_0, carry_1, ...``.
 
     A word goes if a window of ``window`` words covers it whose words also start earlier: at a
     smaller id, or earlier in the same document. Windows are judged on the input. A null text
@@ -403,13 +403,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", d
     is pre-aggregated and joined with adaptive skew handling; only suffixes whose prefix occurs
     twice are shipped. A very long text is one row and is read in one piece.
     """
-    lean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    starts = removal_spans(repeated_windows(lean, window, gram, group))
-    return _cut_out(lean.join(starts.hint("shuffle_hash"), "doc_id", "left"), window, with_text)
+    two = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")]
+    starts = removal_spans(repeated_windows(docs.select(*two), window, gram, group))
+    rows = docs.select(*two, *[F.col(f"`{c}`").alias(f"carry_{k}") for k, c in enumerate(carry)])
+    return _cut_out(rows.join(starts.hint("shuffle_hash"), "doc_id", "left"), window, with_text, [f.name for f in rows.schema[2:]])
 
 
-def _cut_out(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
+def _cut_out(rows: DataFrame, window: int, with_text: bool, carry: list[str]) -> DataFrame:
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", spans array<struct<start:int,length:int>>, text string" * with_text
+    schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substring")
@@ -438,6 +440,6 @@ def _cut_out(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
             if with_text:
                 arrays += [pa.array(out[4], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(out[5], pa.string())]
                 names += ["spans", "text"]
-            yield pa.record_batch(arrays, names=names)
+            yield pa.record_batch(arrays + batch.columns[3:], names=names + carry)
 
-    return rows.select("doc_id", "text", "starts").mapInArrow(run, schema)
+    return rows.select("doc_id", "text", "starts", *carry).mapInArrow(run, schema)
