@@ -84,6 +84,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | N
                 own = ids[offs[k] : offs[k + 1]]
                 if end:
                     own = np.append(own, np.uint32(end_id))
+                if not wide and len(own) and own.max() > 0xFFFF:
+                    raise ValueError("ids above 65 535 need wide=True")
                 record = frame(struct.pack("<q", key) + own.astype("<u4" if wide else "<u2").tobytes())
                 out.write(record)
                 positions.append(position)
