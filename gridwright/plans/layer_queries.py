@@ -475,4 +475,5 @@ def issue_fingerprints(s, sf):
 
 @query("all_layer_rules")
 def all_layer_rules(s, sf):
-    return R.issues(R.run_rules(pipes(s, sf), manholes(s, sf)), rules_table(s), "run-1", "2024-01-01")
+    # the layers are derived once and kept; every rule reads what it needs of them
+    return R.issues(R.run_rules(N.cut(pipes(s, sf)), N.cut(manholes(s, sf))), rules_table(s), "run-1", "2024-01-01")

@@ -38,5 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: as ``cut``, but the optimizer starts anew.
+
+    A checkpoint keeps what the optimizer has inferred of its rows; in a loop of many rounds that
+    grows with every round.
+    """
+    path = fresh_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
