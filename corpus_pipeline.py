@@ -79,15 +79,14 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     table gives no rows; other columns are carried along, whatever their names.
     """
     keyed, key = _with_key(docs)
-    words, removed, left = (f"{key}_{c}" for c in ("words", "removed", "text"))
-    cut = substring_dedup(keyed, window=20, doc_id=key, with_text=True)
-    cut = cut.select(F.col("doc_id").alias(key), F.col("n_words").alias(words), F.col("n_removed").alias(removed), F.col("text").alias(left))
-    rows = keyed.join(cut, key).where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
-    changed = rows.withColumn("text", F.when(F.col(removed) > 0, F.col(left)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        size = F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        changed = changed.withColumn("n_chars", size)
-    return changed.drop(key, words, removed, left)
+    cut = substring_dedup(keyed, window=20, doc_id=key, with_text=True, carry=docs.columns)
+    rows = cut.where("n_removed = 0 OR n_removed < n_words")
+    own = {name: F.col(f"carry_{k}") for k, name in enumerate(docs.columns)}
+    changed = F.col("n_removed") > 0
+    own["text"] = F.when(changed, F.col("text")).otherwise(own["text"])
+    if "n_chars" in own:
+        own["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return rows.select(*[column.alias(name) for name, column in own.items()])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
