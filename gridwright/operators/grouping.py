@@ -111,7 +111,8 @@ def _order():
 
 
 def issue_groups(keyed: DataFrame) -> DataFrame:
-    """One row per vertical and root key: first member, worst severity and trace effect, ids."""
+    """One row per vertical and root key: first member, worst severity and trace effect, and the ids of
+    all assets (related ones too) and relationships."""
     return keyed.groupBy("vertical", "root_key").agg(
         F.count("*").alias("members"),
         F.min(_order())["rule_code"].alias("primary_rule"),
@@ -119,7 +120,7 @@ def issue_groups(keyed: DataFrame) -> DataFrame:
         F.max("severity").alias("severity"),
         F.max("trace").alias("trace"),
         F.bool_or("blocking").alias("blocking"),
-        F.array_sort(F.collect_set("asset_id")).alias("asset_ids"),
+        F.array_sort(F.array_union(F.collect_set("asset_id"), F.collect_set("related_asset_id"))).alias("asset_ids"),
         F.array_sort(F.collect_set("relationship_id")).alias("relationship_ids"),
     )
 

@@ -189,7 +189,7 @@ def root_keys(s, sf):
 
 @query(
     "issue_groups",
-    f"""WITH {_GROUPED} SELECT vertical, root_key, count(*) AS members, max(severity) AS severity, max(trace) AS trace, max(rule_code) FILTER (place = 1) AS primary_rule, count(DISTINCT asset_id) AS assets, count(DISTINCT relationship_id) AS edges FROM rn GROUP BY 1, 2""",
+    f"""WITH {_GROUPED} SELECT vertical, root_key, count(*) AS members, max(severity) AS severity, max(trace) AS trace, max(rule_code) FILTER (place = 1) AS primary_rule, CAST(len(list_distinct(list_concat(list(asset_id), list(related_asset_id)))) AS BIGINT) AS assets, count(DISTINCT relationship_id) AS edges FROM rn GROUP BY 1, 2""",
 )
 def issue_groups(s, sf):
     found, assets = every_finding(s, sf)
