@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridwright.llm.clusters import cluster
 from gridwright.llm.exact_dedup import exact_dedup
 from gridwright.llm.host_rules import MAX_REPEAT_PERCENT, MIN_WORDS, host_quality
 from gridwright.llm.language import learn_and_identify
@@ -17,6 +18,8 @@ from gridwright.llm.quality import quality
 from gridwright.llm.records import token_records
 from gridwright.llm.substring_dedup import substring_dedup
 from gridwright.llm.token_counts import edited_counts
+from gridwright.llm.topk import top_k
+from gridwright.llm.whitening import whiten
 from gridwright.session import table
 
 
@@ -75,7 +78,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), count=40, rounds=5, scale=256, seed=2)
+
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+_ASSIGNED = """a{k} AS MATERIALIZED (SELECT vec_id, e, struct_extract(min({{'d': q + cq - 2 * CAST(list_dot_product(e, c) AS BIGINT), 'k': k}}), 'k') AS k, struct_extract(min({{'d': q + cq - 2 * CAST(list_dot_product(e, c) AS BIGINT), 'k': k}}), 'd') AS d
+          FROM v, (SELECT k, c, CAST(list_dot_product(c, c) AS BIGINT) AS cq FROM c{k}) GROUP BY vec_id, e)"""
+_MOVED = """u{k} AS (SELECT k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, unnest(range(64)) AS j FROM a{k}) GROUP BY k, j),
+        m{k} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS c FROM u{k} GROUP BY k),
+        c{next} AS MATERIALIZED (SELECT k, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (k))"""
+
 SQL = {
+    "op12_top_k": f"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS e FROM embeddings WHERE {_SOUND}),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10""",
+    "op13_clusters": f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, e, CAST(list_dot_product(e, e) AS BIGINT) AS q FROM (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS e FROM embeddings WHERE len(embedding) = 64 AND {_SOUND})),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, c FROM (SELECT sha256('2:' || vec_id) AS h, e AS c FROM v ORDER BY h LIMIT 40)),
+        {", ".join(_ASSIGNED.format(k=k) + ", " + _MOVED.format(k=k, next=k + 1) for k in range(5))},
+        {_ASSIGNED.format(k=5)},
+        i AS (SELECT k, CAST(sum(d) AS BIGINT) AS ci FROM a5 GROUP BY k),
+        n AS (SELECT k, sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS h FROM c5)
+        SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, ci AS cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a5) AS inertia, h AS centroid_sha256 FROM a5 JOIN i USING (k) JOIN n USING (k)""",
     "op9_exact": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -110,5 +145,5 @@ SQL = {
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash, op2_host_rules, op3_token_counts, op4_token_records, op5_substring, op6_language, op7_pieces, op8_packing, op9_exact, op10_quality)
+    for f in (op1_minhash, op2_host_rules, op3_token_counts, op4_token_records, op5_substring, op6_language, op7_pieces, op8_packing, op9_exact, op10_quality, op11_whitening, op12_top_k, op13_clusters)
 }
