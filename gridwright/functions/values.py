@@ -43,6 +43,38 @@ def choose(key: Column, table: dict[str, object], otherwise: Column | None = Non
     return found if otherwise is None else F.coalesce(found, otherwise)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """``c`` to ``digits`` decimals, decided by the exact binary value; true ties go to the even digit.
+
+    ``F.round`` decides by the shortest decimal text of a number, which may look like a tie where the
+    number itself is not one (320.775 is a little below it).
+    """
+    c, s = c.cast("double"), float(10**digits)
+    p = c * s
+    high = c * 134217729.0 - (c * 134217729.0 - c)  # the upper half of the digits of c
+    lacks = (high * s - p) + (c - high) * s  # exactly what the product p has lost
+    low = F.floor(p).cast("double")
+    over = p - low
+    odd = low - 2 * F.floor(low / 2) == 1
+    up = (over > 0.5) | ((over == 0.5) & ((lacks > 0) | ((lacks == 0) & odd)))
+    return F.when(F.abs(p) < 2.0**51, (low + up.cast("int")) / s).otherwise(c)
+
+
+def rounded_sql(c: str, digits: int) -> str:
+    """``rounded`` in DuckDB's SQL."""
+    s = f"{10**digits}::DOUBLE"
+    high = "(c * 134217729 - (c * 134217729 - c))"
+    lacks = f"(({high} * {s} - c * {s}) + (c - {high}) * {s})"
+    low = f"floor(c * {s})"
+    up = f"(c * {s} - {low} > 0.5 OR (c * {s} - {low} = 0.5 AND ({lacks} > 0 OR ({lacks} = 0 AND {low} - 2 * floor({low} / 2) = 1))))"
+    return f"list_transform([CAST({c} AS DOUBLE)], lambda c: CASE WHEN abs(c * {s}) < {2**51} THEN ({low} + {up}::INT) / {s} ELSE c END)[1]"
+
+
+def fixed_sum(c: Column) -> Column:
+    """A sum of doubles that does not depend on the order of the rows: of their nine-digit decimals."""
+    return F.sum(c.cast("decimal(38,9)")).cast("double")
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
@@ -83,7 +115,7 @@ def diameter(c: Column, target: str = "inch", source_unit: Column | None = None)
     if source_unit is not None:
         unit = F.when(F.coalesce(source_unit, F.lit("")) != "", unit_code(source_unit)).otherwise(unit)
     factor = choose(unit, {u: f for u, (f, _) in UNITS.items()})
-    converted = F.when(unit == target, value).otherwise(F.bround(value * factor / F.lit(UNITS[target][0]), 6))
+    converted = F.when(unit == target, value).otherwise(rounded(value * factor / F.lit(UNITS[target][0]), 6))
     return F.struct(
         F.when(unit.isNull(), value).otherwise(converted).alias("value"),
         F.when(value.isNull() | unit.isNull(), F.coalesce(unit, F.lit("unknown"))).otherwise(F.lit(target)).alias("unit"),
@@ -153,7 +185,7 @@ def issue_uuid(*parts: Column) -> Column:
 
 def geometry_signature(geometry: Column) -> Column:
     """A point's place, or the ends and length of a line, to two digits."""
-    text = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 2).cast("string")
+    text = lambda c: rounded(F.coalesce(c, F.lit(0.0)), 2).cast("string")
     paths = geometry["paths"]
     first, last = F.element_at(F.element_at(paths, 1), 1), F.element_at(F.element_at(paths, -1), -1)
     empty = F.coalesce(F.size(paths) <= 0, F.lit(True)) | F.coalesce(F.size(F.get(paths, F.lit(0))) <= 0, F.lit(True))

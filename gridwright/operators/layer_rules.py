@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.functions.values import is_blank, issue_uuid, number_or_null
+from gridwright.functions.values import is_blank, issue_uuid, number_or_null, rounded
 
 PIPE, MANHOLE = "wastewater_gravity_main", "wastewater_manhole"
 GEOMETRY = "struct<type:string,x:double,y:double,paths:array<array<struct<x:double,y:double>>>,length:double,is_empty:boolean,is_multipart:boolean>"
@@ -99,13 +99,13 @@ def short_pipe(rows: DataFrame, threshold: float, code: str = "WW_GEOM_003") ->
 
 
 def _rounded(points: Column, digits: int) -> Column:
-    return F.transform(points, lambda p: F.concat_ws(",", F.bround(p["x"], digits).cast("string"), F.bround(p["y"], digits).cast("string")))
+    return F.transform(points, lambda p: F.concat_ws(",", rounded(p["x"], digits).cast("string"), rounded(p["y"], digits).cast("string")))
 
 
 def geometry_signature(digits: int = 3) -> Column:
     """Rounded vertices of the first path, or the rounded point; null without a geometry."""
     g = F.col("geometry")
-    point = F.concat_ws(":", F.lit("point"), F.bround(g["x"], digits).cast("string"), F.bround(g["y"], digits).cast("string"))
+    point = F.concat_ws(":", F.lit("point"), rounded(g["x"], digits).cast("string"), rounded(g["y"], digits).cast("string"))
     line = F.concat(F.lit("line:"), F.array_join(_rounded(first_path(), digits), ";"))
     return F.when(g["type"] == "point", point).when(F.size(first_path()) > 0, line)
 

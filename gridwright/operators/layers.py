@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.functions.values import name_key
+from gridwright.functions.values import name_key, rounded
 
 #: Replacements of the duplicate signature, in order.
 SIGNATURE = [("sewer", "wwpipe"), ("pipes", "wwpipe"), ("pipe", "wwpipe"), ("line", "wwpipe"), ("lines", "wwpipe"), ("water", "waterpipe"), ("mh", "manhole"), ("manholes", "manhole"), ("mains", "main")]
@@ -23,7 +23,7 @@ def classify(layers: DataFrame, rules: DataFrame) -> DataFrame:
     """
     hits = layers.join(F.broadcast(rules), F.expr("text rlike pattern"))
     d = hits.select("layer_id", "rule_code", "rule_order", "confidence", "score", F.posexplode("targets").alias("offset", "target"))
-    d = d.withColumn("score", F.round(F.col("score") - F.col("offset") * 0.03, 4))
+    d = d.withColumn("score", rounded(F.col("score") - F.col("offset") * 0.03, 4))
     none = layers.join(d, "layer_id", "left_anti").select("layer_id", F.lit("ULR_UNAVAILABLE").alias("rule_code"), F.lit(0).alias("rule_order"), F.lit("unavailable").alias("confidence"), F.lit(0.0).alias("score"), F.lit(0).alias("offset"), F.lit("review_required").alias("target"))
     w = Window.partitionBy("layer_id").orderBy(F.desc("score"), "rule_order", "offset")
     return d.unionByName(none).withColumn("rank", F.row_number().over(w)).select("layer_id", "rank", "rule_code", "target", "confidence", "score")

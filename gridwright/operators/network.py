@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.functions.values import fixed_sum, rounded
 from gridwright.operators.components import connected_components
 from gridwright.operators.layer_rules import MANHOLE, PIPE, findings, first_path
 from gridwright.operators.ranking import number_rows
@@ -155,15 +156,15 @@ def network_summary(table: DataFrame, matches: DataFrame, degrees: DataFrame, to
     )
     hit = F.col("distance") <= tolerance
     b = matches.agg(
-        F.count_if(hit).alias("matched"), F.count("*").alias("_all"), F.avg(F.when(hit, F.col("distance"))).alias("mean"), F.max(F.when(hit, F.col("distance"))).alias("max_distance")
+        F.count_if(hit).alias("matched"), F.count("*").alias("_all"), (fixed_sum(F.when(hit, F.col("distance"))) / F.nullif(F.count_if(hit), F.lit(0))).alias("mean"), F.max(F.when(hit, F.col("distance"))).alias("max_distance")
     )
     c = degrees.agg(F.count_if(F.col("degree") > high).alias("high_degree"))
     one = a.join(b).join(c)  # three single rows
     return one.select(
         "components", "largest_size", "largest_pipes", "isolated_components", "isolated_pipes", "isolated_manholes", "matched",
         (F.col("_all") - F.col("matched")).alias("unmatched"),
-        F.round(F.col("matched") / F.greatest(F.col("_all"), F.lit(1)), 4).alias("match_rate"),
-        F.round(F.coalesce("mean", F.lit(0.0)), 4).alias("mean_distance"), F.round(F.coalesce("max_distance", F.lit(0.0)), 4).alias("max_distance"), "high_degree",
+        rounded(F.col("matched") / F.greatest(F.col("_all"), F.lit(1)), 4).alias("match_rate"),
+        rounded(F.coalesce("mean", F.lit(0.0)), 4).alias("mean_distance"), rounded(F.coalesce("max_distance", F.lit(0.0)), 4).alias("max_distance"), "high_degree",
     )
 
 
@@ -221,15 +222,16 @@ def component_extents(members: DataFrame, pipes: DataFrame, manholes: DataFrame,
         manholes.where("geometry.type = 'point'").select(F.lit("manhole").alias("kind"), "objectid", F.struct(F.col("geometry.x").alias("x"), F.col("geometry.y").alias("y")).alias("p"))
     )
     where = members.select("kind", "objectid", "component")
-    two = lambda c: F.round(c, 2)
+    two = lambda c: rounded(c, 2)
+    mean = lambda c: fixed_sum(F.col(c)) / F.count(c)
     box = points.join(where, ["kind", "objectid"]).groupBy("component").agg(
-        two(F.min("p.x")).alias("x_min"), two(F.max("p.x")).alias("x_max"), two(F.min("p.y")).alias("y_min"), two(F.max("p.y")).alias("y_max"), two(F.avg("p.x")).alias("cx"), two(F.avg("p.y")).alias("cy")
+        two(F.min("p.x")).alias("x_min"), two(F.max("p.x")).alias("x_max"), two(F.min("p.y")).alias("y_min"), two(F.max("p.y")).alias("y_max"), two(mean("p.x")).alias("cx"), two(mean("p.y")).alias("cy")
     )
     lengths = pipes.select(F.lit("pipe").alias("kind"), "objectid", F.coalesce("geometry.length", F.lit(0.0)).alias("length"))
     ends = gaps.groupBy("source_objectid").agg(F.count("*").alias("gaps")).select(F.lit("pipe").alias("kind"), F.col("source_objectid").cast("long").alias("objectid"), "gaps")
     counts = where.join(lengths, ["kind", "objectid"], "left").join(ends, ["kind", "objectid"], "left").groupBy("component").agg(
         F.count_if(F.col("kind") == "pipe").alias("pipe_count"), F.count_if(F.col("kind") == "manhole").alias("manhole_count"),
-        two(F.coalesce(F.sum("length"), F.lit(0.0))).alias("total_length"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("unmatched_endpoints"),
+        two(F.coalesce(fixed_sum(F.col("length")), F.lit(0.0))).alias("total_length"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("unmatched_endpoints"),
     )
     total = F.col("pipe_count") + F.col("manhole_count")
     return counts.join(box, "component", "left").withColumns({
@@ -252,7 +254,7 @@ def nearest_component(extents: DataFrame, reach: float = 200.0) -> DataFrame:
         if rest.limit(2).count() < 1 or c.limit(2).count() < 2:
             break
         size *= 4
-    return c.join(found, "component", "left").select("component", F.round(F.sqrt("d2"), 2).alias("nearest_distance"))
+    return c.join(found, "component", "left").select("component", rounded(F.sqrt("d2"), 2).alias("nearest_distance"))
 
 
 def extents_overlap(layers: DataFrame, anchors: DataFrame) -> DataFrame:

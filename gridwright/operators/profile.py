@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.functions.values import is_blank, number_or_null, value_pattern
+from gridwright.functions.values import is_blank, number_or_null, rounded, value_pattern
 
 
 def melt(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def field_profile(rows: DataFrame, fields: list[str], top: int = 8, longest: int
     best = counts.where(~blank & (F.length("value") <= longest)).withColumn("k", F.row_number().over(w)).where(F.col("k") <= top)
     listed = best.groupBy("field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value", "n"))), lambda x: F.concat_ws("=", x["value"], x["n"].cast("string"))), ";").alias("top_values"))
     out = totals.join(listed, "field", "left")
-    return out.select("field", "null_count", F.round(F.col("null_count") * 100.0 / F.col("rows"), 2).alias("null_percentage"), "distinct_count", F.coalesce("top_values", F.lit("")).alias("top_values"))
+    return out.select("field", "null_count", rounded(F.col("null_count") * 100.0 / F.col("rows"), 2).alias("null_percentage"), "distinct_count", F.coalesce("top_values", F.lit("")).alias("top_values"))
 
 
 def catalog_profile(rows: DataFrame, fields: list[str], id_field: str | None = None, top: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.functions.values import queue_rank
+from gridwright.functions.values import queue_rank, rounded
 from gridwright.operators.layer_rules import MANHOLE, PIPE
 
 
@@ -57,7 +57,7 @@ def calibration(issues: DataFrame, rules: DataFrame) -> DataFrame:
     reviewed = ~F.coalesce(F.col("disposition"), F.lit("")).isin("", "unreviewed", "under_review")
     n = issues.groupBy("rule_code").agg(F.count("*").alias("total"), F.count_if(reviewed).alias("reviewed"), is_("confirmed_defect").alias("confirmed"), is_("likely_defect").alias("likely"), is_("false_positive").alias("false_positives"))
     d = rules.select("rule_code").join(n, "rule_code", "left").fillna(0)
-    rate = lambda a, b: F.when(F.col(b) > 0, F.round(a / F.col(b), 4)).otherwise(0.0)
+    rate = lambda a, b: F.when(F.col(b) > 0, rounded(a / F.col(b), 4)).otherwise(0.0)
     return d.select(
         "rule_code", "total", "reviewed", "confirmed", "likely", "false_positives", (F.col("total") - F.col("reviewed")).alias("unresolved"),
         rate(F.col("confirmed") + F.col("likely"), "reviewed").alias("confirmation_rate"), rate(F.col("false_positives"), "reviewed").alias("false_positive_rate"), rate(F.col("reviewed"), "total").alias("coverage"),

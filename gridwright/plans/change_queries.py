@@ -75,10 +75,10 @@ def enriched_issues(s, sf):
 
 @query(
     "calibration",
-    """WITH n AS (SELECT rule_code, count(*) AS total, count(*) FILTER (disposition NOT IN ('', 'unreviewed', 'under_review')) AS reviewed, count(*) FILTER (disposition = 'confirmed_defect') AS confirmed, count(*) FILTER (disposition = 'likely_defect') AS likely, count(*) FILTER (disposition = 'false_positive') AS false_positives FROM reviews GROUP BY 1),
+    f"""WITH n AS (SELECT rule_code, count(*) AS total, count(*) FILTER (disposition NOT IN ('', 'unreviewed', 'under_review')) AS reviewed, count(*) FILTER (disposition = 'confirmed_defect') AS confirmed, count(*) FILTER (disposition = 'likely_defect') AS likely, count(*) FILTER (disposition = 'false_positive') AS false_positives FROM reviews GROUP BY 1),
          r AS (SELECT rule_code FROM n UNION ALL SELECT 'WW_NONE')
        SELECT rule_code, coalesce(total, 0) AS total, coalesce(reviewed, 0) AS reviewed, coalesce(confirmed, 0) AS confirmed, coalesce(likely, 0) AS likely, coalesce(false_positives, 0) AS false_positives, coalesce(total - reviewed, 0) AS unresolved,
-         CASE WHEN reviewed > 0 THEN round((confirmed + likely) / reviewed, 4) ELSE 0 END AS confirmation_rate, CASE WHEN reviewed > 0 THEN round(false_positives / reviewed, 4) ELSE 0 END AS false_positive_rate, CASE WHEN total > 0 THEN round(reviewed / total, 4) ELSE 0 END AS coverage FROM r LEFT JOIN n USING (rule_code)""",
+         CASE WHEN reviewed > 0 THEN {V.rounded_sql("(confirmed + likely) / reviewed", 4)} ELSE 0 END AS confirmation_rate, CASE WHEN reviewed > 0 THEN {V.rounded_sql("false_positives / reviewed", 4)} ELSE 0 END AS false_positive_rate, CASE WHEN total > 0 THEN {V.rounded_sql("reviewed / total", 4)} ELSE 0 END AS coverage FROM r LEFT JOIN n USING (rule_code)""",
 )
 def calibration(s, sf):
     r = reviews(s, sf)

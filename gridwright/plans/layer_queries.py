@@ -260,8 +260,8 @@ def component_findings(s, sf):
     "network_summary",
     f"""WITH RECURSIVE {_COMP}, a AS (SELECT count(*) AS components, max(pipe_count + manhole_count) AS largest_size, max(pipe_count) AS largest_pipes, count(*) FILTER (pipe_count + manhole_count = 1) AS isolated_components,
           count(*) FILTER (pipe_count = 1) AS isolated_pipes, count(*) FILTER (pipe_count = 0 AND manhole_count = 1) AS isolated_manholes FROM tab),
-        z AS (SELECT count(*) FILTER (distance <= 3) AS matched, count(*) FILTER (distance > 3) AS unmatched, round(count(*) FILTER (distance <= 3) / count(*), 4) AS match_rate,
-          round(avg(distance) FILTER (distance <= 3), 4) AS mean_distance, round(max(distance) FILTER (distance <= 3), 4) AS max_distance FROM n)
+        z AS (SELECT count(*) FILTER (distance <= 3) AS matched, count(*) FILTER (distance > 3) AS unmatched, {V.rounded_sql("count(*) FILTER (distance <= 3) / count(*)", 4)} AS match_rate,
+          {V.rounded_sql("CAST(sum(CAST(distance AS DECIMAL(38,9))) FILTER (distance <= 3) AS DOUBLE) / count(*) FILTER (distance <= 3)", 4)} AS mean_distance, {V.rounded_sql("max(distance) FILTER (distance <= 3)", 4)} AS max_distance FROM n)
         SELECT a.*, z.*, (SELECT count(*) FROM dg WHERE degree > 6) AS high_degree FROM a, z""",
 )
 def network_summary(s, sf):
@@ -283,18 +283,20 @@ _SEG = """sg AS (SELECT objectid, 0 AS i, sx AS ax, sy AS ay, ex AS bx, ey AS b_
 
 @query(
     "crossings",
-    f"""WITH {_SEG} SELECT lo AS objectid, ro AS related_objectid, round(x, 6) AS x, round(y, 6) AS y FROM px
+    f"""WITH {_SEG} SELECT lo AS objectid, ro AS related_objectid, {V.rounded_sql("x", 6)} AS x, {V.rounded_sql("y", 6)} AS y FROM px
         WHERE NOT EXISTS (SELECT 1 FROM sb WHERE sb.objectid IN (lo, ro) AND ((ax - px.x) * (ax - px.x) + (ay - px.y) * (ay - px.y) <= 1e-6 OR (bx - px.x) * (bx - px.x) + (b_y - px.y) * (b_y - px.y) <= 1e-6))
         AND NOT EXISTS (SELECT 1 FROM manholes m WHERE (m.x - px.x) * (m.x - px.x) + (m.y - px.y) * (m.y - px.y) <= 9 AND m.x BETWEEN px.x - 3 AND px.x + 3)""",
 )
 def crossings(s, sf):
-    return N.crossings(pipes(s, sf), manholes(s, sf)).select("objectid", "related_objectid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return N.crossings(pipes(s, sf), manholes(s, sf)).select("objectid", "related_objectid", V.rounded(F.col("x"), 6).alias("x"), V.rounded(F.col("y"), 6).alias("y"))
 
 
+_two = lambda c: V.rounded_sql(c, 2)
+_mean = lambda c: f"CAST(sum(CAST({c} AS DECIMAL(38,9))) AS DOUBLE) / count({c})"
 _EXT = f"""{_COMP}, vx AS (SELECT 'pipe' AS kind, objectid, sx AS x, sy AS y FROM pipes WHERE vertices >= 1 UNION ALL SELECT 'pipe', objectid, ex, ey FROM pipes WHERE vertices >= 2
     UNION ALL SELECT 'pipe', objectid, sx, sy FROM pipes WHERE vertices = 3 UNION ALL SELECT 'manhole', objectid, x, y FROM manholes WHERE x IS NOT NULL),
-  bx AS (SELECT component, round(min(x), 2) AS x_min, round(max(x), 2) AS x_max, round(min(y), 2) AS y_min, round(max(y), 2) AS y_max, round(avg(x), 2) AS cx, round(avg(y), 2) AS cy FROM vx JOIN memb USING (kind, objectid) GROUP BY 1),
-  ln AS (SELECT component, round(sum({LEN}), 2) AS total_length FROM memb JOIN pipes USING (objectid) WHERE kind = 'pipe' GROUP BY 1),
+  bx AS (SELECT component, {_two("min(x)")} AS x_min, {_two("max(x)")} AS x_max, {_two("min(y)")} AS y_min, {_two("max(y)")} AS y_max, {_two(_mean("x"))} AS cx, {_two(_mean("y"))} AS cy FROM vx JOIN memb USING (kind, objectid) GROUP BY 1),
+  ln AS (SELECT component, {_two(f"CAST(sum(CAST(({LEN}) AS DECIMAL(38,9))) AS DOUBLE)")} AS total_length FROM memb JOIN pipes USING (objectid) WHERE kind = 'pipe' GROUP BY 1),
   un AS (SELECT component, count(*) AS unmatched FROM n JOIN memb ON memb.kind = 'pipe' AND memb.objectid = n.objectid, (VALUES (3), (10)) t(t) WHERE distance > t GROUP BY 1)"""
 
 
@@ -312,7 +314,7 @@ def component_extents(s, sf):
 @query(
     "nearest_component",
     f"""WITH RECURSIVE {_EXT}, cc AS MATERIALIZED (SELECT component, cx, cy FROM bx)
-        SELECT a.component, round(sqrt(min((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))), 2) AS nearest_distance FROM cc a, cc b WHERE a.component <> b.component GROUP BY 1""",
+        SELECT a.component, {_two("sqrt(min((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)))")} AS nearest_distance FROM cc a, cc b WHERE a.component <> b.component GROUP BY 1""",
 )
 def nearest_component(s, sf):
     p, m, matches, members = _members(s, sf)
@@ -338,7 +340,7 @@ _MELT = "c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value FROM
     f"""WITH {_MELT}, g AS (SELECT field, value, count(*) AS n, {blank('value')} AS b FROM c GROUP BY ALL),
         t AS (SELECT field, sum(n) AS r, coalesce(sum(n) FILTER (b), 0) AS null_count, count(*) FILTER (NOT b) AS distinct_count FROM g GROUP BY 1),
         k AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS k FROM g WHERE NOT b AND length(value) <= 80)
-        SELECT field, CAST(null_count AS BIGINT) AS null_count, round(null_count * 100.0 / r, 2) AS null_percentage, distinct_count,
+        SELECT field, CAST(null_count AS BIGINT) AS null_count, {V.rounded_sql("null_count * 100.0 / r", 2)} AS null_percentage, distinct_count,
                (SELECT string_agg(concat(value, '=', n), ';' ORDER BY k.k) FROM k WHERE k.field = t.field AND k.k <= 8) AS top_values FROM t""",
 )
 def field_profile(s, sf):
@@ -456,7 +458,7 @@ def stable_ids(s, sf):
     return pipes(s, sf).select("objectid", V.stable_id("asset", F.lit(" Water"), F.col("objectid"), F.col("asset_id"), F.col("lifecycle")).alias("asset_key"))
 
 
-_AT = lambda c: f"CAST(round({c}, 2) AS VARCHAR)"
+_AT = lambda c: f"CAST({V.rounded_sql(c, 2)} AS VARCHAR)"
 _SIGN = f"""CASE WHEN vertices = 0 THEN 'geom:none' ELSE concat_ws(':', 'line', {_AT('sx')}, {_AT('sy')}, {_AT('CASE vertices WHEN 2 THEN ex ELSE sx END')}, {_AT('CASE vertices WHEN 2 THEN ey ELSE sy END')}, {_AT(f'({LEN})')}) END"""
 
 
