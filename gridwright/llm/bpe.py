@@ -3,7 +3,8 @@
 The pre-tokenizer of these vocabularies always starts a new token at a space that stands
 before a non-space character. A text is therefore cut at such spaces, each distinct piece is
 encoded by the library once per worker, and the ids are put together again by numpy. Texts
-with other spacing are encoded whole by the library.
+with other spacing are encoded whole by the library. Strings that the vocabulary file adds to
+its model (``<|endoftext|>``) are found as the library finds them: pieces that hold one go to it.
 """
 
 from __future__ import annotations
@@ -48,9 +49,11 @@ class WordEncoder:
         self.most = most
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: One with white space may lie across pieces: texts that hold it are not cut.
+        self.added, self.spaced = added, [t for t in added if any(c.isspace() for c in t)]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.young: dict[str, bytes] = {}
@@ -67,6 +70,8 @@ class WordEncoder:
     def _cut(self, piece: str) -> bytes:
         """Ids of a piece that is not cached: by shorter pieces where the cut is certain."""
         body = piece[1:] if piece[:1] == " " else piece
+        if any(t in piece for t in self.added):
+            return self.whole(piece)
         if _LETTERS.fullmatch(body):
             return self._word(piece)
         if body[-1:] in _PUNCTUATION and _LETTERS.fullmatch(body[:-1]):
@@ -97,7 +102,11 @@ class WordEncoder:
             ids = [known.get(w) or self.piece(w) for w in map(" ".__add__, distinct)]
             return ids + [self.piece(h) if h else b"" for h in heads]
 
-        return assemble(texts, of, _ODD_SPACE.search, self.whole)
+        return assemble(texts, of, self.odd, self.whole)
+
+    def odd(self, text: str) -> bool:
+        """Whether a text can't be cut at its spaces."""
+        return bool(_ODD_SPACE.search(text)) or any(t in text for t in self.spaced)
 
 
 def assemble(texts: pa.Array, of: Callable, odd: Callable, whole: Callable) -> tuple[np.ndarray, np.ndarray]:
