@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rule -> (family, precedence, trace effect). Codes not listed are unsupported.
@@ -52,6 +52,42 @@ SHARED_KEYS = [
 ]
 
 
+#: Titles of families, names of rules, what the trace effects mean, and the kinds of action.
+TITLES = {
+    "conductor_connectivity": "Conductor connectivity and endpoints", "membership_conflict": "Feeder and circuit assignment conflict", "lifecycle_conflict": "Active and retired network conflict",
+    "provisional_evidence": "Provisional relationship evidence", "cable_endpoint": "Cable endpoint and termination", "capacity_consistency": "Capacity values do not reconcile", "strand_allocation": "Fiber strand allocation conflict",
+}
+NAMES = {
+    "SHARED-001": "Missing relationship endpoint", "SHARED-002": "Self-referential relationship", "SHARED-003": "Duplicate relationship", "SHARED-004": "Provisional relationship", "SHARED-005": "Retired asset linked to active asset",
+    "SHARED-006": "Incompatible utility vertical relationship", "SHARED-007": "Missing canonical identifier", "SHARED-008": "Unknown lifecycle state",
+    "ELEC-001": "Disconnected conductor", "ELEC-002": "Conductor endpoint missing", "ELEC-003": "Transformer missing feeder ID", "ELEC-004": "Transformer disconnected from primary", "ELEC-005": "Invalid or incompatible phase",
+    "ELEC-006": "Voltage mismatch", "ELEC-007": "Underground conductor missing conduit", "ELEC-008": "Equipment missing structure association", "ELEC-009": "Feeder inconsistency across relationship", "ELEC-010": "Circuit inconsistency across relationship",
+    "ELEC-011": "Invalid relationship direction", "ELEC-012": "Normally open device", "ELEC-013": "Protective device type missing", "ELEC-014": "Active-retired electric relationship", "ELEC-015": "Electric placement contradiction",
+    "TEL-001": "Fiber cable endpoint missing", "TEL-002": "Invalid fiber termination", "TEL-003": "Overlapping strand range", "TEL-004": "Capacity exceeds total", "TEL-005": "Available capacity mismatch", "TEL-006": "Fiber count and strand range mismatch",
+    "TEL-007": "Disconnected splice closure", "TEL-008": "Disconnected terminal", "TEL-009": "Cabinet missing route", "TEL-010": "Underground cable missing conduit", "TEL-011": "Aerial cable missing support", "TEL-012": "Proposed route gap",
+    "TEL-013": "Retired cable linked to active terminal", "TEL-014": "Provisional splice relationship", "TEL-015": "Splitter capacity inconsistency", "TEL-016": "Telecom placement contradiction",
+    "WATER-001": "Blank asset identifier", "WATER-002": "Duplicate asset identifier", "WATER-003": "Invalid or unsupported geometry", "WATER-004": "Unknown spatial reference", "WATER-005": "Suspicious extent", "WATER-006": "Invalid diameter",
+    "WATER-007": "Invalid material", "WATER-008": "Invalid lifecycle status", "WATER-009": "Disconnected main endpoint", "WATER-010": "Isolated service line", "WATER-011": "Hydrant lacks plausible main relationship", "WATER-012": "Valve lacks main relationship",
+    "WATER-013": "Invalid pressure-zone reference", "WATER-014": "Missing owner or jurisdiction", "WATER-015": "Invalid facility reference", "WATER-016": "Active asset connected only to retired assets", "WATER-017": "Service line lacks endpoint", "WATER-018": "Conflicting water-system identity",
+    "WW-001": "Blank asset identifier", "WW-002": "Duplicate asset identifier", "WW-003": "Invalid geometry", "WW-004": "Unknown spatial reference", "WW-005": "Suspicious extent", "WW-006": "Gravity main lacks structures", "WW-007": "Gravity segment has identical endpoints",
+    "WW-008": "Invalid or zero diameter", "WW-009": "Invalid material", "WW-010": "Suspicious slope", "WW-011": "Missing expected invert elevation", "WW-012": "Upstream/downstream invert contradiction", "WW-013": "Force main carries gravity-only attributes",
+    "WW-014": "Gravity main attached to pressure equipment", "WW-015": "Lateral lacks receiving main", "WW-016": "Disconnected manhole", "WW-017": "Lift station lacks downstream force main", "WW-018": "Active asset connected only to retired assets",
+    "WW-019": "Invalid basin or system reference", "WW-020": "Missing owner or jurisdiction",
+}
+EFFECTS = {
+    "stops_trace": "The condition prevents a defensible future path through the affected evidence.", "limits_trace": "A future trace can only proceed to the confirmed evidence boundary.",
+    "introduces_ambiguity": "A future trace may continue provisionally but must report ambiguous membership or relationships.", "advisory": "The condition remains visible for review but does not independently block continuity.",
+    "no_trace_effect": "The condition is operational context that a future trace should honor without treating it as a defect.", "not_evaluated": "Trace impact has not been evaluated for this condition.",
+}
+ACTIONS = {
+    "repair_connectivity": ["SHARED-001", "ELEC-001", "ELEC-002", "TEL-001", "TEL-002", "TEL-007", "TEL-008", "WATER-009", "WATER-010", "WATER-011", "WATER-012", "WATER-017", "WW-006", "WW-014", "WW-015", "WW-016", "WW-017"],
+    "correct_relationship": ["SHARED-002"], "deduplicate_relationship": ["SHARED-003"], "confirm_relationship": ["SHARED-004", "TEL-014"], "confirm_lifecycle": ["SHARED-005", "SHARED-008", "ELEC-014", "TEL-013", "WATER-016", "WW-018"],
+    "correct_taxonomy": ["SHARED-006"], "assign_identifier": ["SHARED-007"], "confirm_feeder": ["ELEC-003"], "repair_primary_connection": ["ELEC-004"], "confirm_phase": ["ELEC-005"], "confirm_voltage": ["ELEC-006"],
+    "confirm_conduit": ["ELEC-007", "TEL-010"], "confirm_structure": ["ELEC-008"], "review_feeder_boundary": ["ELEC-009", "ELEC-010"], "confirm_direction": ["ELEC-011"], "retain_operational_context": ["ELEC-012"], "confirm_device_type": ["ELEC-013"],
+    "confirm_placement": ["ELEC-015", "TEL-016"], "review_strand_allocation": ["TEL-003", "TEL-006"], "reconcile_capacity": ["TEL-004", "TEL-005", "TEL-015"], "confirm_route": ["TEL-009"], "confirm_support": ["TEL-011"], "complete_design": ["TEL-012"],
+}
+
+
 def _quoted(values: list[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -140,6 +176,33 @@ def member_roles(keyed: DataFrame) -> DataFrame:
     return d.withColumn("finding_role", role)
 
 
+def _by(code: Column, table: dict[str, str], otherwise: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), code), otherwise)
+
+
+def describe_groups(members: DataFrame) -> DataFrame:
+    """One row per group of ``member_roles`` without its ids: ``vertical, root_key, family, title, action,
+    confidence, trace_effect, trace_reason, related_rules, members, priority``.
+
+    Ids of members are rows of ``members``; a group is never gathered in one row, and its other rules are
+    at most as many as there are rules.
+    """
+    g = members.groupBy("vertical", "root_key").agg(
+        F.count("*").alias("members"), F.min(_order())["rule_code"].alias("primary_rule"), F.bool_or(F.col("finding_role") == "consequence").alias("c"), F.max("trace").alias("t"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("finding_role").isin("primary", "independent", "informational"), F.col("rule_code")))), ";").alias("related_rules"),
+    )
+    rule = F.col("primary_rule")
+    family = _by(rule, {code: f for code, (f, _, _) in RULES.items()}, F.lit("unsupported_condition"))
+    name = _by(rule, NAMES, rule)
+    effect = F.element_at(F.array(*[F.lit(t) for t in TRACE]), F.col("t") + 1)
+    action = _by(rule, {code: a for a, codes in ACTIONS.items() for code in codes}, F.lit("manual_review"))
+    d = g.join(group_priorities(members), ["vertical", "root_key"])
+    return d.select(
+        "vertical", "root_key", family.alias("family"), _by(family, TITLES, name).alias("title"), action.alias("action"), F.when((F.col("members") == 1) | F.col("c"), "high").otherwise("medium").alias("confidence"),
+        effect.alias("trace_effect"), F.concat(name, F.lit(": "), _by(effect, EFFECTS, F.lit(""))).alias("trace_reason"), "primary_rule", "related_rules", "members", "priority",
+    )
+
+
 def group_priorities(members: DataFrame) -> DataFrame:
     g = members.groupBy("vertical", "root_key").agg(F.max("severity").alias("s"), F.max("trace").alias("t"), F.bool_or("blocking").alias("b"), F.bool_and(F.col("finding_role") == "informational").alias("i"))
     s, t, b = F.col("s"), F.col("t"), F.col("b")

@@ -129,7 +129,10 @@ SQL = {
     "trace_groups": f"""
         SELECT concat('G', CAST(p_partkey AS STRING)) AS issue_group_id, CASE WHEN n < 2 THEN concat('P', CAST(p_partkey + 4 * n AS STRING)) END AS asset_id, CASE WHEN n = 2 THEN concat('T', CAST(p_partkey AS STRING), '-1') END AS relationship_id,
                CASE WHEN p_partkey % 13 = 0 THEN {pick('p_size', ['stops_trace', 'limits_trace', 'advisory', 'introduces_ambiguity', 'not_evaluated'])} ELSE 'no_trace_effect' END AS impact,
-               {pick('floor(p_size / 5.0)', ['open', 'false_positive', 'open', 'accepted_risk', 'superseded'])} AS review_status
+               {pick('floor(p_size / 5.0)', ['open', 'false_positive', 'open', 'accepted_risk', 'superseded'])} AS review_status,
+               {pick('p_partkey', ['electric_distribution', 'telecom_fiber', 'water', 'wastewater'])} AS vertical,
+               {pick('floor(p_partkey / 4.0)', ['ELEC-012', 'SHARED-004', 'TEL-001', 'ELEC-009', 'SHARED-008', 'WATER-012', 'TEL-003'])} AS rule_code,
+               {pick('floor(p_partkey / 4.0)', ['Normally open device', 'Provisional relationship evidence', 'Cable endpoint and termination', 'Feeder and circuit assignment conflict', 'Unknown lifecycle state', 'Valve lacks main relationship', 'Fiber strand allocation conflict'])} AS title
         FROM part CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) t""",
     "reviews": f"""
         SELECT concat('fp-', CAST(user_id AS STRING), '-', event_type) AS fingerprint,
