@@ -150,6 +150,19 @@ SQL = {
                {pick('l_linenumber', ['diameter', 'owner_candidate', 'lifecycle_status', 'bad_field'])} AS field_name,
                CAST(CAST(l_quantity AS BIGINT) AS STRING) AS proposed_value
         FROM lineitem""",
+    "proposal_operations": f"""
+        SELECT l_orderkey AS proposal_id, l_linenumber AS sequence, l_suppkey AS tie,
+               {pick('l_partkey + l_linenumber', ['update_asset_attribute', 'retire_asset', 'add_relationship', 'remove_relationship', 'change_lifecycle_status', 'confirm_provisional_relationship', 'assign_membership', 'update_relationship', 'add_asset', 'remove_membership', 'replace_relationship', 'associate_container', 'mark_relationship_provisional', 'change_operational_status', 'replace_asset'])} AS operation_type,
+               CASE WHEN (l_partkey + l_linenumber) % 15 = 8 THEN concat('N', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) ELSE concat('P', CAST(l_partkey AS STRING)) END AS target_asset_id,
+               concat('T', CAST(l_partkey AS STRING), '-', CAST(1 + l_linenumber % 2 AS STRING)) AS target_relationship_id,
+               CASE WHEN (l_partkey + l_linenumber) % 15 = 7 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'direction' ELSE 'provisional' END
+                    WHEN (l_partkey + l_linenumber) % 15 IN (6, 9) THEN {pick('l_linenumber', ['feeder_id', 'circuit_id', 'route_id'])} ELSE {pick('l_suppkey', ['diameter', 'material', 'phase', 'strand_start', 'zone_id', 'owner_candidate', 'slope'])} END AS field_name,
+               CASE WHEN (l_partkey + l_linenumber) % 15 = 4 THEN {pick('l_suppkey', ['active', 'retired', 'installed'])} WHEN (l_partkey + l_linenumber) % 15 = 13 THEN {pick('l_suppkey', ['open', 'closed', 'normally_open'])}
+                    WHEN (l_partkey + l_linenumber) % 15 = 7 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'bidirectional' ELSE 'true' END WHEN (l_partkey + l_linenumber) % 15 = 6 THEN concat('F', CAST(l_suppkey % 4 AS STRING)) ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS proposed_value,
+               {pick('l_suppkey', ['connects_to', 'feeds', 'flows_to', 'terminates_at'])} AS relationship_type,
+               concat('P', CAST(l_partkey AS STRING)) AS from_asset_id, concat('P', CAST(l_partkey + 4 * (1 + l_suppkey % 3) AS STRING)) AS to_asset_id, 'forward' AS direction, l_suppkey % 5 = 0 AS provisional,
+               {pick('l_partkey', ['transformer', 'fiber_cable', 'valve', 'manhole'])} AS asset_class, {pick('l_partkey', ['electric_distribution', 'telecom_fiber', 'water', 'wastewater'])} AS vertical
+        FROM lineitem""",
 }
 NEEDS: dict[str, list[str]] = {}
 

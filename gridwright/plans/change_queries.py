@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import values as V
 from gridwright.operators import changes as E
+from gridwright.operators import proposals as P
 from gridwright.operators import review as R
 from gridwright.operators.connectivity import ASSET_RULES
 from gridwright.operators.grouping import severity_sql
@@ -329,3 +330,45 @@ def three_states(s, sf):
     state = F.element_at(F.array(F.lit("baseline"), F.lit("approved"), F.lit("implemented")), F.col("sequence") % 3 + 1)
     runs = ops(s, sf).select("proposal_id", state.alias("state"), (F.col("target_key") * 1000 + F.col("tie")).alias("run"), (F.col("tie") % 5).alias("blockers"), (F.col("target_key") % 7).alias("warnings"))
     return E.three_states(runs, "proposal_id")
+
+
+_PF = ["lifecycle_status", "operational_status", "diameter", "material", "phase", "feeder_id", "circuit_id", "route_id", "zone_id", "owner_candidate", "strand_start", "slope"]
+_CAST = {"strand_start": "BIGINT", "slope": "DOUBLE"}
+_PUT = lambda f: f"CASE WHEN n_{f} IS NOT NULL THEN {'n_' + f + '.v' if f not in _CAST else f'TRY_CAST(n_{f}.v AS {_CAST[f]})'} WHEN added THEN {dict(lifecycle_status=chr(39) + 'proposed' + chr(39), operational_status=chr(39) + 'unknown' + chr(39)).get(f, 'NULL')} ELSE {f} END AS {f}"
+
+
+@query(
+    "proposal_assets",
+    f"""WITH c AS (SELECT proposal_id, target_asset_id AS asset_id, CASE WHEN operation_type IN ('change_lifecycle_status', 'retire_asset') THEN 'lifecycle_status' WHEN operation_type = 'change_operational_status' THEN 'operational_status' ELSE field_name END AS field,
+            CASE operation_type WHEN 'retire_asset' THEN 'retired' WHEN 'remove_membership' THEN '' ELSE proposed_value END AS value, sequence, tie FROM proposal_operations WHERE operation_type IN {P._in(P.SET_FIELD)}),
+          w AS (SELECT proposal_id, asset_id, {", ".join(f"arg_max({{'v': value}}, {{'s': sequence, 't': tie, 'v': value}}) FILTER (field = '{f}') AS n_{f}" for f in _PF)} FROM c GROUP BY 1, 2),
+          n AS (SELECT DISTINCT proposal_id, target_asset_id AS asset_id, true AS fresh FROM proposal_operations WHERE operation_type = 'add_asset'), g AS (SELECT DISTINCT proposal_id, target_asset_id AS asset_id, true AS gone FROM proposal_operations WHERE operation_type = 'replace_asset'),
+          j AS (SELECT *, a.k IS NULL AS added FROM w FULL JOIN n USING (proposal_id, asset_id) FULL JOIN g USING (proposal_id, asset_id) LEFT JOIN assets a USING (asset_id) WHERE a.k IS NOT NULL OR fresh)
+        SELECT proposal_id, asset_id, {", ".join(map(_PUT, _PF))}, CASE WHEN added THEN 'added' WHEN gone THEN 'replaced' ELSE 'modified' END AS change_state FROM j""",
+)
+def proposal_assets(s, sf):
+    return P.asset_changes(derive(s, sf, "assets"), derive(s, sf, "proposal_operations")).select("proposal_id", "asset_id", *_PF, "change_state")
+
+
+@query(
+    "proposal_edges",
+    f"""WITH o AS (SELECT *, {{'s': sequence, 't': tie, 'k': operation_type}} AS pl, CASE WHEN operation_type = 'confirm_provisional_relationship' THEN false WHEN operation_type = 'mark_relationship_provisional' THEN true WHEN operation_type = 'update_relationship' AND field_name = 'provisional' THEN TRY_CAST(proposed_value AS BOOLEAN) END AS flag,
+            CASE WHEN operation_type = 'update_relationship' AND field_name = 'direction' THEN proposed_value END AS way FROM proposal_operations),
+          d AS (SELECT proposal_id, target_relationship_id AS relationship_id, arg_max(CASE WHEN operation_type = 'replace_relationship' THEN 'replaced' ELSE 'removed' END, pl) FILTER (operation_type IN {P._in(P.DROP_EDGE)}) AS dropped, arg_max(flag, pl) FILTER (flag IS NOT NULL) AS flag, arg_max(way, pl) FILTER (way IS NOT NULL) AS way,
+            arg_max(CASE operation_type WHEN 'confirm_provisional_relationship' THEN 'confirmed_in_proposal' WHEN 'mark_relationship_provisional' THEN 'provisional' ELSE 'modified' END, pl) FILTER (operation_type IN {P._in(P.SET_EDGE)}) AS st FROM o WHERE operation_type IN {P._in([*P.DROP_EDGE, *P.SET_EDGE])} GROUP BY 1, 2)
+        SELECT proposal_id, d.relationship_id, from_asset_id, to_asset_id, relationship_type, coalesce(way, direction) AS direction, coalesce(flag, provisional) AS provisional, coalesce(dropped, st) AS change_state FROM d JOIN trace_edges USING (relationship_id)
+        UNION ALL SELECT DISTINCT proposal_id, concat('proposal-relationship_', left(sha256(concat_ws('|', proposal_id::VARCHAR, sequence::VARCHAR, tie::VARCHAR, from_asset_id, to_asset_id, rt)), 20)), from_asset_id, to_asset_id, rt, direction, provisional, 'added'
+        FROM (SELECT *, CASE operation_type WHEN 'associate_container' THEN 'routed_through' WHEN 'associate_structure' THEN 'mounted_on' ELSE relationship_type END AS rt FROM proposal_operations WHERE operation_type IN {P._in(P.ADD_EDGE)})""",
+)
+def proposal_edges(s, sf):
+    return P.edge_changes(derive(s, sf, "trace_edges"), derive(s, sf, "proposal_operations"))
+
+
+@query("proposal_findings")
+def proposal_findings(s, sf):
+    return P.finding_changes(derive(s, sf, "assets"), derive(s, sf, "trace_edges"), derive(s, sf, "proposal_operations"))
+
+
+@query("proposal_groups")
+def proposal_groups(s, sf):
+    return P.group_changes(derive(s, sf, "assets"), derive(s, sf, "trace_edges"), derive(s, sf, "proposal_operations"))

@@ -27,15 +27,55 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that a job of several stages has taken since its last call of ``reclaim``; None outside of such jobs.
+_taken: list[str] | None = None
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _taken is not None:
+        _taken.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder, wherever that folder is; a path that is not there is fine."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def reclaim(spark: SparkSession, docs: DataFrame | None = None) -> None:
+    """For jobs whose stages are written one by one: called when a stage begins, it deletes what the
+    stages before it have left in the shared folder. The first stage calls it without ``docs``.
+
+    Nothing is deleted unless ``docs`` is read from files that no stage has left there, that is,
+    unless the result of the stage before has been written elsewhere. From then on ``cut`` writes
+    tables, which can be deleted in this way, in place of checkpoints. ``release`` ends this.
+    """
+    global _taken
+    if docs is None or _taken is None:
+        _taken = []
+        return
+    read = docs.inputFiles()
+    names = [path.rsplit("/", 1)[-1] for path in _taken]
+    if not read or any(f"/{name}/" in f for name in names for f in read):
+        return
+    for path in _taken:
+        remove(spark, path)
+    _taken = []
+
+
+def release() -> None:
+    """Ends the job that called ``reclaim``: later paths are not noted any more."""
+    global _taken
+    _taken = None
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, kept in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return df.checkpoint() if _taken is None else settle(df)
 
 
 def settle(df: DataFrame) -> DataFrame:
