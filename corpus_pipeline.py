@@ -13,8 +13,7 @@ from gridwright.llm.packing import pack_documents
 from gridwright.llm.quality import score, train
 from gridwright.llm.queries import tokenizer_path
 from gridwright.llm.substring_dedup import substring_dedup
-from gridwright.session import fresh_path, table
-
+from gridwright.session import fresh_path, reclaim, release, remove, shared_folder, table
 
 
 def _with_key(docs: DataFrame, nulls_last: bool = True) -> tuple[DataFrame, str]:
@@ -45,6 +44,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     empty one; without labels of both classes every row stays; an empty table gives no rows; other
     columns are carried along, whatever their names.
     """
+    reclaim(spark)
     rows, key = _with_key(docs)
     return _keep(rows, key, score(rows.withColumn("doc_id", F.col(key)), train(docs, table(spark, sf_dir, "labels"))))
 
@@ -55,6 +55,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is equal to an empty one. Of rows with equal texts and ids one stays; an empty table
     gives no rows; other columns are carried along, whatever their names.
     """
+    reclaim(spark, docs)
     rows, key = _with_key(docs, nulls_last=False)
     return _keep(rows, key, exact_dedup(rows, doc_id=key))
 
@@ -66,6 +67,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words stay; an empty table gives no rows; other columns are carried along, whatever their
     names.
     """
+    reclaim(spark, docs)
     rows, key = _with_key(docs)
     return _keep(rows, key, near_duplicates(rows, words=5, percent=80, doc_id=key))
 
@@ -78,12 +80,14 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     order of their ids, rows with a null id after all others; each row comes back once. An empty
     table gives no rows; other columns are carried along, whatever their names.
     """
+    reclaim(spark, docs)
     keyed, key = _with_key(docs)
-    cut = substring_dedup(keyed, window=20, doc_id=key, with_text=True, carry=docs.columns)
+    others = [name for name in docs.columns if name != "text"]
+    cut = substring_dedup(keyed, window=20, doc_id=key, with_text=True, carry=others, as_is=True)
     rows = cut.where("n_removed = 0 OR n_removed < n_words")
-    own = {name: F.col(f"carry_{k}") for k, name in enumerate(docs.columns)}
+    carried = {name: F.col(f"carry_{k}") for k, name in enumerate(others)}
+    own = {name: carried.get(name, F.col("text")) for name in docs.columns}
     changed = F.col("n_removed") > 0
-    own["text"] = F.when(changed, F.col("text")).otherwise(own["text"])
     if "n_chars" in own:
         own["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
     return rows.select(*[column.alias(name) for name, column in own.items()])
@@ -95,6 +99,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Every row is packed, also with a null or repeated id; a null or empty text is the end id alone;
     an empty table gives no rows; columns besides ``doc_id`` and ``text`` are ignored.
     """
+    reclaim(spark, docs)
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=1024, with_ids=True, cache_pieces=300_000)
 
 
@@ -111,10 +116,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``; each stage is written to the shared folder and read again, and what
+    it was made from is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        made = stage(spark, docs, sf_dir)
+        path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        made.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    reclaim(spark, docs)
+    release()
     return docs

@@ -133,7 +133,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "
     """
     spark = docs.sparkSession
     own = index is None
-    index = index or DigestIndex(spark, fresh_path(spark, "digests"))
+    index = index or DigestIndex(spark, f"{fresh_path(spark, 'digests')}/index")
     rows = digests(docs, text, doc_id)
     known = index.rows()
     old = None if known is None else cut(known.select("digest").distinct())

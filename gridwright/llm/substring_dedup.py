@@ -388,10 +388,10 @@ def removal_spans(windows: DataFrame) -> DataFrame:
     return windows.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("starts"))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", with_text: bool = False, gram: int = GRAM, group: int = GROUP, carry: list[str] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", with_text: bool = False, gram: int = GRAM, group: int = GROUP, carry: list[str] = (), as_is: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row, ``with_text`` also ``spans``
     (start and length in words of each maximal removed run) and ``text`` (kept words joined by
-    one space); then the columns of ``docs`` named in ``carry``, as ``carry_0, carry_1, ...``.
+    one space; the text as it is, if it loses none and ``as_is`` is set); then the columns of ``docs`` named in ``carry``, as ``carry_0, carry_1, ...``.
 
     A word goes if a window of ``window`` words covers it whose words also start earlier: at a
     smaller id, or earlier in the same document. Windows are judged on the input. A null text
@@ -406,10 +406,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", d
     two = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")]
     starts = removal_spans(repeated_windows(docs.select(*two), window, gram, group))
     rows = docs.select(*two, *[F.col(f"`{c}`").alias(f"carry_{k}") for k, c in enumerate(carry)])
-    return _cut_out(rows.join(starts.hint("shuffle_hash"), "doc_id", "left"), window, with_text, [f.name for f in rows.schema[2:]])
+    return _cut_out(rows.join(starts.hint("shuffle_hash"), "doc_id", "left"), window, with_text, [f.name for f in rows.schema[2:]], as_is)
 
 
-def _cut_out(rows: DataFrame, window: int, with_text: bool, carry: list[str]) -> DataFrame:
+def _cut_out(rows: DataFrame, window: int, with_text: bool, carry: list[str], as_is: bool) -> DataFrame:
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", spans array<struct<start:int,length:int>>, text string" * with_text
     schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
 
@@ -433,7 +433,7 @@ def _cut_out(rows: DataFrame, window: int, with_text: bool, carry: list[str]) ->
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                         spans = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
                 kept = b" ".join(words)
-                for col, v in zip(out, (key, n, n - len(words), hashlib.sha256(kept).hexdigest(), spans, kept.decode("utf-8", "replace") if with_text else None), strict=True):
+                for col, v in zip(out, (key, n, n - len(words), hashlib.sha256(kept).hexdigest(), spans, (text if as_is and n == len(words) else kept.decode("utf-8", "replace")) if with_text else None), strict=True):
                     col.append(v)
             arrays = [pa.array(c, pa.int64()) for c in out[:3]] + [pa.array(out[3], pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
