@@ -102,7 +102,9 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 def profiles(counts: DataFrame, size: int = PROFILE) -> DataFrame:
     """``lang, gram, rank`` of the ``size`` most frequent n-grams; ties go by code-point order."""
     w = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram"))
-    return counts.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # the filter on the plain number lets every task cut its rows to ``size`` a language before the exchange
+    best = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
+    return best.select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 class _Ranker:
