@@ -261,10 +261,10 @@ def impact_summary(s, sf):
     return E.impact_summary(ops(s, sf), errors(s, sf))
 
 
-@query("latest_versions", """WITH v AS (SELECT DISTINCT proposal_id, sequence AS version, concat('v', sequence) AS label FROM operations WHERE sequence > 2), n AS (SELECT proposal_id, count(*) AS operations FROM operations GROUP BY 1)
+@query("latest_versions", """WITH v AS (SELECT DISTINCT proposal_id, sequence AS version, concat('v', sequence) AS label FROM operations), n AS (SELECT proposal_id, count(*) AS operations FROM operations GROUP BY 1)
   SELECT v.proposal_id, version, label, operations FROM v JOIN n USING (proposal_id) QUALIFY row_number() OVER (PARTITION BY v.proposal_id ORDER BY version DESC) = 1""")
 def latest_versions(s, sf):
-    v = ops(s, sf).where("sequence > 2").select("proposal_id", F.col("sequence").alias("version"), F.concat(F.lit("v"), "sequence").alias("label")).distinct()
+    v = ops(s, sf).select("proposal_id", F.col("sequence").alias("version"), F.concat(F.lit("v"), "sequence").alias("label")).distinct()
     return E.latest_versions(v, ops(s, sf))
 
 

@@ -250,3 +250,23 @@ def prior_reviews(s, sf):
 def supersession(s, sf):
     r = derive(s, sf, "reviews").withColumnRenamed("fingerprint", "issue_group_id")
     return G.supersession(r.where("event_id % 2 = 0"), r.where("event_id % 2 = 1"))
+
+
+_case = lambda c, table, otherwise: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {otherwise} END"
+_FAMILY = {code: family for code, (family, _, _) in G.RULES.items()}
+_ACTION = {code: action for action, codes in G.ACTIONS.items() for code in codes}
+
+
+@query(
+    "group_descriptions",
+    f"""WITH {_ROLLED}, d AS (SELECT vertical, root_key, any_value(primary_rule) AS primary_rule, any_value(members) AS members, bool_or(finding_role = 'consequence') AS c, {G.TRACE}[max(trace) + 1] AS trace_effect,
+            coalesce(array_to_string(list_sort(list(DISTINCT rule_code) FILTER (place > 1)), ';'), '') AS related_rules FROM rl GROUP BY 1, 2),
+          e AS (SELECT *, {_case('primary_rule', _FAMILY, "'unsupported_condition'")} AS family, {_case('primary_rule', G.NAMES, 'primary_rule')} AS name FROM d)
+        SELECT e.vertical, e.root_key, family, {_case('family', G.TITLES, 'name')} AS title, {_case('primary_rule', _ACTION, "'manual_review'")} AS action, CASE WHEN members = 1 OR c THEN 'high' ELSE 'medium' END AS confidence, trace_effect,
+          concat(name, ': ', {_case('trace_effect', G.EFFECTS, "''")}) AS trace_reason, primary_rule, related_rules, members,
+          CASE WHEN trace = 5 AND blocking THEN CASE WHEN severity = 3 THEN 'immediate' ELSE 'high' END WHEN blocking OR trace = 4 THEN 'high' WHEN info THEN 'informational' WHEN trace IN (1, 2) THEN CASE WHEN severity < 2 THEN 'low' ELSE 'normal' END ELSE 'normal' END AS priority
+        FROM e JOIN gp USING (vertical, root_key)""",
+)
+def group_descriptions(s, sf):
+    found, assets = every_finding(s, sf)
+    return G.describe_groups(G.member_roles(G.with_root_keys(found, assets)))

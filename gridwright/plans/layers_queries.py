@@ -199,10 +199,10 @@ def inventory_decision(s, sf):
     return L.inventory_decision(d)
 
 
-@query("allow_list", "SELECT layer_id, layer_name, layer_id % 6 = 0 AS approved FROM layers WHERE layer_id % 2 = 0")
+@query("allow_list", "SELECT layer_id, layer_name, layer_id % 3 = 0 AS approved FROM layers")
 def allow_list(s, sf):
     d = layers(s, sf)
-    return L.allow_list(d.where("layer_id % 2 = 0").select("layer_id", "layer_name"), d.where("layer_id % 3 = 0").select("layer_id", F.lit(True).alias("approved")))
+    return L.allow_list(d.select("layer_id", "layer_name"), d.where("layer_id % 3 = 0").select("layer_id", F.lit(True).alias("approved")))
 
 
 @query("duplicate_packages", "SELECT doc_id AS submission_id, CASE WHEN f <> doc_id THEN f END AS duplicate_of FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY n_chars, doc_id) AS f FROM documents)")
