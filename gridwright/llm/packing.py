@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,9 @@ from gridwright.session import cut
 CAPACITY = 1024
 #: Tokens of a full bin that may stay empty before a piece is cut to the size of a class.
 SLACK = 16
-#: Independent workers that fill bins.
-GROUPS = 64
+#: Independent workers that fill bins: at least so many, and one for so many documents; a bin of one piece
+#: leaves no rest to whoever fills it, so these are dealt to many more. Workers whose rests come together.
+GROUPS, DOCS_A_GROUP, SINGLE_GROUPS, JOINED = 64, 200_000, 1 << 20, 64
 
 
 def cuts(length: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int, int]]:
@@ -83,12 +85,14 @@ def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GRO
     """Adds ``sequence_id, offset``: the bin of each piece and its place there.
 
     Pieces are of classes k by their length, in (capacity / (k + 1), capacity / k]. They are dealt to
-    ``groups`` independent workers by a hash of document and start, so that a hot document or class
-    is spread evenly. Each worker numbers the pieces of a class in order of document and start and
-    puts every k of them into one bin. The fewer than k that it is left with come together with
-    those of the other workers and fill bins of their class in the same way; the fewer than k that
-    then remain of each class (together fewer than the sum of all k, whatever the input) go into
-    bins of mixed classes by first fit.
+    ``groups`` independent workers by a hash of document, start and ids, so that a hot class, a hot or a
+    null id is spread evenly; only rows equal in all three share a worker. Each worker numbers the
+    pieces of a class in order of document and start and puts every k of them into one bin. The fewer
+    than k that it is left with come together with those of 63 other workers and fill bins of their class
+    in the same way, and so on until one worker is left: none ever takes more than 64 (k - 1) pieces of
+    a class. The fewer than k that then remain of each class (together fewer than the sum of all k,
+    whatever the input) go into bins of mixed classes by first fit. Class 1 leaves no rest, so its
+    pieces, among them all whole bins of long texts, are dealt to a million workers.
 
     Bin numbers are unique and depend on ``groups``, not on how Spark partitions the rows; more
     groups make smaller partitions. Repeated rows are packed like any others, rows with a null id
@@ -96,38 +100,45 @@ def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GRO
     carried along and must not be named ``sequence_id``, ``offset`` or begin with ``_pack``.
     """
     order = [F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
-    d = pieces.withColumn("_pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    d = d.withColumn("_pack_class", F.floor(F.lit(capacity) / F.col("length")).cast("long"))
-
-    def fill(rows: DataFrame, by: list[str], kind: int) -> DataFrame:
-        """``_pack_bin`` (null for what does not fill a bin) and the offset inside."""
+    k = F.col("_pack_class")
+    single, dealt = k == 1, F.xxhash64("doc_id", "start", "ids_crc32")
+    d = pieces.withColumn("_pack_class", F.floor(F.lit(capacity) / F.col("length")).cast("long"))
+    d = d.withColumn("_pack_group", F.when(single, F.pmod(dealt, F.lit(SINGLE_GROUPS))).otherwise(F.pmod(dealt, F.lit(groups))))
+
+    def fill(rows: DataFrame, workers: int, level: int) -> DataFrame:
+        """``sequence_id`` (null for what does not fill a bin) and the offset inside."""
+        by = ["_pack_group", "_pack_class"]
         w = Window.partitionBy(*by).orderBy(*order)
         rows = rows.withColumn("_pack_n", F.row_number().over(w).cast("long") - 1).withColumn("_pack_total", F.count("*").over(Window.partitionBy(*by)))
         rows = rows.withColumn("_pack_before", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length"))
-        k = F.col("_pack_class")
         number = F.floor(F.col("_pack_n") / k).cast("long")
         begins = F.max(F.when(F.col("_pack_n") % k == 0, F.col("_pack_before"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         rows = rows.withColumn("offset", (F.col("_pack_before") - begins).cast("long"))
         full = number < F.floor(F.col("_pack_total") / k)
-        group = F.col("_pack_group") if kind == 1 else F.lit(0)
-        return rows.withColumn("sequence_id", F.when(full, ((number * (capacity + 1) + k) * groups + group) * 4 + kind).cast("long"))
-
-    names = [*pieces.columns, "sequence_id", "offset"]
-    first = cut(fill(d, ["_pack_group", "_pack_class"], 1).select(*names, "_pack_class"))
-    left = first.where("sequence_id IS NULL").select(*pieces.columns, "_pack_class")
-    second = cut(fill(left.withColumn("_pack_group", F.lit(0)), ["_pack_class"], 2).select(*names))
-    third = second.where("sequence_id IS NULL").drop("sequence_id", "offset")
+        place = lambda n: (number * (capacity + 1) + k) * n + F.col("_pack_group")
+        name = place(workers) * 4 + 1 if level == 0 else (place(workers) * 16 + level) * 4 + 2
+        return rows.withColumn("sequence_id", F.when(full, F.when(single, place(SINGLE_GROUPS) * 4).otherwise(name)).cast("long"))
+
+    names, carried = [*pieces.columns, "sequence_id", "offset"], ["_pack_class", "_pack_group"]
+    filled, level = [cut(fill(d, groups, 0).select(*names, *carried))], 0
+    while groups > 1:
+        groups, level = -(-groups // JOINED), level + 1
+        left = filled[-1].where("sequence_id IS NULL").select(*pieces.columns, "_pack_class", F.pmod("_pack_group", F.lit(groups)).alias("_pack_group"))
+        filled.append(cut(fill(left, groups, level).select(*names, *carried)))
+    third = filled[-1].where("sequence_id IS NULL").select(*pieces.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     mixed = third.withColumn("_pack_all", F.lit(0)).groupBy("_pack_all").applyInPandas(lambda p: _first_fit(p.drop(columns="_pack_all"), capacity)[names], schema)
-    return first.where("sequence_id IS NOT NULL").select(*names).unionByName(second.where("sequence_id IS NOT NULL")).unionByName(mixed)
+    return reduce(DataFrame.unionByName, [*[f.where("sequence_id IS NOT NULL").select(*names) for f in filled], mixed])
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, groups: int = GROUPS, with_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, groups: int | None = None, with_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Encodes, cuts and packs every row of ``docs``; one row per piece (see ``harmonic_pack``).
 
     A null or empty text is ``end_id`` alone; a row with a null id, or an id that comes more than
     once, is packed like any other; a very long text is encoded in one piece and leaves in pieces
     of at most ``capacity`` ids; other columns are ignored, whatever their names.
-    ``cache_pieces`` bounds a worker's table of encoded words: more memory, less CPU time.
+    ``cache_pieces`` bounds a worker's table of encoded words: more memory, less CPU time. ``groups``
+    follows from the number of documents where it is not given (a text has few pieces below a whole bin).
     """
+    groups = groups or max(GROUPS, -(-docs.count() // DOCS_A_GROUP))
     return harmonic_pack(piece_rows(docs, vocabulary, end_id, capacity, with_ids, cache_pieces), capacity, groups)
