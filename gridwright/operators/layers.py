@@ -171,7 +171,8 @@ def staging_names(layers: DataFrame, base: Column, longest: int = 60) -> DataFra
 
     Where one base can only meet itself, its layers are numbered by a window. Bases that may meet the
     numbered names of others (``x_2`` beside ``x``) are taken up one after the other; such a group is
-    what shares the base without its numbers.
+    what shares the base without its numbers. Taken names stay taken, so each base goes on from the last
+    number that it has tried, and a group costs time in proportion to its layers.
     """
     clean = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(base), "[^a-z0-9_]+", "_"), "_+", "_"), F.lit("_"))
     clean = F.when(clean.rlike("^[a-z]"), clean).otherwise(F.concat(F.lit("layer_"), clean))
@@ -185,11 +186,14 @@ def staging_names(layers: DataFrame, base: Column, longest: int = 60) -> DataFra
     plain = d.where("NOT mixed").select("layer_id", F.when(n == 1, F.substring("b", 1, longest)).otherwise(F.concat(F.substring(F.col("b"), F.lit(1), F.lit(longest) - F.length(suffix)), suffix)).alias("target_name"))
 
     def one_by_one(rows):
-        rows, used, names = rows.sort_values(["o", "layer_id"]), set(), []
+        rows, used, names, tried = rows.sort_values(["o", "layer_id"]), set(), [], {}
         for b in rows["b"]:
-            name, k = b[:longest], 2
+            k = tried.get(b, 1)
+            name = b[:longest] if k == 1 else f"{b[: longest - len(f'_{k}')]}_{k}"
             while name in used:
-                name, k = f"{b[: longest - len(f'_{k}')]}_{k}", k + 1
+                k += 1
+                name = f"{b[: longest - len(f'_{k}')]}_{k}"
+            tried[b] = k
             used.add(name)
             names.append(name)
         return rows.assign(target_name=names)[["layer_id", "target_name"]]
